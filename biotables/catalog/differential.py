@@ -1 +1,168 @@
-"""Queries."""
+"""Differential abundance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from biotables.catalog.bindings import (
+    enrichment,
+    gene_features,
+    results_table,
+    taxon_counts,
+    taxon_samples,
+    with_tables,
+)
+from biotables.catalog.registry import Tables, query
+from biotables.operators import differential as de
+from biotables.operators.community import add_pseudocount
+from biotables.plans.expression import SUBSTRATES
+from biotables.session import materialize
+
+_GEO = {
+    "geo": """SELECT feature, exp(SUM(ln(count)) / (SELECT COUNT(*) FROM taxon_samples)) AS g FROM taxon_counts GROUP BY 1""",
+    "raw": """SELECT sample, quantile_cont(ln(count) - ln(g), 0.5) AS m FROM taxon_counts JOIN geo USING (feature) GROUP BY 1""",
+    "factors": "SELECT sample, exp(m - (SELECT AVG(m) FROM raw)) AS size_factor FROM raw",
+}
+_BOTH = "taxon_counts taxon_samples"
+
+
+def factors_of(t: Tables):
+    counts = taxon_counts(t)
+    return counts, de.size_factors(counts, de.geometric_means(counts, taxon_samples(t)))
+
+
+@query(with_tables(_BOTH, "SELECT feature, round(g, 6) AS geo_mean FROM geo", geo=_GEO["geo"]))
+def geo_mean(t: Tables):
+    """Zero-tolerant geometric mean per feature."""
+    out = de.geometric_means(taxon_counts(t), taxon_samples(t))
+    return out.withColumn("geo_mean", F.round("geo_mean", 6))
+
+
+@query(with_tables(_BOTH, "SELECT sample, round(size_factor, 6) AS size_factor FROM factors", **_GEO))
+def size_factors(t: Tables):
+    """Median ratio per sample, scaled to geometric mean 1."""
+    return factors_of(t)[1].withColumn("size_factor", F.round("size_factor", 6))
+
+
+@query(with_tables(_BOTH, """SELECT sample, feature, count, round(count / size_factor, 6) AS norm
+ FROM taxon_counts JOIN factors USING (sample)""", **_GEO))
+def normalized_counts(t: Tables):
+    counts, factors = factors_of(t)
+    return de.normalized(counts, factors).drop("size_factor").withColumn("norm", F.round("norm", 6))
+
+
+@query(with_tables(_BOTH, """SELECT feature, round(m, 5) AS base_mean, round(v, 5) AS base_var,
+ round(greatest((v - m * inv) / (m * m), 1e-8), 5) AS dispersion FROM (
+ SELECT feature, s1 / n AS m, (s2 - s1 * s1 / n) / (n - 1) AS v, inv FROM (
+ SELECT feature, SUM(count / size_factor) AS s1, SUM((count / size_factor) * (count / size_factor)) AS s2
+ FROM taxon_counts JOIN factors USING (sample) GROUP BY 1),
+ (SELECT COUNT(*)::DOUBLE AS n, AVG(1 / size_factor) AS inv FROM factors))""", **_GEO))
+def dispersion_moments(t: Tables):
+    counts, factors = factors_of(t)
+    out = de.dispersion_moments(counts, factors)
+    return out.select("feature", *[F.round(c, 5).alias(c) for c in ("base_mean", "base_var", "dispersion")])
+
+
+@query()
+def dispersion_fit(t: Tables):
+    """Gene-wise, trend (local) and shrunken dispersion per feature."""
+    counts, factors = factors_of(t)
+    fit, _ = de.fit_features(counts, taxon_samples(t), "substrate", factors, trend="local")
+    return fit.select("feature", "base_mean", "disp_gene", "disp_trend", "dispersion", "outlier")
+
+
+@query()
+def nb_wald(t: Tables):
+    """Zero-tolerant size factors, local trend, one contrast between two enrichments."""
+    counts, factors = factors_of(t)
+    samples = taxon_samples(t).withColumn("enrichment", enrichment("taxon"))
+    fit, levels = de.fit_features(counts, samples, "enrichment", factors, trend="local")
+    return de.bh_adjust(de.wald_tests(fit, levels, [("Beta", "Alpha")]), ["comparison"])
+
+
+@query()
+def pairwise_contrasts(t: Tables):
+    """One added to every cell, parametric trend, every pair of substrates from one fit."""
+    samples = taxon_samples(t)
+    counts = materialize(
+        add_pseudocount(taxon_counts(t), samples, gene_features(t)), "pseudocount"
+    )
+    factors = de.size_factors(counts, de.geometric_means(counts, samples), rescale=False)
+    fit, levels = de.fit_features(counts, samples, "substrate", factors, trend="parametric")
+    return de.bh_adjust(de.wald_tests(fit, levels), ["comparison"])
+
+
+def _ratio_sql() -> str:
+    levels = sorted(SUBSTRATES)
+    pairs = [(levels[j], levels[i]) for i in range(5) for j in range(i + 1, 5)]
+    rows = " UNION ALL ".join(
+        f"SELECT feature, '{b}_vs_{a}' AS comparison, x.m / y.m AS ratio FROM means x JOIN means y USING (feature)"
+        f" WHERE x.substrate = '{b}' AND y.substrate = '{a}'"
+        for b, a in pairs
+    )
+    return with_tables(
+        _BOTH,
+        f"SELECT feature, comparison, round(log2(ratio), 6) + 0.0 AS log2_ratio FROM ({rows})",
+        **_GEO,
+        sizes="SELECT substrate, COUNT(*) AS n FROM taxon_samples GROUP BY 1",
+        means="""SELECT feature, substrate, SUM(count / size_factor) / MAX(n) AS m FROM taxon_counts
+ JOIN factors USING (sample) JOIN taxon_samples USING (sample) JOIN sizes USING (substrate) GROUP BY 1, 2""",
+    )
+
+
+@query(_ratio_sql())
+def log2_ratio_pairs(t: Tables):
+    """Log2 ratio of mean normalised counts for every pair of substrates."""
+    counts, factors = factors_of(t)
+    out = de.log2_ratio_pairs(counts, taxon_samples(t), "substrate", factors, sorted(SUBSTRATES))
+    return out.withColumn("log2_ratio", F.round("log2_ratio", 6) + F.lit(0.0))
+
+
+_PADJ = """SELECT *, CASE WHEN pvalue IS NOT NULL THEN MIN(q) OVER (PARTITION BY comparison ORDER BY pvalue DESC
+ RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS padj FROM (SELECT *,
+ least(1.0, pvalue * COUNT(pvalue) OVER (PARTITION BY comparison) /
+ CASE WHEN pvalue IS NOT NULL THEN COUNT(pvalue) OVER (PARTITION BY comparison ORDER BY pvalue
+ RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END) AS q FROM results_table) WHERE pvalue IS NOT NULL
+ UNION ALL SELECT *, NULL, NULL FROM results_table WHERE pvalue IS NULL"""
+
+
+def adjusted(t: Tables):
+    return de.bh_adjust(results_table(t), ["comparison"])
+
+
+@query(with_tables("results_table", "SELECT feature, comparison, pvalue, round(padj, 9) AS padj FROM a", a=_PADJ))
+def bh_adjust(t: Tables):
+    """Adjusted p-values per comparison; NULL stays NULL."""
+    return adjusted(t).select("feature", "comparison", "pvalue", F.round("padj", 9).alias("padj"))
+
+
+@query(with_tables("results_table", "SELECT feature, comparison FROM a WHERE padj < 0.01", a=_PADJ))
+def significant_only(t: Tables):
+    return de.significant_only(adjusted(t)).select("feature", "comparison")
+
+
+@query(with_tables("results_table", """SELECT feature, comparison, threshold, CASE WHEN threshold = 'Enriched' THEN product
+ WHEN threshold IS NOT NULL THEN 'Not_Enriched' END AS shown_product, round(-log10(padj), 6) AS neg_log10_padj FROM (
+ SELECT *, CASE WHEN (abs(lfc) > 2 AND padj < 0.01) IS NULL THEN NULL WHEN abs(lfc) > 2 AND padj < 0.01 THEN 'Enriched'
+ ELSE 'Not_Enriched' END AS threshold FROM a)""", a=_PADJ))
+def volcano_label(t: Tables):
+    """Enriched rows with their product, and the plotted height."""
+    out = de.volcano_label(adjusted(t), "lfc", "padj", "product")
+    return out.select(
+        "feature", "comparison", "threshold", "shown_product", F.round("neg_log10_padj", 6).alias("neg_log10_padj")
+    )
+
+
+@query(with_tables("results_table", """SELECT comparison, CASE WHEN (padj <= 0.05 AND abs(lfc) >= 1.5) IS NULL THEN NULL
+ WHEN padj <= 0.05 AND abs(lfc) >= 1.5 THEN 'Enriched' ELSE 'Not_Enriched' END AS threshold, COUNT(*) AS n FROM a GROUP BY 1, 2""", a=_PADJ))
+def contrast_union(t: Tables):
+    """All comparisons stacked, thresholded and counted."""
+    rows = de.contrast_threshold(adjusted(t), "lfc", "padj")
+    return rows.groupBy("comparison", "threshold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_tables("taxon_samples", """SELECT substrate AS level, COUNT(*) AS n_samples,
+ (SELECT COUNT(DISTINCT substrate) FROM taxon_samples) AS n_levels, true AS replicated FROM taxon_samples GROUP BY 1"""))
+def design_check(t: Tables):
+    """Samples per level; a design without replicates raises."""
+    return de.check_design(taxon_samples(t), "substrate", SUBSTRATES)

@@ -112,7 +112,7 @@ def average_linkage(dist: DataFrame, small: int = SMALL) -> DataFrame:
         links = _relabel(links, pairs)
     if n_links:
         schema = MERGES.format(id_type)
-        out = links.groupBy(F.lit(1)).applyInPandas(_finish, schema)
+        out = links.groupBy().applyInPandas(_finish, schema)
     else:
         out = dist.sparkSession.createDataFrame([], MERGES.format(id_type))
     for pairs in merges:
@@ -146,4 +146,4 @@ def leaf_order(merges: DataFrame) -> DataFrame:
     The merge list has one row per leaf, the square root of the distances that made it.
     """
     id_type = merges.schema["merge_left"].dataType.simpleString()
-    return merges.groupBy(F.lit(1)).applyInPandas(_order_leaves, f"leaf {id_type}, position long")
+    return merges.groupBy().applyInPandas(_order_leaves, f"leaf {id_type}, position long")

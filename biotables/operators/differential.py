@@ -16,12 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from biotables.functions import ifelse_na
 from biotables.operators.joins import key_join
 from biotables.operators.reshape import dense_index
 from biotables.operators.totals import exact_quantiles, later_minimum, running_total, value_bucket
-from biotables.session import materialize
+from biotables.session import materialize, task_count
 
 MIN_DISPERSION = 1e-8
 CELLS_PER_BATCH = 1_000_000
@@ -244,7 +245,7 @@ def _load_design(samples: DataFrame, factor: str, factors: DataFrame) -> tuple[D
 
 
 def _dense_batches(
-    batches: Iterator[pd.DataFrame], n: int, pseudocount: float
+    batches: Iterator[pd.DataFrame], n: int
 ) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     rows = max(1, CELLS_PER_BATCH // max(n, 1))
     for pdf in batches:
@@ -253,15 +254,15 @@ def _dense_batches(
             dense = np.zeros((len(part), n))
             for i, (idx, x) in enumerate(zip(part["idx"], part["x"])):
                 dense[i, np.asarray(idx, dtype=int)] = x
-            yield part, dense + pseudocount
+            yield part, dense
 
 
 # ---------------------------------------------------------------- dispersion
 
 
-def _gene_dispersion(design: _Design, pseudocount: float):
+def _gene_dispersion(design: _Design):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, counts in _dense_batches(batches, len(design.codes), pseudocount):
+        for part, counts in _dense_batches(batches, len(design.codes)):
             mu = design.fitted(design.group_means(counts))
             yield pd.DataFrame(
                 {
@@ -400,7 +401,6 @@ def fit_features(
     factor: str,
     factors: DataFrame,
     trend: str = "parametric",
-    pseudocount: int = 0,
 ) -> tuple[DataFrame, list[str]]:
     """Dispersions, level means (natural log) and informations, one row per feature.
 
@@ -408,11 +408,16 @@ def fit_features(
     """
     check_design(samples, factor)
     table, design = _load_design(samples, factor, factors)
-    rows = materialize(_feature_rows(counts, table), "feature-rows")
+    n_features = counts.select("feature").distinct().count()
+    tasks = task_count(
+        counts.sparkSession, -(-n_features * len(design.codes) // (CELLS_PER_BATCH // 50))
+    )
+    rows = _feature_rows(counts, table).repartition(tasks, "feature")
+    rows = materialize(rows, "feature-rows")
     feature = counts.schema["feature"].dataType.simpleString()
     genes = materialize(
         rows.mapInPandas(
-            _gene_dispersion(design, float(pseudocount)),
+            _gene_dispersion(design),
             f"feature {feature}, base_mean double, disp_gene double",
         ),
         "gene-dispersion",
@@ -422,7 +427,7 @@ def fit_features(
     variance, spread = _shrinkage(genes, curve, len(design.codes), len(design.levels))
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, cells in _dense_batches(batches, len(design.codes), float(pseudocount)):
+        for part, cells in _dense_batches(batches, len(design.codes)):
             means = design.group_means(cells)
             mu = design.fitted(means)
             base = part["base_mean"].to_numpy()
@@ -510,9 +515,8 @@ def wald_tests(
         (lfc / se).alias("stat"),
         ((F.col("c.z1") != F.col("c.z0"))).alias("one_sided_zero"),
     )
-    schema = tests.schema.add("pvalue", "double")
-    out = tests.mapInPandas(_normal_tail, schema)
-    return out.withColumn("pvalue", F.nanvl("pvalue", F.lit(None).cast("double")))
+    schema = T.StructType([*tests.schema.fields, T.StructField("pvalue", T.DoubleType())])
+    return tests.mapInPandas(_normal_tail, schema)
 
 
 # ---------------------------------------------------------------- p-values and labels

@@ -8,7 +8,7 @@ that occurs in every sample costs no more rows than any other.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biotables.operators.reshape import dense_index
+from biotables.session import task_count
 
 CELLS_PER_TASK = 200_000
 
@@ -102,10 +103,13 @@ def _pair_sums(counts: DataFrame, measure, total, block: int) -> DataFrame:
         F.pmod(F.xxhash64("feature"), F.lit(n_chunks)).cast("int").alias("chunk"),
     )
     id_type = counts.schema["sample"].dataType.simpleString()
+    n_pairs = n_blocks * (n_blocks + 1) // 2
+    tasks = task_count(counts.sparkSession, n_pairs * n_chunks)
     partial = (
         sample_rows.unionByName(cell_rows)
-        .withColumn("pair", F.explode(_block_pairs(n_blocks)))
-        .groupBy("pair.lo", "pair.hi", "chunk")
+        .select("*", F.inline(_block_pairs(n_blocks)))
+        .repartition(tasks, "lo", "hi", "chunk")
+        .groupBy("lo", "hi", "chunk")
         .applyInPandas(
             _combine_blocks(measure),
             f"a {id_type}, b {id_type}, shared double, total_a double, total_b double",
@@ -164,9 +168,11 @@ def vector_distances(df: DataFrame, key: str, vector: str, block: int = 256) ->
     rows = dense_index(df.select(F.col(key).alias("id"), F.col(vector).alias("vec")), ["id"], "idx")
     n_blocks = max(1, -(-df.count() // block))
     key_type = df.schema[key].dataType.simpleString()
+    tasks = task_count(df.sparkSession, n_blocks * (n_blocks + 1) // 2)
     return (
         rows.withColumn("block", F.floor(F.col("idx") / block).cast("int"))
-        .withColumn("pair", F.explode(_block_pairs(n_blocks)))
-        .groupBy("pair.lo", "pair.hi")
+        .select("*", F.inline(_block_pairs(n_blocks)))
+        .repartition(tasks, "lo", "hi")
+        .groupBy("lo", "hi")
         .applyInPandas(_vector_blocks, f"id_a {key_type}, id_b {key_type}, dist double")
     )

@@ -75,7 +75,7 @@ def _decompose(axes: int):
 
 def _small_axes(centered: DataFrame, axes: int) -> DataFrame:
     id_type = centered.schema["id_a"].dataType.simpleString()
-    return centered.groupBy(F.lit(1)).applyInPandas(
+    return centered.groupBy().applyInPandas(
         _decompose(axes),
         f"id {id_type}, axis long, coordinate double, eigenvalue double, relative double",
     )
