@@ -147,7 +147,7 @@ def bins(t: Tables) -> DataFrame:
             bin_name("s_suppkey").alias("BinID"),
             enrichment("s_suppkey").alias("Enrichment"),
             F.when(F.col("s_nationkey") != 7, name).alias("Best_Classification"),
-            (F.abs("s_acctbal") % 100).alias("Completeness"),
+            (F.sqrt(F.abs("s_acctbal") % 100) * 10).alias("Completeness"),
             (F.col("s_nationkey") * F.lit(0.6)).alias("Contamination"),
         )
         .withColumn("Quality", quality_tier("Completeness", "Contamination"))
@@ -267,7 +267,7 @@ CTES = {
  FROM (SELECT {_bin('s_suppkey')} AS BinID, {_enr('s_suppkey')} AS Enrichment,
  CASE WHEN s_nationkey <> 7 THEN replace(n_name, '_', '') || '_0.' || lpad((s_nationkey * 3 + 20)::VARCHAR, 2, '0')
  || '_' || CASE WHEN n_regionkey < 2 THEN 'genus' WHEN n_regionkey < 4 THEN 'family' ELSE 'order' END END
- AS Best_Classification, abs(s_acctbal) % 100 AS Completeness, s_nationkey * 0.6::DOUBLE AS Contamination
+ AS Best_Classification, sqrt(abs(s_acctbal) % 100) * 10 AS Completeness, s_nationkey * 0.6::DOUBLE AS Contamination
  FROM supplier JOIN nation ON s_nationkey = n_nationkey)""",
     "sample_counts": """SELECT l_suppkey || '_' || substrate AS sample, l_partkey AS feature,
  SUM(count)::BIGINT AS count FROM sales GROUP BY 1, 2""",

@@ -1 +1,150 @@
-"""Queries."""
+"""Reads and alignments."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from biotables.catalog.registry import Tables, query
+from biotables.operators import reads
+
+
+def _bases(salt: str):
+    return F.translate(F.md5(F.concat(F.lit(salt), "text")), "0123456789abcdef", "ACGTACGTACGTACGT")
+
+
+def _quality(salt: str):
+    digits = F.split(F.md5(F.concat(F.lit(salt), "text")), "")
+    hex_value = F.map_from_arrays(
+        F.array(*[F.lit(c) for c in "0123456789abcdef"]), F.array(*[F.lit(i * 41 // 16) for i in range(16)])
+    )
+    return F.transform(F.slice(digits, 1, 32), lambda c: F.element_at(hex_value, c))
+
+
+def mate(t: Tables, number: int):
+    """One read per document, made of hashes of its whole text."""
+    return t.documents.select(
+        F.col("doc_id").alias("read_id"),
+        F.lit(number).alias("mate"),
+        _bases(f"b{number}").alias("bases"),
+        _quality(f"q{number}").alias("quality"),
+    )
+
+
+def _mate_sql(number: int) -> str:
+    return f"""SELECT doc_id AS read_id, {number}::INT AS mate, translate(md5('b{number}' || text), '0123456789abcdef',
+ 'ACGTACGTACGTACGT') AS bases, list_transform(range(1, 33), lambda i: ((('0x' || substr(md5('q{number}' || text), i, 1))::INT * 41) // 16)::INT)
+ AS quality FROM documents"""
+
+
+_MATES = f"m1 AS ({_mate_sql(1)}), m2 AS ({_mate_sql(2)})"
+
+
+@query(f"WITH {_MATES} SELECT 'lane1' AS lane, read_id, mate, bases FROM m1 UNION ALL SELECT 'lane2', read_id, mate, bases FROM m2")
+def reads_concat(t: Tables):
+    """Lane files stacked with the name of the file."""
+    both = reads.concat_lanes({"lane1": mate(t, 1), "lane2": mate(t, 2)})
+    return both.select("lane", "read_id", "mate", "bases")
+
+
+@query(f"""WITH {_MATES}, n2 AS (SELECT * FROM m2 JOIN documents ON doc_id = read_id WHERE lang <> 'fr')
+ SELECT read_id, mate, bases FROM m1 WHERE read_id IN (SELECT read_id FROM n2) UNION ALL SELECT read_id, mate, bases FROM n2""")
+def reads_interleave(t: Tables):
+    """Mates side by side; a read without its partner is left out."""
+    spoken = t.documents.filter(F.col("lang") != "fr").select(F.col("doc_id").alias("read_id"))
+    reverse = mate(t, 2).join(spoken, "read_id", "left_semi")
+    return reads.interleave(mate(t, 1), reverse).select("read_id", "mate", "bases")
+
+
+@query(f"""WITH {_MATES} SELECT cycle::INT AS cycle, COUNT(*) AS n_reads, round(AVG(q), 6) AS mean_quality, MIN(q) AS min_quality,
+ MAX(q) AS max_quality, round(AVG((base IN ('G', 'C'))::INT), 6) AS gc FROM (
+ SELECT i AS cycle, quality[i] AS q, substr(bases, i, 1) AS base FROM m1, range(1, 33) r(i)) GROUP BY 1""")
+def reads_quality_profile(t: Tables):
+    """Quality and GC per cycle."""
+    out = reads.quality_profile(mate(t, 1))
+    return out.withColumn("mean_quality", F.round("mean_quality", 6)).withColumn("gc", F.round("gc", 6))
+
+
+@query("""SELECT length(text)::INT AS length, COUNT(*) AS n_reads, round(AVG(length(regexp_replace(text, '[^GC]', '', 'g'))::DOUBLE
+ / nullif(length(text), 0)), 6) AS gc FROM documents GROUP BY 1""")
+def reads_length_profile(t: Tables):
+    """Length and GC profile over whole texts."""
+    out = reads.length_profile(t.documents.select(F.col("text").alias("bases")))
+    return out.withColumn("gc", F.round("gc", 6))
+
+
+@query(f"""WITH {_MATES}, r AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2),
+ a AS (SELECT *, coalesce(list_min(list_filter(range(0, 32), lambda i: quality[i + 1] >= 3)), 32) AS s,
+ coalesce(list_max(list_filter(range(0, 32), lambda i: quality[i + 1] >= 3)) + 1, 0) AS e FROM r),
+ w AS (SELECT read_id, mate, MIN(i) AS cut FROM a, range(0, 29) g(i) WHERE i >= s AND i + 4 <= e
+ AND quality[i + 1] + quality[i + 2] + quality[i + 3] + quality[i + 4] < 60 GROUP BY 1, 2),
+ k AS (SELECT a.read_id, a.mate, bases, s, coalesce(cut, greatest(e, s)) - s AS len FROM a LEFT JOIN w
+ ON w.read_id = a.read_id AND w.mate = a.mate)
+ SELECT read_id, mate, substr(bases, s + 1, len) AS bases, CASE WHEN COUNT(*) OVER (PARTITION BY read_id) = 2 THEN 'paired'
+ ELSE 'unpaired' END AS status FROM k WHERE len >= 8""")
+def reads_trim(t: Tables):
+    """Quality trimming of both mates and the fate of the pair."""
+    both = mate(t, 1).unionByName(mate(t, 2))
+    return reads.trim_reads(both, min_length=8).select("read_id", "mate", "bases", "status")
+
+
+# ---------------------------------------------------------------- alignments
+
+
+def alignments(t: Tables):
+    """One alignment per line item: contig = supplier, start = day, length = quantity."""
+    start = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).cast("bigint")
+    return t.lineitem.select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("read_id"),
+        F.col("l_suppkey").alias("contig"),
+        start.alias("start"),
+        (start + F.col("l_quantity").cast("bigint")).alias("end"),
+    )
+
+
+def annotation(t: Tables):
+    """Features on the contigs, placed by part size."""
+    n = t.supplier.agg(F.count(F.lit(1)).alias("contigs"))
+    start = F.col("p_size").cast("bigint") * 60
+    return t.part.crossJoin(F.broadcast(n)).select(  # one row
+        F.concat(F.lit("gene"), F.col("p_partkey")).alias("feature"),
+        (F.col("p_partkey") % F.col("contigs")).alias("contig"),
+        start.alias("start"),
+        (start + 30 + F.length("p_name")).alias("end"),
+    )
+
+
+_ALIGN = """alignments AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey AS read_id, l_suppkey AS contig,
+ date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS start, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)
+ + l_quantity::BIGINT AS stop FROM lineitem)"""
+_FEATURES = """features AS (SELECT 'gene' || p_partkey AS feature, p_partkey % (SELECT COUNT(*) FROM supplier) AS contig,
+ p_size * 60 AS start, p_size * 60 + 30 + length(p_name) AS stop FROM part)"""
+
+
+@query(f'WITH {_ALIGN} SELECT read_id, contig, start, stop AS "end" FROM alignments')
+def alignments_sorted(t: Tables):
+    """Range-partitioned coordinate order."""
+    return reads.coordinate_sort(alignments(t))
+
+
+@query(f"""WITH {_ALIGN}, depth AS (SELECT contig, pos, COUNT(*) AS d FROM (SELECT contig, unnest(range(start, stop)) AS pos
+ FROM alignments) GROUP BY 1, 2), sums AS (SELECT contig, SUM(d)::DOUBLE AS s1, SUM(d * d)::DOUBLE AS s2 FROM depth GROUP BY 1)
+ SELECT s_suppkey AS contig, 4000::BIGINT AS length, round(coalesce(s1, 0) / 4000, 6) AS mean_depth,
+ round(coalesce(s2, 0) / 4000 - (coalesce(s1, 0) / 4000) * (coalesce(s1, 0) / 4000), 6) AS var_depth
+ FROM supplier LEFT JOIN sums ON contig = s_suppkey""")
+def contig_depth(t: Tables):
+    """Mean and variance of the depth per contig."""
+    contigs = t.supplier.select(F.col("s_suppkey").alias("contig"), F.lit(4000).cast("bigint").alias("length"))
+    out = reads.contig_depth(alignments(t), contigs, bucket=512)
+    return out.select(
+        "contig", "length", F.round("mean_depth", 6).alias("mean_depth"), F.round("var_depth", 6).alias("var_depth")
+    )
+
+
+@query(f"""WITH {_ALIGN}, {_FEATURES}, r AS (SELECT row_number() OVER () AS id, * FROM alignments),
+ hit AS (SELECT r.id, COUNT(DISTINCT feature) AS n, MIN(feature) AS feature FROM r LEFT JOIN features f ON f.contig = r.contig
+ AND f.start < r.stop AND f.stop > r.start GROUP BY 1),
+ named AS (SELECT CASE n WHEN 0 THEN '__no_feature' WHEN 1 THEN feature ELSE '__ambiguous' END AS locus_tag FROM hit)
+ SELECT locus_tag, SUM(n)::BIGINT AS count FROM (SELECT locus_tag, 1 AS n FROM named UNION ALL SELECT feature, 0 FROM features) GROUP BY 1""")
+def feature_counts(t: Tables):
+    """Reads per feature with the special categories."""
+    return reads.feature_counts(alignments(t), annotation(t), bucket=256)

@@ -371,13 +371,12 @@ class _Trend:
         """The same trend as a column expression."""
         if self.parametric:
             return F.log(F.lit(self.parametric[1]) / mean + F.lit(self.parametric[0]))
-        xs, ys = self.local
-        x = F.log(mean)
-        out = F.lit(float(ys[-1]))
-        for i in range(len(xs) - 2, -1, -1):
-            slope = (ys[i + 1] - ys[i]) / (xs[i + 1] - xs[i])
-            out = F.when(x < xs[i + 1], F.lit(float(ys[i])) + (x - xs[i]) * float(slope)).otherwise(out)
-        return F.when(x <= xs[0], F.lit(float(ys[0]))).otherwise(out)
+        xs, ys = (np.asarray(v, dtype=float) for v in self.local)
+        slopes = np.append(np.diff(ys) / np.diff(xs), 0.0)
+        x = F.greatest(F.log(mean), F.lit(float(xs[0])))
+        grid, heights, rises = (F.array(*[F.lit(float(v)) for v in arr]) for arr in (xs, ys, slopes))
+        below = F.size(F.filter(grid, lambda g: g <= x)) - 1
+        return F.get(heights, below) + (x - F.get(grid, below)) * F.get(rises, below)
 
 
 def _shrinkage(genes: DataFrame, trend: _Trend, n_samples: int, n_levels: int) -> tuple[float, float]:
@@ -535,9 +534,7 @@ def bh_adjust(df: DataFrame, group: Sequence[str], p: str = "pvalue", name: str
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__bucket", value_bucket(p))
     )
-    ranked = running_total(spread, group, "__bucket", [p], "__n", "__rank")
-    sizes = spread.groupBy(*group).agg(F.sum("__n").alias("__m"))
-    ranked = key_join(ranked, sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))
+    ranked = running_total(spread, group, "__bucket", [p], "__n", "__rank", total="__m")
     ranked = ranked.withColumn(
         "__q", F.least(F.lit(1.0), F.col(p) * F.col("__m") / F.col("__rank"))
     )

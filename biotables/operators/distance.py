@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biotables.operators.reshape import dense_index
-from biotables.session import task_count
+from biotables.session import materialize, task_count
 
 CELLS_PER_TASK = 200_000
 
@@ -83,6 +83,7 @@ def _combine_blocks(measure: Callable[[np.ndarray, np.ndarray], np.ndarray]):
 def _pair_sums(counts: DataFrame, measure, total, block: int) -> DataFrame:
     """Per pair of samples: the summed measure and both sample totals."""
     cells = counts.groupBy("sample", "feature").agg(F.sum("count").cast("double").alias("x"))
+    cells = materialize(cells, "cells")  # read for the sizes and again for the blocks
     sizes = cells.groupBy("sample").agg(total.alias("total"), F.count(F.lit(1)).alias("n"))
     sizes = dense_index(sizes, ["sample"], "idx")
     shape = sizes.agg(F.count(F.lit(1)).alias("samples"), F.sum("n").alias("cells")).first()

@@ -58,6 +58,12 @@ def value_bucket(c: str | Column, per_octave: int = 256) -> Column:
     return F.when(c == 0, F.lit(0)).when(c > 0, size).otherwise(-size).cast("bigint")
 
 
+def _with_carry(df: DataFrame, carry: DataFrame) -> DataFrame:
+    """Rows of each bucket behind one row that carries what the other buckets add."""
+    rows = df.withColumn("__is_row", F.lit(True))
+    return rows.unionByName(carry.withColumn("__is_row", F.lit(False)), allowMissingColumns=True)
+
+
 def running_total(
     df: DataFrame,
     group: Sequence[str],
@@ -65,25 +71,33 @@ def running_total(
     order: Sequence[str],
     value: str,
     name: str,
+    total: str | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in (bucket, order) order inside each group.
 
     ``bucket`` must sort like the order columns. A window never holds more than one
-    bucket of rows, or the bucket totals of one group.
+    bucket of rows, or the bucket totals of one group. ``total`` names a column for the
+    sum of the whole group.
     """
     keys = [*group, bucket]
-    before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
+    whole = W.partitionBy(*group)
+    before = whole.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    carry = (
         df.groupBy(*keys)
         .agg(F.sum(value).alias("__sum"))
-        .select(*keys, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+        .select(
+            *keys,
+            F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__step"),
+            F.sum("__sum").over(whole).alias("__whole"),
+        )
     )
-    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        key_join(df, offsets, keys)
-        .withColumn(name, F.col("__before") + F.sum(value).over(inside))
-        .drop("__before")
+    upto = W.partitionBy(*keys).orderBy("__is_row", *order).rowsBetween(W.unboundedPreceding, 0)
+    out = _with_carry(df.withColumn("__step", F.col(value)), carry).withColumn(
+        name, F.sum("__step").over(upto)
     )
+    if total:
+        out = out.withColumn(total, F.first("__whole", ignorenulls=True).over(upto))
+    return out.filter("__is_row").drop("__is_row", "__step", "__whole")
 
 
 def later_minimum(
@@ -95,14 +109,16 @@ def later_minimum(
     carry = (
         df.groupBy(*keys)
         .agg(F.min(value).alias("__min"))
-        .select(*keys, F.min("__min").over(after).alias("__after"))
+        .select(*keys, F.min("__min").over(after).alias("__low"))
     )
-    inside = W.partitionBy(*keys).orderBy(order).rowsBetween(0, W.unboundedFollowing)
-    return (
-        key_join(df, carry, keys)
-        .withColumn(name, F.least(F.min(value).over(inside), F.col("__after")))
-        .drop("__after")
+    back = (
+        W.partitionBy(*keys)
+        .orderBy("__is_row", F.desc(order))
+        .rowsBetween(W.unboundedPreceding, 0)
     )
+    out = _with_carry(df.withColumn("__low", F.col(value)), carry)
+    out = out.withColumn(name, F.min("__low").over(back))
+    return out.filter("__is_row").drop("__is_row", "__low")
 
 
 def exact_quantiles(
@@ -119,9 +135,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__bucket", value_bucket("__v"))
     )
-    ranked = running_total(spread, group, "__bucket", ["__v"], "__n", "__upto")
-    sizes = spread.groupBy(*group).agg(F.sum("__n").alias("n"))
-    ranked = key_join(ranked, sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))
+    ranked = running_total(spread, group, "__bucket", ["__v"], "__n", "__upto", total="n")
     aggs = []
     for i, prob in enumerate(probs.values()):
         at = (F.col("n") - 1) * F.lit(float(prob))
