@@ -31,6 +31,13 @@ def factors_of(t: Tables):
     return counts, de.size_factors(counts, de.geometric_means(counts, taxon_samples(t)))
 
 
+def stored_counts(t: Tables):
+    """Counts, samples and factors of a fit, which reads the counts several times."""
+    counts = materialize(taxon_counts(t), "counts")
+    samples = materialize(taxon_samples(t), "samples")
+    return counts, samples, de.size_factors(counts, de.geometric_means(counts, samples))
+
+
 @query(with_tables(_BOTH, "SELECT feature, round(g, 6) AS geo_mean FROM geo", geo=_GEO["geo"]))
 def geo_mean(t: Tables):
     """Zero-tolerant geometric mean per feature."""
@@ -66,16 +73,16 @@ def dispersion_moments(t: Tables):
 @query()
 def dispersion_fit(t: Tables):
     """Gene-wise, trend (local) and shrunken dispersion per feature."""
-    counts, factors = factors_of(t)
-    fit, _ = de.fit_features(counts, taxon_samples(t), "substrate", factors, trend="local")
+    counts, samples, factors = stored_counts(t)
+    fit, _ = de.fit_features(counts, samples, "substrate", factors, trend="local")
     return fit.select("feature", "base_mean", "disp_gene", "disp_trend", "dispersion", "outlier")
 
 
 @query()
 def nb_wald(t: Tables):
     """Zero-tolerant size factors, local trend, one contrast between two enrichments."""
-    counts, factors = factors_of(t)
-    samples = taxon_samples(t).withColumn("enrichment", enrichment("taxon"))
+    counts, samples, factors = stored_counts(t)
+    samples = samples.withColumn("enrichment", enrichment("taxon"))
     fit, levels = de.fit_features(counts, samples, "enrichment", factors, trend="local")
     return de.bh_adjust(de.wald_tests(fit, levels, [("Beta", "Alpha")]), ["comparison"])
 
@@ -83,10 +90,9 @@ def nb_wald(t: Tables):
 @query()
 def pairwise_contrasts(t: Tables):
     """One added to every cell, parametric trend, every pair of substrates from one fit."""
-    samples = taxon_samples(t)
-    counts = materialize(
-        add_pseudocount(taxon_counts(t), samples, gene_features(t)), "pseudocount"
-    )
+    samples = materialize(taxon_samples(t), "samples")
+    counts = add_pseudocount(taxon_counts(t), samples, gene_features(t))
+    counts = materialize(counts, "pseudocount")
     factors = de.size_factors(counts, de.geometric_means(counts, samples), rescale=False)
     fit, levels = de.fit_features(counts, samples, "substrate", factors, trend="parametric")
     return de.bh_adjust(de.wald_tests(fit, levels), ["comparison"])

@@ -12,6 +12,7 @@ from biotables.functions import any_not_null, unite
 from biotables.operators.joins import key_join
 from biotables.operators.reshape import full_grid, pivot_longer
 from biotables.operators.totals import running_total, share_of_group
+from biotables.session import task_count
 from biotables.sources.sinks import Bundle
 
 NO_PRODUCT = "hypothetical protein"
@@ -168,7 +169,7 @@ def rarefy(counts: DataFrame, seed: int = 81, slot_draws: int = 20_000) -> DataF
     chunks = plan.select(
         "*",
         F.explode(F.expr(f"sequence(0L, (depth - 1) div {slot_draws})")).alias("chunk"),
-    ).repartition("sample", "chunk")
+    ).repartition(task_count(counts.sparkSession), "sample", "chunk")
     draws = chunks.select(
         "sample",
         "total",

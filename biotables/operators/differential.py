@@ -25,7 +25,8 @@ from biotables.operators.totals import exact_quantiles, later_minimum, running_t
 from biotables.session import materialize, task_count
 
 MIN_DISPERSION = 1e-8
-CELLS_PER_BATCH = 1_000_000
+CELLS_PER_BATCH = 200_000
+CELLS_PER_TASK = 500_000
 # One row of the fit holds a feature's counts over all samples of the design.
 MAX_SAMPLES = 2_000_000
 
@@ -145,18 +146,20 @@ def _trigamma(x: float) -> float:
 
 
 class _Design:
-    """Sample columns of the model: size factors and level codes in sample order."""
+    """Sample columns of the model, put in level order so that a level is one slice."""
 
     def __init__(self, factors: np.ndarray, codes: np.ndarray, levels: list[str]):
-        self.factors, self.codes, self.levels = factors, codes, levels
-        self.onehot = np.eye(len(levels))[codes]
+        order = np.argsort(codes, kind="stable")
+        self.column_of = np.argsort(order)  # sample number -> matrix column
+        self.factors, self.codes, self.levels = factors[order], codes[order], levels
+        self.sizes = np.bincount(codes, minlength=len(levels))
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
 
     def level_sums(self, cells: np.ndarray) -> np.ndarray:
-        return cells @ self.onehot
+        return np.add.reduceat(cells, self.starts, axis=1)
 
     def group_means(self, counts: np.ndarray) -> np.ndarray:
-        per_level = np.maximum(self.onehot.sum(axis=0), 1)
-        return self.level_sums(counts / self.factors) / per_level
+        return self.level_sums(counts / self.factors) / self.sizes
 
     def fitted(self, means: np.ndarray) -> np.ndarray:
         return np.maximum(means[:, self.codes] * self.factors, 1e-6)
@@ -173,8 +176,7 @@ def _profile(counts: np.ndarray, mu: np.ndarray, log_alpha: np.ndarray, design:
     extra = np.zeros_like(counts)
     extra[hit] = _lgamma(counts[hit] + r_hit) - _lgamma(r_hit)
     info = design.level_sums(mu / (1.0 + alpha * mu))
-    used = design.onehot.sum(axis=0) > 0
-    return (ll + extra).sum(axis=1) - 0.5 * np.log(info[:, used]).sum(axis=1)
+    return (ll + extra).sum(axis=1) - 0.5 * np.log(info).sum(axis=1)
 
 
 def _best_dispersion(
@@ -245,15 +247,16 @@ def _load_design(samples: DataFrame, factor: str, factors: DataFrame) -> tuple[D
 
 
 def _dense_batches(
-    batches: Iterator[pd.DataFrame], n: int
+    batches: Iterator[pd.DataFrame], design: _Design
 ) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    rows = max(1, CELLS_PER_BATCH // max(n, 1))
+    n = len(design.codes)
+    rows = max(1, CELLS_PER_BATCH // n)
     for pdf in batches:
         for start in range(0, len(pdf), rows):
             part = pdf.iloc[start : start + rows]
             dense = np.zeros((len(part), n))
             for i, (idx, x) in enumerate(zip(part["idx"], part["x"])):
-                dense[i, np.asarray(idx, dtype=int)] = x
+                dense[i, design.column_of[np.asarray(idx, dtype=int)]] = x
             yield part, dense
 
 
@@ -262,7 +265,7 @@ def _dense_batches(
 
 def _gene_dispersion(design: _Design):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, counts in _dense_batches(batches, len(design.codes)):
+        for part, counts in _dense_batches(batches, design):
             mu = design.fitted(design.group_means(counts))
             yield pd.DataFrame(
                 {
@@ -409,7 +412,7 @@ def fit_features(
     table, design = _load_design(samples, factor, factors)
     n_features = counts.select("feature").distinct().count()
     tasks = task_count(
-        counts.sparkSession, -(-n_features * len(design.codes) // (CELLS_PER_BATCH // 50))
+        counts.sparkSession, -(-n_features * len(design.codes) // CELLS_PER_TASK)
     )
     rows = _feature_rows(counts, table).repartition(tasks, "feature")
     rows = materialize(rows, "feature-rows")
@@ -426,7 +429,7 @@ def fit_features(
     variance, spread = _shrinkage(genes, curve, len(design.codes), len(design.levels))
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, cells in _dense_batches(batches, len(design.codes)):
+        for part, cells in _dense_batches(batches, design):
             means = design.group_means(cells)
             mu = design.fitted(means)
             base = part["base_mean"].to_numpy()

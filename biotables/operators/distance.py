@@ -8,8 +8,6 @@ that occurs in every sample costs no more rows than any other.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,55 +30,100 @@ def _block_pairs(n_blocks: int):
     )
 
 
-def _shared_minimum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.stack([np.minimum(row, b).sum(axis=1) for row in a])
-
-
-def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a @ b.T
-
-
-def _combine_blocks(measure: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+EXPAND = 2_000_000  # products held at a time
+DENSE_GAIN = 8  # a dense cell costs about this much less than an expanded one
+
+
+class _Side:
+    """Cells of one block: matrix row, feature code and value, sorted by feature."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, x: np.ndarray, n: int):
+        order = np.argsort(codes, kind="stable")
+        self.ids, self.rows, self.codes, self.x = ids, rows[order], codes[order], x[order]
+        self.per_feature = np.bincount(codes, minlength=n)
+        self.first = np.concatenate([[0], np.cumsum(self.per_feature)[:-1]])
+
+    def matrix(self, features: np.ndarray) -> np.ndarray:
+        column = np.full(len(self.per_feature), -1)
+        column[features] = np.arange(len(features))
+        mine = column[self.codes] >= 0
+        out = np.zeros((len(self.ids), len(features)))
+        out[self.rows[mine], column[self.codes[mine]]] = self.x[mine]
+        return out
+
+
+def _shared(a: _Side, b: _Side, combine: np.ufunc) -> np.ndarray:
+    """Sum over features of ``combine(x_a, x_b)`` for every row of one block and the other.
+
+    Features that are common in both blocks go through a dense matrix, rare ones through
+    the few cells they have; both add to one block matrix.
+    """
+    shape = (len(a.ids), len(b.ids))
+    out = np.zeros(shape)
+    work = a.per_feature * b.per_feature
+    dense = np.nonzero(work * DENSE_GAIN >= shape[0] * shape[1])[0]
+    if len(dense):
+        left, right = a.matrix(dense), b.matrix(dense)
+        for i, row in enumerate(left):
+            out[i] = combine(row, right).sum(axis=1)
+    is_dense = np.zeros(len(work), dtype=bool)
+    is_dense[dense] = True
+    partners = np.where(is_dense, 0, b.per_feature)[a.codes]
+    done = np.cumsum(partners)
+    start = 0
+    while start < len(partners):
+        base = done[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(done, base + EXPAND, side="right")))
+        n = partners[start:stop]
+        at = np.repeat(np.arange(start, stop), n)
+        offset = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        other = b.first[a.codes[at]] + offset
+        flat = a.rows[at] * shape[1] + b.rows[other]
+        out += np.bincount(
+            flat, weights=combine(a.x[at], b.x[other]), minlength=out.size
+        ).reshape(shape)
+        start = stop
+    return out
+
+
+def _combine_blocks(combine: np.ufunc):
     """Per (block pair, feature chunk): the partial measure of every pair of samples."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi, chunk = key
-        ids = pdf[["block", "pos", "sample"]].drop_duplicates()
-        cells = pdf[pdf["is_cell"]]
-        codes, names = pd.factorize(cells["feature"])
-
-        def side(block: int):
-            members = ids[ids["block"] == block].sort_values("pos")
-            row_of = {p: i for i, p in enumerate(members["pos"])}
-            matrix = np.zeros((len(members), len(names)))
-            mine = (cells["block"] == block).to_numpy()
-            rows = cells["pos"][mine].map(row_of).to_numpy(dtype=int)
-            matrix[rows, codes[mine]] = cells["x"].to_numpy(dtype=float)[mine]
-            total = pdf[(pdf["block"] == block) & ~pdf["is_cell"]].sort_values("pos")["x"]
-            return members["sample"].to_numpy(), matrix, total.to_numpy(dtype=float)
-
-        names_a, a, total_a = side(lo)
-        names_b, b, total_b = (names_a, a, total_a) if lo == hi else side(hi)
-        shared = measure(a, b)
-        wanted = np.triu(np.ones(shared.shape, dtype=bool), 1) if lo == hi else shared == shared
+        is_cell = pdf["is_cell"].to_numpy(dtype=bool)
+        block, pos, x = (pdf[c].to_numpy() for c in ("block", "pos", "x"))
+        codes, names = pd.factorize(pdf["feature"].to_numpy()[is_cell])
+        feature = np.full(len(pdf), -1)
+        feature[is_cell] = codes
+
+        def side(number: int):
+            here = block == number
+            slots, at = np.unique(pos[here], return_index=True)
+            ids = pdf["sample"].to_numpy()[here][at]
+            cell = here & is_cell
+            rows = np.searchsorted(slots, pos[cell])
+            total = np.zeros(len(slots))
+            total[np.searchsorted(slots, pos[here & ~is_cell])] = x[here & ~is_cell]
+            return _Side(ids, rows, feature[cell], x[cell].astype(float), len(names)), total
+
+        a, total_a = side(lo)
+        b, total_b = (a, total_a) if lo == hi else side(hi)
+        shared = _shared(a, b, combine)
+        wanted = np.ones(shared.shape, dtype=bool)
+        if lo == hi:
+            wanted = np.triu(wanted, 1)
         if chunk != 0:
             wanted &= shared != 0
         i, j = np.nonzero(wanted)
-        first = chunk == 0
         return pd.DataFrame(
-            {
-                "a": names_a[i],
-                "b": names_b[j],
-                "shared": shared[i, j],
-                "total_a": total_a[i] if first else np.zeros(len(i)),
-                "total_b": total_b[j] if first else np.zeros(len(j)),
-            }
+            {"a": a.ids[i], "b": b.ids[j], "shared": shared[i, j], "total_a": total_a[i], "total_b": total_b[j]}
         )
 
     return run
 
 
-def _pair_sums(counts: DataFrame, measure, total, block: int) -> DataFrame:
+def _pair_sums(counts: DataFrame, combine: np.ufunc, total, block: int) -> DataFrame:
     """Per pair of samples: the summed measure and both sample totals."""
     cells = counts.groupBy("sample", "feature").agg(F.sum("count").cast("double").alias("x"))
     cells = materialize(cells, "cells")  # read for the sizes and again for the blocks
@@ -112,7 +155,7 @@ def _pair_sums(counts: DataFrame, measure, total, block: int) -> DataFrame:
         .repartition(tasks, "lo", "hi", "chunk")
         .groupBy("lo", "hi", "chunk")
         .applyInPandas(
-            _combine_blocks(measure),
+            _combine_blocks(combine),
             f"a {id_type}, b {id_type}, shared double, total_a double, total_b double",
         )
     )
@@ -131,16 +174,16 @@ def _pair_sums(counts: DataFrame, measure, total, block: int) -> DataFrame:
     )
 
 
-def bray_curtis(counts: DataFrame, block: int = 256) -> DataFrame:
+def bray_curtis(counts: DataFrame, block: int = 512) -> DataFrame:
     """Bray-Curtis dissimilarity ``(id_a, id_b, dist)`` with ``id_a < id_b``."""
-    pairs = _pair_sums(counts.filter(F.col("count") > 0), _shared_minimum, F.sum("x"), block)
+    pairs = _pair_sums(counts.filter(F.col("count") > 0), np.minimum, F.sum("x"), block)
     size = F.col("total_a") + F.col("total_b")
     return pairs.select("id_a", "id_b", (1 - 2 * F.col("shared") / size).alias("dist"))
 
 
-def euclidean(counts: DataFrame, block: int = 256) -> DataFrame:
+def euclidean(counts: DataFrame, block: int = 512) -> DataFrame:
     """Euclidean distance of count profiles ``(id_a, id_b, dist)`` with ``id_a < id_b``."""
-    pairs = _pair_sums(counts, _dot, F.sum(F.col("x") * F.col("x")), block)
+    pairs = _pair_sums(counts, np.multiply, F.sum(F.col("x") * F.col("x")), block)
     square = F.col("total_a") + F.col("total_b") - 2 * F.col("shared")
     return pairs.select("id_a", "id_b", F.sqrt(F.greatest(square, F.lit(0.0))).alias("dist"))
 
@@ -164,7 +207,7 @@ def _vector_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def vector_distances(df: DataFrame, key: str, vector: str, block: int = 256) -> DataFrame:
+def vector_distances(df: DataFrame, key: str, vector: str, block: int = 512) -> DataFrame:
     """Euclidean distance between all pairs of array rows."""
     rows = dense_index(df.select(F.col(key).alias("id"), F.col(vector).alias("vec")), ["id"], "idx")
     n_blocks = max(1, -(-df.count() // block))

@@ -67,28 +67,34 @@ def trim_reads(
     ``status`` is ``paired`` when both mates keep ``min_length`` bases, ``unpaired`` when
     only this one does; reads that become too short are dropped.
     """
-    quality = F.col("quality")
-    positions = F.sequence(F.lit(0), F.size(quality))
-    good_start = F.filter(positions, lambda i: F.get(quality, i) >= leading)
-    good_end = F.filter(positions, lambda i: F.get(quality, i) >= trailing)
-
-    def weak(i: Column) -> Column:
-        total = sum((F.get(quality, i + k) for k in range(1, window)), F.get(quality, i))
-        inside = (i >= F.col("__start")) & (i + window <= F.col("__end"))
-        return inside & (total < window * required)
-
-    cut = F.array_min(F.filter(positions, weak))
+    size = F.size("quality")
+    positions = F.sequence(F.lit(0), size)
+
+    def bound(q: Column) -> Column:
+        first = F.array_min(F.filter(positions, lambda i: F.get(q, i) >= leading))
+        last = F.array_max(F.filter(positions, lambda i: F.get(q, i) >= trailing))
+        first = F.coalesce(first, size)
+        return F.struct(first.alias("first"), F.greatest(first, F.coalesce(last + 1, F.lit(0))).alias("stop"))
+
+    def cut(q: Column, ends: Column) -> Column:
+        def weak(i: Column) -> Column:
+            total = sum((F.get(q, i + k) for k in range(1, window)), F.get(q, i))
+            return (i >= ends["first"]) & (i + window <= ends["stop"]) & (total < window * required)
+
+        stop = F.coalesce(F.array_min(F.filter(positions, weak)), ends["stop"])
+        return F.struct(ends["first"].alias("first"), (stop - ends["first"]).alias("kept"))
+
+    # the one-element arrays and the generator make sure that each step is evaluated once per read
+    ends = F.transform(F.array("quality"), bound)
+    window_cut = F.transform(ends, lambda e: cut(F.col("quality"), e))
     trimmed = (
-        reads.withColumn("__start", F.coalesce(F.array_min(good_start), F.size(quality)))
-        .withColumn("__end", F.coalesce(F.array_max(good_end) + 1, F.lit(0)))
-        .withColumn("__end", F.coalesce(cut, F.greatest("__end", "__start")))
-        .withColumn("__kept", F.col("__end") - F.col("__start"))
-        .filter(F.col("__kept") >= min_length)
+        reads.select("read_id", "mate", "bases", "quality", F.inline(window_cut))
+        .filter(F.col("kept") >= min_length)
         .select(
             "read_id",
             "mate",
-            F.substr(F.col("bases"), F.col("__start") + 1, F.col("__kept")).alias("bases"),
-            F.slice("quality", F.col("__start") + 1, F.col("__kept")).alias("quality"),
+            F.substr(F.col("bases"), F.col("first") + 1, F.col("kept")).alias("bases"),
+            F.slice("quality", F.col("first") + 1, F.col("kept")).alias("quality"),
         )
     )
     mates = trimmed.groupBy("read_id").agg(F.count(F.lit(1)).alias("__mates"))

@@ -52,10 +52,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def task_count(spark: SparkSession, wanted: int) -> int:
-    """Tasks for CPU-heavy Python work: ``wanted``, at most the shuffle width of the session.
+def task_count(spark: SparkSession, wanted: int | None = None) -> int:
+    """Tasks for CPU-heavy work: ``wanted``, at most the shuffle width of the session.
 
     Such work is small in bytes, so the adaptive merge of small partitions must not apply.
     """
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(int(wanted), max(width, spark.sparkContext.defaultParallelism)))
+    most = max(width, spark.sparkContext.defaultParallelism)
+    return most if wanted is None else max(1, min(int(wanted), most))
