@@ -49,8 +49,6 @@ def read_table(
         spark.read.schema(raw_schema)
         .option("sep", sep)
         .option("header", True)
-        .option("emptyValue", "")
-        .option("nullValue", "\u0000")
         .csv(path)
     )
     if check_header:
@@ -59,11 +57,14 @@ def read_table(
 
 
 def _typed(field: T.StructField, null_text: str, blank_as_null: bool) -> Column:
-    value = F.nullif(F.col(field.name), F.lit(null_text))
-    if isinstance(field.dataType, T.StringType):
-        value = F.nullif(value, F.lit("")) if blank_as_null else value
+    # the reader hands a blank cell over as NULL
+    cell = F.col(f"`{field.name}`")
+    if not isinstance(field.dataType, T.StringType):
+        value = F.nullif(cell, F.lit(null_text)).try_cast(field.dataType)
+    elif blank_as_null:
+        value = F.nullif(F.nullif(cell, F.lit(null_text)), F.lit(""))
     else:
-        value = value.try_cast(field.dataType)
+        value = F.nullif(F.coalesce(cell, F.lit("")), F.lit(null_text))
     return value.alias(field.name)
 
 
