@@ -103,11 +103,11 @@ def alignments(t: Tables):
 
 def annotation(t: Tables):
     """Features on the contigs, placed by part size."""
-    n = t.supplier.agg(F.count(F.lit(1)).alias("contigs"))
+    contigs = t.supplier.agg(F.count(F.lit(1))).scalar()
     start = F.col("p_size").cast("bigint") * 60
-    return t.part.crossJoin(F.broadcast(n)).select(  # one row
+    return t.part.select(
         F.concat(F.lit("gene"), F.col("p_partkey")).alias("feature"),
-        (F.col("p_partkey") % F.col("contigs")).alias("contig"),
+        (F.col("p_partkey") % contigs).alias("contig"),
         start.alias("start"),
         (start + 30 + F.length("p_name")).alias("end"),
     )

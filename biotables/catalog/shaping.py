@@ -29,6 +29,7 @@ from biotables.operators import joins, reshape
 from biotables.operators.totals import descending_rank
 from biotables.plans import expression
 from biotables.plans.expression import SUBSTRATES
+from biotables.session import materialize
 
 # ---------------------------------------------------------------- reshape
 
@@ -206,7 +207,7 @@ def fact_inputs(t: Tables):
         "genes": genes(t),
         "loci": locus_contig(t),
         "contigs": contig_bin(t),
-        "taxa": bins(t),
+        "taxa": materialize(bins(t), "taxa"),  # a stored table, so its size is known to the planner
     }
 
 

@@ -139,6 +139,17 @@ def lump_low_abundance(
     )
 
 
+def _scaled(h: str, total: str) -> Column:
+    """``floor(h * total / 2^60)`` for a 60-bit ``h``, exact.
+
+    Totals below 2^33 fit two 30-bit halves into long arithmetic; others use decimals.
+    """
+    high, low = F.shiftright(h, 30), F.col(h).bitwiseAND(F.lit(2**30 - 1))
+    narrow = F.shiftright(high * F.col(total) + F.shiftright(low * F.col(total), 30), 30)
+    wide = F.expr(f"(cast({h} as decimal(19,0)) * cast({total} as decimal(18,0))) div {2**60}")
+    return F.when(F.col(total) < 2**33, narrow).otherwise(wide)
+
+
 def rarefy(counts: DataFrame, seed: int = 81, slot_draws: int = 20_000) -> DataFrame:
     """Draw every sample, with replacement, down to the smallest sample total.
 
@@ -159,8 +170,7 @@ def rarefy(counts: DataFrame, seed: int = 81, slot_draws: int = 20_000) -> DataF
     sizes = cells.groupBy("sample").agg(
         F.sum("count").alias("total"), F.count(F.lit(1)).alias("n_features")
     )
-    depth = sizes.agg(F.min("total").alias("depth"))
-    plan = sizes.crossJoin(F.broadcast(depth))  # one row on the right
+    plan = sizes.withColumn("depth", sizes.agg(F.min("total")).scalar())
     slots = F.expr(f"greatest(depth, n_features) div {slot_draws} + 1")
     plan = plan.withColumn("slots", slots).select(
         "sample", "total", "depth", F.expr("(total + slots - 1) div slots").alias("width")
@@ -179,13 +189,16 @@ def rarefy(counts: DataFrame, seed: int = 81, slot_draws: int = 20_000) -> DataF
         ).alias("d"),
     )
     key = F.concat_ws("|", F.lit(str(seed)), F.col("sample").cast("string"), F.col("d").cast("string"))
-    hashed = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("decimal(19,0)")
     draws = (
-        draws.withColumn("__hd", hashed)
-        .withColumn("u", F.expr(f"(__hd * cast(total as decimal(18,0))) div {2**60}"))
-        .select("sample", F.expr("u div width").alias("slot"), "u", F.lit(None).cast("string").alias("feature"))
-        .groupBy("sample", "slot", "u", "feature")
-        .agg(F.count(F.lit(1)).alias("n"))
+        draws.withColumn("h", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint"))
+        .withColumn("u", _scaled("h", "total"))
+        .select(
+            "sample",
+            F.expr("u div width").alias("slot"),
+            "u",
+            F.lit(None).cast("string").alias("feature"),
+            F.lit(1).cast("bigint").alias("n"),
+        )
     )
     start = F.col("__end") - F.col("count")
     pieces = (

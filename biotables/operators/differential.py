@@ -36,14 +36,13 @@ MAX_SAMPLES = 2_000_000
 
 def geometric_means(counts: DataFrame, samples: DataFrame) -> DataFrame:
     """``exp(sum(ln x over positive x) / number of samples)`` per feature."""
-    n = samples.select("sample").distinct().agg(F.count(F.lit(1)).alias("n"))
+    n = samples.select("sample").distinct().agg(F.count(F.lit(1))).scalar()
     logs = (
         counts.filter(F.col("count") > 0)
         .groupBy("feature")
         .agg(F.sum(F.log(F.col("count").cast("double"))).alias("s"))
     )
-    one_row = F.broadcast(n)
-    return logs.crossJoin(one_row).select("feature", F.exp(F.col("s") / F.col("n")).alias("geo_mean"))
+    return logs.select("feature", F.exp(F.col("s") / n).alias("geo_mean"))
 
 
 def size_factors(counts: DataFrame, geo: DataFrame, rescale: bool = True) -> DataFrame:
@@ -59,8 +58,7 @@ def size_factors(counts: DataFrame, geo: DataFrame, rescale: bool = True) -> Dat
     )
     logs = exact_quantiles(ratios, ["sample"], "r", {"m": 0.5}).select("sample", "m")
     if rescale:
-        center = F.broadcast(logs.agg(F.avg("m").alias("c")))  # one row
-        logs = logs.crossJoin(center).select("sample", (F.col("m") - F.col("c")).alias("m"))
+        logs = logs.select("sample", (F.col("m") - logs.agg(F.avg("m")).scalar()).alias("m"))
     return logs.select("sample", F.exp("m").alias("size_factor"))
 
 
@@ -70,17 +68,16 @@ def normalized(counts: DataFrame, factors: DataFrame) -> DataFrame:
 
 def dispersion_moments(counts: DataFrame, factors: DataFrame) -> DataFrame:
     """Moment estimate ``(var - mean * avg(1/s)) / mean^2`` on normalised counts, zeros included."""
-    scale = factors.agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.avg(1 / F.col("size_factor")).alias("inv")
-    )
+    n = factors.agg(F.count(F.lit(1)).cast("double")).scalar()
+    inverse = factors.agg(F.avg(1 / F.col("size_factor"))).scalar()
     sums = normalized(counts, factors).groupBy("feature").agg(
         F.sum("norm").alias("s1"), F.sum(F.col("norm") * F.col("norm")).alias("s2")
     )
     mean = F.col("s1") / F.col("n")
     var = (F.col("s2") - F.col("n") * mean * mean) / (F.col("n") - 1)
     return (
-        sums.crossJoin(F.broadcast(scale))  # one row
-        .select("feature", mean.alias("base_mean"), var.alias("base_var"), "inv")
+        sums.withColumn("n", n)
+        .select("feature", mean.alias("base_mean"), var.alias("base_var"), inverse.alias("inv"))
         .select(
             "feature",
             "base_mean",
@@ -100,9 +97,11 @@ def dispersion_moments(counts: DataFrame, factors: DataFrame) -> DataFrame:
 def design_report(samples: DataFrame, factor: str) -> DataFrame:
     """Samples per level of the factor and whether any level is replicated."""
     levels = samples.groupBy(F.col(factor).alias("level")).agg(F.count(F.lit(1)).alias("n_samples"))
-    best = levels.agg(F.max("n_samples").alias("__most"), F.count(F.lit(1)).alias("n_levels"))
-    return levels.crossJoin(F.broadcast(best)).select(  # one row
-        "level", "n_samples", "n_levels", (F.col("__most") >= 2).alias("replicated")
+    return levels.select(
+        "level",
+        "n_samples",
+        levels.agg(F.count(F.lit(1))).scalar().alias("n_levels"),
+        (levels.agg(F.max("n_samples")).scalar() >= 2).alias("replicated"),
     )
 
 
@@ -583,18 +582,15 @@ def log2_ratio_pairs(counts: DataFrame, samples: DataFrame, factor: str, factors
     scaled = normalized(counts, factors).join(
         samples.select("sample", F.col(factor).alias("level")), "sample"
     )
-    sizes = samples.agg(
-        *[F.count_if(F.col(factor) == level).alias(f"n{i}") for i, level in enumerate(levels)]
-    )
+    sizes = samples.groupBy(F.col(factor).alias("level")).agg(F.count(F.lit(1)).alias("n"))
     sums = scaled.groupBy("feature").agg(
         *[
             F.sum(F.when(F.col("level") == level, F.col("norm"))).alias(f"s{i}")
             for i, level in enumerate(levels)
         ]
     )
-    means = sums.crossJoin(F.broadcast(sizes)).select(  # one row
-        "feature", *[(F.col(f"s{i}") / F.col(f"n{i}")).alias(f"m{i}") for i in range(len(levels))]
-    )
+    n_of = [sizes.filter(F.col("level") == level).select("n").scalar() for level in levels]
+    means = sums.select("feature", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i, n in enumerate(n_of)])
     rows = [
         F.struct(
             F.lit(f"{levels[b]}_vs_{levels[a]}").alias("comparison"),

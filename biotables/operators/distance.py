@@ -92,19 +92,19 @@ def _combine_blocks(combine: np.ufunc):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi, chunk = key
         is_cell = pdf["is_cell"].to_numpy(dtype=bool)
-        block, pos, x = (pdf[c].to_numpy() for c in ("block", "pos", "x"))
+        block, pos, x, sample = (pdf[c].to_numpy() for c in ("block", "pos", "x", "sample"))
         codes, names = pd.factorize(pdf["feature"].to_numpy()[is_cell])
         feature = np.full(len(pdf), -1)
         feature[is_cell] = codes
 
         def side(number: int):
             here = block == number
-            slots, at = np.unique(pos[here], return_index=True)
-            ids = pdf["sample"].to_numpy()[here][at]
-            cell = here & is_cell
+            members, cell = here & ~is_cell, here & is_cell
+            order = np.argsort(pos[members])
+            slots, ids, total = (v[members][order] for v in (pos, sample, x))
+            if chunk != 0:
+                total = np.zeros(len(total))
             rows = np.searchsorted(slots, pos[cell])
-            total = np.zeros(len(slots))
-            total[np.searchsorted(slots, pos[here & ~is_cell])] = x[here & ~is_cell]
             return _Side(ids, rows, feature[cell], x[cell].astype(float), len(names)), total
 
         a, total_a = side(lo)
@@ -126,7 +126,10 @@ def _combine_blocks(combine: np.ufunc):
 def _pair_sums(counts: DataFrame, combine: np.ufunc, total, block: int) -> DataFrame:
     """Per pair of samples: the summed measure and both sample totals."""
     cells = counts.groupBy("sample", "feature").agg(F.sum("count").cast("double").alias("x"))
-    cells = materialize(cells, "cells")  # read for the sizes and again for the blocks
+    # read for the sizes and again for the blocks; spread evenly, since every row is
+    # copied to as many block pairs as there are blocks
+    cells = cells.repartition(task_count(counts.sparkSession), "sample", "feature")
+    cells = materialize(cells, "cells")
     sizes = cells.groupBy("sample").agg(total.alias("total"), F.count(F.lit(1)).alias("n"))
     sizes = dense_index(sizes, ["sample"], "idx")
     shape = sizes.agg(F.count(F.lit(1)).alias("samples"), F.sum("n").alias("cells")).first()
@@ -138,13 +141,15 @@ def _pair_sums(counts: DataFrame, combine: np.ufunc, total, block: int) -> DataF
         F.floor(F.col("idx") / block).cast("int").alias("block"),
         F.pmod("idx", F.lit(block)).cast("int").alias("pos"),
     )
+    # every chunk knows the samples of its blocks; their totals count in the first one only
     sample_rows = placed.select(
         "sample", "block", "pos", F.lit(None).cast(cells.schema["feature"].dataType).alias("feature"),
-        F.col("total").alias("x"), F.lit(False).alias("is_cell"), F.lit(0).alias("chunk"),
+        F.col("total").alias("x"), F.lit(False).alias("is_cell"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"),
     )
-    cell_rows = cells.join(placed, "sample").select(
-        "sample", "block", "pos", "feature", "x", F.lit(True).alias("is_cell"),
-        F.pmod(F.xxhash64("feature"), F.lit(n_chunks)).cast("int").alias("chunk"),
+    cell_rows = cells.join(placed.drop("total"), "sample").select(
+        F.lit(None).cast(cells.schema["sample"].dataType).alias("sample"), "block", "pos", "feature", "x",
+        F.lit(True).alias("is_cell"), F.pmod(F.xxhash64("feature"), F.lit(n_chunks)).cast("int").alias("chunk"),
     )
     id_type = counts.schema["sample"].dataType.simpleString()
     n_pairs = n_blocks * (n_blocks + 1) // 2

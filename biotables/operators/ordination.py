@@ -26,7 +26,7 @@ def double_center(dist: DataFrame) -> DataFrame:
         F.sum("d2").alias("s"), (F.count(F.lit(1)) + 1).alias("n")
     )
     means = sums.select("i", (F.col("s") / F.col("n")).alias("m"))
-    grand = sums.agg((F.sum("s") / F.max("n") / F.max("n")).alias("g"))
+    grand = sums.agg(F.sum("s") / F.max("n") / F.max("n")).scalar()
     diagonal = means.select(F.col("i").alias("id_a"), F.col("i").alias("id_b"), F.lit(0.0).alias("d2"))
     left = means.select(F.col("i").alias("id_a"), F.col("m").alias("ma"))
     right = means.select(F.col("i").alias("id_b"), F.col("m").alias("mb"))
@@ -34,11 +34,10 @@ def double_center(dist: DataFrame) -> DataFrame:
         square.unionByName(diagonal)
         .join(left, "id_a")
         .join(right, "id_b")
-        .crossJoin(F.broadcast(grand))  # one row
         .select(
             "id_a",
             "id_b",
-            (-0.5 * (F.col("d2") - F.col("ma") - F.col("mb") + F.col("g"))).alias("b"),
+            (-0.5 * (F.col("d2") - F.col("ma") - F.col("mb") + grand)).alias("b"),
         )
     )
 

@@ -97,12 +97,9 @@ def trim_reads(
             F.slice("quality", F.col("first") + 1, F.col("kept")).alias("quality"),
         )
     )
-    mates = trimmed.groupBy("read_id").agg(F.count(F.lit(1)).alias("__mates"))
-    return (
-        trimmed.join(mates, "read_id")
-        .withColumn("status", F.when(F.col("__mates") == 2, "paired").otherwise("unpaired"))
-        .drop("__mates")
-    )
+    # a read id has at most two rows, its mates, so this window stays tiny
+    mates = F.count(F.lit(1)).over(W.partitionBy("read_id"))
+    return trimmed.withColumn("status", F.when(mates == 2, "paired").otherwise("unpaired"))
 
 
 def coordinate_sort(alignments: DataFrame, partitions: int | None = None) -> DataFrame:

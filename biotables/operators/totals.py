@@ -105,7 +105,8 @@ def later_minimum(
 ) -> DataFrame:
     """Smallest ``value`` at this or any later position of the group."""
     keys = [*group, bucket]
-    after = W.partitionBy(*group).orderBy(bucket).rowsBetween(1, W.unboundedFollowing)
+    # backwards, because a frame that grows from the start is kept up row by row
+    after = W.partitionBy(*group).orderBy(F.desc(bucket)).rowsBetween(W.unboundedPreceding, -1)
     carry = (
         df.groupBy(*keys)
         .agg(F.min(value).alias("__min"))

@@ -25,7 +25,10 @@ UNKNOWN_PATHWAY = "Unknown_Pathway"
 
 
 def drop_special_rows(counts: DataFrame, tag: str = "locus_tag") -> DataFrame:
-    """Without the summary rows of the read counter, whose tags start with two underscores."""
+    """Without the summary rows of the read counter, whose tags start with two underscores.
+
+    Rows without a tag fail the test as well.
+    """
     return counts.filter(~F.col(tag).startswith("__"))
 
 
@@ -59,18 +62,26 @@ def assemble_fact(
 ) -> DataFrame:
     """Counts per locus with gene, pathway, contig, bin, taxonomy and quality.
 
-    Bins are required. A locus whose enzyme is on several pathways has one row per
-    pathway, so sums over loci start from ``pathways=None``, which has one row per locus.
-    The tables of contigs, bins and pathways are broadcast only when their size allows.
+    ``counts`` has one row per locus (:func:`merge_counts`). Bins are required. A locus
+    whose enzyme is on several pathways has one row per pathway, so sums over loci start
+    from ``pathways=None``, which has one row per locus.
+
+    Locus tags are never missing, so the three tables keyed by them are joined by plain
+    equality and shuffled once each; the other keys may be missing and match as such. The
+    result has no repeated rows because no input has any: removing repeats from the narrow
+    inputs is cheaper than from the wide result.
     """
-    fact = key_join(counts, genes, ["locus_tag"], "left")
-    if pathways is not None:
-        fact = key_join(fact, pathways, ["EC_number"], "left").withColumn(
-            "General_Pathway", F.coalesce("General_Pathway", F.lit(UNKNOWN_PATHWAY))
-        )
-    fact = key_join(fact, loci, ["locus_tag"], "left")
-    fact = key_join(fact, contigs, list(contig_keys), "left").filter(F.col("BinID").isNotNull())
-    return key_join(fact, taxa, ["BinID", "Enrichment"], "left").distinct()
+    fact = key_join(counts, genes.distinct(), ["locus_tag"], "left", nulls_match=False)
+    fact = key_join(fact, loci.distinct(), ["locus_tag"], "left", nulls_match=False)
+    fact = key_join(fact, contigs.distinct(), list(contig_keys), "left")
+    fact = key_join(
+        fact.filter(F.col("BinID").isNotNull()), taxa.distinct(), ["BinID", "Enrichment"], "left"
+    )
+    if pathways is None:
+        return fact
+    return key_join(fact, pathways.distinct(), ["EC_number"], "left").withColumn(
+        "General_Pathway", F.coalesce("General_Pathway", F.lit(UNKNOWN_PATHWAY))
+    )
 
 
 def strict_group_totals(
