@@ -26,13 +26,8 @@ _GEO = {
 _BOTH = "taxon_counts taxon_samples"
 
 
-def factors_of(t: Tables):
-    counts = taxon_counts(t)
-    return counts, de.size_factors(counts, de.geometric_means(counts, taxon_samples(t)))
-
-
-def stored_counts(t: Tables):
-    """Counts, samples and factors of a fit, which reads the counts several times."""
+def stored_inputs(t: Tables):
+    """Counts, samples and size factors as stored tables; the statistics read them repeatedly."""
     counts = materialize(taxon_counts(t), "counts")
     samples = materialize(taxon_samples(t), "samples")
     return counts, samples, de.size_factors(counts, de.geometric_means(counts, samples))
@@ -48,13 +43,13 @@ def geo_mean(t: Tables):
 @query(with_tables(_BOTH, "SELECT sample, round(size_factor, 6) AS size_factor FROM factors", **_GEO))
 def size_factors(t: Tables):
     """Median ratio per sample, scaled to geometric mean 1."""
-    return factors_of(t)[1].withColumn("size_factor", F.round("size_factor", 6))
+    return stored_inputs(t)[2].withColumn("size_factor", F.round("size_factor", 6))
 
 
 @query(with_tables(_BOTH, """SELECT sample, feature, count, round(count / size_factor, 6) AS norm
  FROM taxon_counts JOIN factors USING (sample)""", **_GEO))
 def normalized_counts(t: Tables):
-    counts, factors = factors_of(t)
+    counts, _, factors = stored_inputs(t)
     return de.normalized(counts, factors).drop("size_factor").withColumn("norm", F.round("norm", 6))
 
 
@@ -65,7 +60,7 @@ def normalized_counts(t: Tables):
  FROM taxon_counts JOIN factors USING (sample) GROUP BY 1),
  (SELECT COUNT(*)::DOUBLE AS n, AVG(1 / size_factor) AS inv FROM factors))""", **_GEO))
 def dispersion_moments(t: Tables):
-    counts, factors = factors_of(t)
+    counts, _, factors = stored_inputs(t)
     out = de.dispersion_moments(counts, factors)
     return out.select("feature", *[F.round(c, 5).alias(c) for c in ("base_mean", "base_var", "dispersion")])
 
@@ -73,7 +68,7 @@ def dispersion_moments(t: Tables):
 @query()
 def dispersion_fit(t: Tables):
     """Gene-wise, trend (local) and shrunken dispersion per feature."""
-    counts, samples, factors = stored_counts(t)
+    counts, samples, factors = stored_inputs(t)
     fit, _ = de.fit_features(counts, samples, "substrate", factors, trend="local")
     return fit.select("feature", "base_mean", "disp_gene", "disp_trend", "dispersion", "outlier")
 
@@ -81,7 +76,7 @@ def dispersion_fit(t: Tables):
 @query()
 def nb_wald(t: Tables):
     """Zero-tolerant size factors, local trend, one contrast between two enrichments."""
-    counts, samples, factors = stored_counts(t)
+    counts, samples, factors = stored_inputs(t)
     samples = samples.withColumn("enrichment", enrichment("taxon"))
     fit, levels = de.fit_features(counts, samples, "enrichment", factors, trend="local")
     return de.bh_adjust(de.wald_tests(fit, levels, [("Beta", "Alpha")]), ["comparison"])
@@ -119,8 +114,8 @@ def _ratio_sql() -> str:
 @query(_ratio_sql())
 def log2_ratio_pairs(t: Tables):
     """Log2 ratio of mean normalised counts for every pair of substrates."""
-    counts, factors = factors_of(t)
-    out = de.log2_ratio_pairs(counts, taxon_samples(t), "substrate", factors, sorted(SUBSTRATES))
+    counts, samples, factors = stored_inputs(t)
+    out = de.log2_ratio_pairs(counts, samples, "substrate", factors, sorted(SUBSTRATES))
     return out.withColumn("log2_ratio", F.round("log2_ratio", 6) + F.lit(0.0))
 
 

@@ -57,6 +57,7 @@ def size_factors(counts: DataFrame, geo: DataFrame, rescale: bool = True) -> Dat
         .select("sample", (F.log(F.col("count").cast("double")) - F.log("geo_mean")).alias("r"))
     )
     logs = exact_quantiles(ratios, ["sample"], "r", {"m": 0.5}).select("sample", "m")
+    logs = materialize(logs, "size-factors")  # one row per sample, read by every later step
     if rescale:
         logs = logs.select("sample", (F.col("m") - logs.agg(F.avg("m")).scalar()).alias("m"))
     return logs.select("sample", F.exp("m").alias("size_factor"))
