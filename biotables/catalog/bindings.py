@@ -316,5 +316,6 @@ def with_tables(names: str, body: str, **more: str) -> str:
 
     for name in names.split():
         add(name)
-    blocks = [f"{n} AS ({CTES[n]})" for n in ordered] + [f"{n} AS ({s})" for n, s in more.items()]
+    blocks = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in ordered]
+    blocks += [f"{n} AS MATERIALIZED ({s})" for n, s in more.items()]
     return ("WITH " + ",\n".join(blocks) + "\n" if blocks else "") + body
