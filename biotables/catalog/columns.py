@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 from biotables.catalog.bindings import (
     SUBSTRATE_OF,
     TIER_SQL,
-    bins,
     enrichment,
     genes,
     locus_wide,
     parts,
-    sales,
-    tag,
     wide_sql,
     with_tables,
 )

@@ -14,8 +14,6 @@ from biotables.catalog.bindings import (
     sample_counts,
     taxon_counts,
     taxon_samples,
-    taxon_sales,
-    wide_sql,
     wide_sums,
     with_tables,
 )

@@ -9,7 +9,6 @@ from biotables.catalog.bindings import (
     gene_features,
     parts,
     sample_counts,
-    tag,
     with_tables,
 )
 from biotables.catalog.registry import Tables, query

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from biotables.catalog.bindings import (
-    bin_samples,
     contig_bin,
     counts_long,
-    enrichment,
     enzyme_pathway,
     gene_features,
     genes,
@@ -18,7 +16,6 @@ from biotables.catalog.bindings import (
     parts,
     results_table,
     sales,
-    tag,
     taxon_counts,
     taxon_samples,
     wide_sql,
