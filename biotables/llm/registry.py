@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: module of each registered query
 MODULES = {
+    "op1_suffix_dedup": "suffix_dedup",
     "op9_byte_bpe": "byte_bpe",
 }
 
