@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +31,11 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 #: texts go to the encoder in groups of at most so many bytes
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 19
+#: pieces of text in each of the two generations that a task remembers
+REMEMBERED = 150_000
+#: a space next to other white space
+UNEVEN_SPACE = re.compile(r"\s\x20|\x20\s")
 
 
 def byte_table() -> list[str]:
@@ -65,7 +72,7 @@ def encoder(path: str, pattern: str):
     ranks, letters = read_ranks(path), byte_table()
     name = lambda token: "".join(letters[b] for b in token)
     merges = [m for token, rank in sorted(ranks.items(), key=lambda x: x[1]) if len(token) > 1 and (m := parts_of(token, rank, ranks))]
-    model = models.BPE({name(t): r for t, r in ranks.items()}, [(name(a), name(b)) for a, b in merges], cache_capacity=200_000)
+    model = models.BPE({name(t): r for t, r in ranks.items()}, [(name(a), name(b)) for a, b in merges])
     made = Tokenizer(model)
     made.pre_tokenizer = pre_tokenizers.Sequence(
         [
@@ -87,6 +94,94 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by_id), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in by_id])])
 
 
+def uint32_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    made = array("I", ids)
+    if made.itemsize != 4 or sys.byteorder != "little":
+        return np.array(ids, "<u4").tobytes()
+    return made.tobytes()
+
+
+class PieceEncoder:
+    """Ids of whole texts; each different piece between spaces is encoded once while it is remembered.
+
+    The pattern starts a new match at every space that stands between two other characters, if neither
+    is white space, so such a text may be cut before its spaces. Texts with a space next to other white
+    space are encoded in one piece.
+    """
+
+    def __init__(self, ranks: str, pattern: str, most: int = REMEMBERED):
+        self.tool, self.most = encoder(ranks, pattern), most
+        # two generations: what is used again moves from the old one to the new one
+        self.known, self.old = {}, {}
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [uint32_bytes(e.ids) for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [None if UNEVEN_SPACE.search(t) else t.split(" ") for t in texts]
+        later = set().union(*(c[1:] for c in cut if c)).difference(self.known)
+        if len(self.known) + len(later) > self.most:
+            self.known, self.old = {}, self.known
+            later = set().union(*(c[1:] for c in cut if c))
+        again = later.intersection(self.old)
+        self.known.update((p, self.old[p]) for p in again)
+        new = list(later.difference(again))
+        self.known.update(zip(new, self.plain([" " + p for p in new])))
+        heads = iter(self.plain([t if c is None else c[0] for t, c in zip(texts, cut)]))
+        return [next(heads) if c is None else next(heads) + b"".join(map(self.known.__getitem__, c[1:])) for c in cut]
+
+
+@lru_cache(maxsize=4)
+def piece_encoder(ranks: str, pattern: str) -> PieceEncoder:
+    return PieceEncoder(ranks, pattern)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def encode_batches(parts: Batches, ranks: str, pattern: str, offsets: bool) -> Batches:
+    """Batches of (id, text) to batches of (doc_id, ids) and offsets, if asked for."""
+    for rows in parts:
+        points = cut_points(np.diff(text_bytes(rows.column(1))[1]), GROUP_BYTES)
+        for a, b in zip(points, points[1:]):
+            group = [t or "" for t in rows.column(1).slice(a, b - a).to_pylist()]
+            out = [rows.column(0).slice(a, b - a)]
+            if offsets:
+                found = encoder(ranks, pattern).encode_batch(group, add_special_tokens=False)
+                out.append(pa.array([uint32_bytes(e.ids) for e in found], pa.binary()))
+                out.append(pa.array([uint32_bytes([o[0] for o in e.offsets]) for e in found], pa.binary()))
+            else:
+                out.append(pa.array(piece_encoder(ranks, pattern).encode(group), pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "offsets"][: len(out)])
+
+
+def decode_batches(parts: Batches, ranks: str) -> Batches:
+    """Adds the bytes behind the ids of the second column."""
+    raw, start = token_bytes(ranks)
+    size = np.diff(start)
+    for rows in parts:
+        points = cut_points(np.diff(text_bytes(rows.column(1))[1]), GROUP_BYTES)
+        for a, b in zip(points, points[1:]):
+            part = rows.slice(a, b - a)
+            data, where = text_bytes(part.column(1))
+            ids = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
+            known = ids < len(size)
+            ids = np.where(known, ids, 0)
+            long = np.where(known, size[ids], 0)
+            ends = np.concatenate([[0], np.cumsum(long)])
+            # byte j of the result is byte j of its token
+            spread = np.repeat(start[ids] - ends[:-1], long) + np.arange(ends[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, as_binary(raw[spread], ends[where // 4])], [*part.schema.names, "decoded"]
+            )
+
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), kind
+
+
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str = PATTERN, offsets: bool = True
 ) -> DataFrame:
@@ -95,57 +190,31 @@ def encode(
     ``offsets`` holds the first character of each token as little-endian unsigned 32-bit numbers; a
     character cut over several tokens is the first character of each of them.
     """
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(ranks, pattern)
-        for rows in parts:
-            texts = rows.column(1)
-            points = cut_points(np.diff(text_bytes(texts)[1]), GROUP_BYTES)
-            for a, b in zip(points, points[1:]):
-                group = [t or "" for t in texts.slice(a, b - a).to_pylist()]
-                found = (tool.encode_batch if offsets else tool.encode_batch_fast)(group, add_special_tokens=False)
-                out = [rows.column(0).slice(a, b - a), pa.array([np.array(e.ids, "<u4").tobytes() for e in found], pa.binary())]
-                if offsets:
-                    out.append(pa.array([np.array([o[0] for o in e.offsets], "<u4").tobytes() for e in found], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "offsets"][: len(out)])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, ids binary" + ", offsets binary" * offsets
+    rows, kind = id_and_text(docs, id_col, text_col)
+    return rows.mapInArrow(
+        lambda parts: encode_batches(parts, ranks, pattern, offsets), f"doc_id {kind}, ids binary" + ", offsets binary" * offsets
     )
 
 
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """Adds ``decoded``: the bytes behind the ids of ``doc_id, ids``.
+    """Adds ``decoded`` to ``doc_id, ids``: the bytes behind the ids.
 
     Bytes, not text: a token may end inside a character, and only the whole sequence is sure to be text.
     """
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(lambda parts: decode_batches(parts, ranks), f"{kept}, decoded binary")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, start = token_bytes(ranks)
-        size = np.diff(start)
-        for rows in parts:
-            points = cut_points(np.diff(text_bytes(rows.column(1))[1]), GROUP_BYTES)
-            for a, b in zip(points, points[1:]):
-                part = rows.slice(a, b - a)
-                data, where = text_bytes(part.column(1))
-                ids = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
-                known = ids < len(size)
-                ids = np.where(known, ids, 0)
-                long = np.where(known, size[ids], 0)
-                ends = np.concatenate([[0], np.cumsum(long)])
-                # byte j of the result is byte j of its token
-                spread = np.repeat(start[ids] - ends[:-1], long) + np.arange(ends[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, as_binary(raw[spread], ends[where // 4])], [*part.schema.names, "decoded"]
-                )
-
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{kept}, decoded binary")
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, ids, decoded: ``decode(encode(...))`` in one Python pass."""
+    rows, kind = id_and_text(docs, id_col, text_col)
+    return rows.mapInArrow(
+        lambda parts: decode_batches(encode_batches(parts, ranks, pattern, False), ranks), f"doc_id {kind}, ids binary, decoded binary"
+    )
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
-    return decode(encode(docs, id_col, text_col, ranks, offsets=False), ranks).select(
+    return round_trip(docs, id_col, text_col, ranks).select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
