@@ -7,6 +7,8 @@ from importlib import import_module
 #: module of each registered query
 MODULES = {
     "op1_suffix_dedup": "suffix_dedup",
+    "op2_url_filter": "url_filter",
+    "op6_topk_inner": "topk_inner",
     "op9_byte_bpe": "byte_bpe",
 }
 
