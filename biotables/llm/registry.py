@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_suffix_dedup": "suffix_dedup",
     "op2_url_filter": "url_filter",
+    "op3_ngram_jaccard": "ngram_jaccard",
     "op5_quality_mil": "quality_mil",
     "op6_topk_inner": "topk_inner",
     "op9_byte_bpe": "byte_bpe",
