@@ -11,6 +11,7 @@ MODULES = {
     "op3_ngram_jaccard": "ngram_jaccard",
     "op5_quality_mil": "quality_mil",
     "op6_topk_inner": "topk_inner",
+    "op7_template_decontam": "template_decontam",
     "op9_byte_bpe": "byte_bpe",
 }
 
