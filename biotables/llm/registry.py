@@ -12,6 +12,7 @@ MODULES = {
     "op5_quality_mil": "quality_mil",
     "op6_topk_inner": "topk_inner",
     "op7_template_decontam": "template_decontam",
+    "op8_masked_lm": "masked_lm",
     "op9_byte_bpe": "byte_bpe",
 }
 
