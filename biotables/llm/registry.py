@@ -14,6 +14,7 @@ MODULES = {
     "op7_template_decontam": "template_decontam",
     "op8_masked_lm": "masked_lm",
     "op9_byte_bpe": "byte_bpe",
+    "op10_edit_counts": "edit_counts",
 }
 
 
