@@ -9,6 +9,7 @@ MODULES = {
     "op1_suffix_dedup": "suffix_dedup",
     "op2_url_filter": "url_filter",
     "op3_ngram_jaccard": "ngram_jaccard",
+    "op4_chat_quotes": "chat_quotes",
     "op5_quality_mil": "quality_mil",
     "op6_topk_inner": "topk_inner",
     "op7_template_decontam": "template_decontam",

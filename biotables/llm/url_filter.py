@@ -29,12 +29,12 @@ KEYS_PER_BLOCK = 16
 WORDS = 4
 
 #: fixed values of the registered query: host, path, verdict
-RULES = [
-    ("net", "/", "block"),
-    ("example.net", "/en/", "allow"),
-    ("example.com", "/de/", "block"),
-    ("org", "/fr/", "allow"),
-]
+RULES = """VALUES
+    ('net', '/', 'block'),
+    ('example.net', '/en/', 'allow'),
+    ('example.com', '/de/', 'block'),
+    ('org', '/fr/', 'allow')
+    AS rules(host, path, verdict)"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -110,8 +110,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return filter_urls(table(spark, folder, "pages"), rules)
+    return filter_urls(table(spark, folder, "pages"), spark.sql(f"SELECT * FROM {RULES}"))
 
 
 ORACLE_SQL = """
