@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biotables.session import configure, materialize
+from biotables.session import configure, scratch_path
 
 #: raw text bytes per packed batch
 BATCH_BYTES = 1 << 20
+#: a batch number is its slot, then this many bits for the task's turn and the batch's place
+SLOT_BITS = 40
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,31 +76,68 @@ def cut_points(sizes: np.ndarray, most: int) -> list[int]:
     return [*points, len(sizes)] if len(sizes) else [0]
 
 
+def slots(spark: SparkSession, count: int) -> list[int]:
+    """One number for each bucket of a table that is bucketed into ``count`` by a number."""
+    found = (
+        spark.range(16 * count).select(F.col("id").cast("int").alias("slot"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(count)).alias("bucket"))
+        .groupBy("bucket").agg(F.min("slot").alias("slot"))
+    )
+    return sorted(r["slot"] for r in found.collect())
+
+
 def packed_batches(docs: DataFrame, text: str, label: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Rows of ``docs`` in packed batches, written to the shared folder: batch, raw, payload.
+    """Rows of ``docs`` in packed batches, as a bucketed table in the shared folder: slot, batch, raw, payload.
 
-    The write happens in scan order, without a shuffle. Batch numbers are stable from then on, so
-    later stages can send short messages to a batch instead of rows to rows. One payload is an
-    Arrow batch of whole rows; a text longer than ``batch_bytes`` has a batch of its own.
+    The write happens in scan order, without a shuffle: a task writes all its batches under one slot, and
+    the table is bucketed by slot. Batch numbers are stable from then on, so later stages send short
+    messages to a batch, and joins with them (``with_answers``) move the messages only, never the texts.
+    One payload is an Arrow batch of whole rows; a text longer than ``batch_bytes`` has a batch of its own.
     """
+    spark = docs.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slot_of = slots(spark, count)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
+        turn, place = divmod(TaskContext.get().partitionId(), len(slot_of))
+        slot, number = slot_of[place], turn << 24
         for rows in parts:
             sizes = np.diff(text_bytes(rows.column(text))[1])
             points = cut_points(sizes, batch_bytes)
             for a, b in zip(points, points[1:]):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([number], pa.int64()),
+                        pa.array([slot], pa.int32()),
+                        pa.array([(slot << SLOT_BITS) + number], pa.int64()),
                         pa.array([int(sizes[a:b].sum())], pa.int64()),
                         pa.array([pack(rows.slice(a, b - a))], pa.binary()),
                     ],
-                    ["batch", "raw", "payload"],
+                    ["slot", "batch", "raw", "payload"],
                 )
                 number += 1
 
-    return materialize(docs.mapInArrow(cut, "batch long, raw long, payload binary"), label)
+    name = f"packed_{label}_{uuid.uuid4().hex}"
+    made = docs.mapInArrow(cut, "slot int, batch long, raw long, payload binary")
+    made.write.format("parquet").option("path", scratch_path(spark, label)).option("compression", "uncompressed").bucketBy(count, "slot").saveAsTable(name)
+    return spark.table(name)
+
+
+def with_answers(batches: DataFrame, answers: DataFrame, *fields: str) -> DataFrame:
+    """batch, payload, answers: every batch with the list of its answers (null if none).
+
+    The answers go to the slots of their batches; the batches stay in the buckets they lie in.
+    """
+    spark = batches.sparkSession
+    # the slot alone may place both sides of the join
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = (
+        answers.withColumn("slot", F.shiftright("batch", SLOT_BITS).cast("int"))
+        .repartition(count, "slot")
+        .groupBy("slot", "batch")
+        .agg(F.collect_list(F.struct(*fields)).alias("answers"))
+    )
+    joined = batches.select("slot", "batch", "payload").join(grouped.hint("merge"), ["slot", "batch"], "left")
+    return joined.select("batch", "payload", "answers")
 
 
 def bucket_count(batches: DataFrame, bytes_each: int = 32 << 20) -> int:

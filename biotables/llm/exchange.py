@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from biotables.llm.columns import unpack
 
@@ -54,7 +53,7 @@ def count_class(documents: np.ndarray) -> np.ndarray:
 
 
 def shared_keys(batches: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
-    """batch, shared: the answers of all buckets, as structs of bucket and payload.
+    """Answers: batch, bucket and payload, for ``columns.with_answers``.
 
     ``keys_of`` gives keys and the document (a row number) of each for one batch of rows.
     """
@@ -107,8 +106,7 @@ def shared_keys(batches: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np
         return pd.DataFrame({"batch": batches_, "bucket": int(group["bucket"].iloc[0]), "payload": out})
 
     sent = batches.select("batch", "payload").mapInArrow(send, "bucket int, batch long, payload binary")
-    answers = sent.groupBy("bucket").applyInPandas(add_up, "batch long, bucket int, payload binary")
-    return answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "payload")).alias("shared"))
+    return sent.groupBy("bucket").applyInPandas(add_up, "batch long, bucket int, payload binary")
 
 
 def classes_of(keys: np.ndarray, shared: list[dict] | None, buckets: int) -> np.ndarray:

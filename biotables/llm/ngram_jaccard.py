@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biotables.llm.columns import bucket_count, packed_batches, table, text_bytes, unpack
+from biotables.llm.columns import bucket_count, packed_batches, table, text_bytes, unpack, with_answers
 from biotables.llm.components import components
 from biotables.llm.exchange import classes_of, shared_keys
 from biotables.session import materialize
@@ -38,7 +38,8 @@ WORDS = 5
 PART, WHOLE = 75, 100
 GROUPS = 64
 NODE = 16
-UNIT = 8000
+UNIT = 4000
+BUCKET_BYTES = 32 << 20
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -144,42 +145,35 @@ def joined(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = No
     With ``side``, pairs of the same side are left to the unit of that side.
     """
     tree = CountTree(sets)
-    parent = list(range(len(ids)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    label = np.arange(len(ids))
     out = []
     for i in range(len(ids)):
-        for j in tree.ask(i).tolist():
-            if j == i or (side is not None and side[i] == side[j]):
-                continue
-            a, b = root(i), root(j)
-            if a != b and linked(sets[i], sets[j]):
-                parent[max(a, b)] = min(a, b)
+        ask = tree.ask(i)
+        if side is not None:
+            ask = ask[side[ask] != side[i]]
+        # what is connected already needs no look at the sets
+        while len(ask := ask[label[ask] != label[i]]):
+            j, ask = int(ask[0]), ask[1:]
+            if linked(sets[i], sets[j]):
+                label[label == label[j]] = label[i]
                 out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT, bucket_bytes: int = 32 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
-    batches = packed_batches(rows, "text", "shingles")
+def members(batches: DataFrame, id_col: str, text_col: str, unit: int, bucket_bytes: int) -> DataFrame:
+    """batch, row (place in the batch), doc_id, n_shingles, component_id of all rows of packed batches."""
+    spark = batches.sparkSession
     buckets = bucket_count(batches, bucket_bytes)
 
     def keys_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        keys, first = shingles(*text_bytes(part.column("text")))
+        keys, first = shingles(*text_bytes(part.column(text_col)))
         return keys, np.repeat(np.arange(len(first) - 1), np.diff(first))
 
     def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for payload, answers in zip(part.column(0), part.column(1)):
-                rows_ = unpack(payload.as_py())
-                keys, first = shingles(*text_bytes(rows_.column("text")))
+            for batch, payload, answers in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
+                rows = unpack(payload.as_py())
+                keys, first = shingles(*text_bytes(rows.column(text_col)))
                 count = np.diff(first)
                 doc = np.repeat(np.arange(len(count)), count)
                 classes = classes_of(keys, answers.as_py(), buckets)
@@ -189,7 +183,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 early = (rank < n + (-PART * n // WHOLE) + 1) & (classes[order] > 0)
                 early_keys, early_doc = keys[order][early], doc[early]
                 cut = np.searchsorted(early_doc, np.arange(len(count) + 1))
-                ids = rows_.column("doc_id").to_pylist()
+                ids = rows.column(id_col).cast(pa.int64()).to_pylist()
                 tokens: list = [None] * len(count)
                 sets: list = [None] * len(count)
                 reps: list = [None] * len(count)
@@ -204,16 +198,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         reps[i] = ids[rep]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.full(len(ids), batch), pa.int64()), pa.array(np.arange(len(ids)), pa.int64()),
                         pa.array(ids, pa.int64()), pa.array(count, pa.int64()), pa.array(reps, pa.int64()),
                         pa.array(tokens, pa.list_(pa.int64())), pa.array(sets, pa.binary()),
                     ],
-                    ["doc_id", "n", "rep", "tokens", "keys"],
+                    ["batch", "row", "doc_id", "n", "rep", "tokens", "keys"],
                 )
 
     shared = shared_keys(batches, keys_of, buckets)
     chosen = materialize(
-        batches.select("batch", "payload").join(shared, "batch", "left").select("payload", "shared")
-        .mapInArrow(choose, "doc_id long, n long, rep long, tokens array<long>, keys binary"),
+        with_answers(batches, shared, "bucket", "payload")
+        .mapInArrow(choose, "batch long, row long, doc_id long, n long, rep long, tokens array<long>, keys binary"),
         "chosen",
     )
 
@@ -248,12 +243,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = chosen.where("rep is not null").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.union(copies))
     return (
-        chosen.select("doc_id", F.col("n").alias("n_shingles"))
+        chosen.select("batch", "row", "doc_id", F.col("n").alias("n_shingles"))
         .join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .select("batch", "row", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     )
 
 
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    batches = packed_batches(docs.select(id_col, text_col), text_col, "shingles")
+    return members(batches, id_col, text_col, unit, bucket_bytes).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their component, or a null id, with all their columns.
+
+    The batches learn which of their rows go; the texts do not move.
+    """
+    batches = packed_batches(docs, text_col, "shingles")
+    gone = members(batches, id_col, text_col, unit, bucket_bytes).where("component_id <> doc_id").select("batch", "row")
+
+    def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for payload, answers in zip(part.column(0), part.column(1)):
+                rows = unpack(payload.as_py())
+                stays = np.ones(rows.num_rows, bool)
+                stays[[a["row"] for a in answers.as_py() or []]] = False
+                yield rows.filter(pa.array(stays))
+
+    return with_answers(batches, gone, "row").select("payload", "answers").mapInArrow(keep, docs.schema)
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 

@@ -28,11 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from biotables.llm.columns import as_binary, bucket_count, packed_batches, table, text_bytes, unpack
+from biotables.llm.columns import as_binary, bucket_count, packed_batches, table, text_bytes, unpack, with_answers
 from biotables.llm.exchange import bucket_of, classes_of, count_class, shared_keys
 
 LENGTH = 50
@@ -43,7 +45,7 @@ HOT = 200_000
 #: windows looked at in one pass over a text
 PASS = 1 << 20
 #: bytes sorted at once in a bucket; cut between anchors only
-SORT_BYTES = 6 << 20
+SORT_BYTES = 2 << 20
 
 U = np.uint64
 RESULT = ["n_bytes", "n_removed", "n_spans", "spans", "kept"]
@@ -124,36 +126,51 @@ def bucket_pointers(data: np.ndarray, starts: np.ndarray, length: int) -> np.nda
         steps.append(min(known, length - known))
         known += steps[-1]
     # suffixes needed at each level: those of the next level, and where their later offset points
-    needed = [np.unique(starts)]
+    mask = np.zeros(len(data), bool)
+    mask[starts] = True
+    needed = [np.flatnonzero(mask)]
     for step in reversed(steps):
-        needed.append(np.union1d(needed[-1], needed[-1] + step))
+        mask[step:] |= mask[:-step].copy()
+        needed.append(np.flatnonzero(mask))
     level = needed.pop()
     grams = grams8(data)[level]
     order = np.argsort(grams)
     grams = grams[order]
-    new = np.concatenate([[True], grams[1:] != grams[:-1]])
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
     pointer = np.zeros(len(data), np.int64)
     pointer[level[order]] = np.flatnonzero(new)[np.cumsum(new) - 1]
     del grams, order, new
     for step in steps:
         level = needed.pop()
         own = pointer[level]
-        _, inverse, size = np.unique(own, return_inverse=True, return_counts=True)
-        at = level[size[inverse] > 1]
+        at = level[np.bincount(own)[own] > 1]
+        if not len(at):
+            break
         own, later = pointer[at], pointer[at + step]
-        order = np.argsort((own.astype(U) << U(32)) | later.astype(U))
+        order = np.argsort((own << 32) | later)
         own, later = own[order], later[order]
-        new_bucket = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
+        new_bucket = np.ones(len(own), bool)
+        new_bucket[1:] = own[1:] != own[:-1]
         new = new_bucket.copy()
         new[1:] |= later[1:] != later[:-1]
         first, sub = np.flatnonzero(new_bucket), np.flatnonzero(new)
-        if len(at):
-            # the sub-bucket keeps its place within the old bucket
-            place = sub - first[np.cumsum(new_bucket)[sub] - 1]
-            pointer[at[order]] = own + place[np.cumsum(new) - 1]
+        # the sub-bucket keeps its place within the old bucket
+        place = sub - first[np.cumsum(new_bucket)[sub] - 1]
+        pointer[at[order]] = own + place[np.cumsum(new) - 1]
     return pointer[starts]
 
 
+def equal_fragments(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal byte strings."""
+    most = int(size.max())
+    padded = np.concatenate([data, np.zeros(most, np.uint8)])
+    rows = padded[start[:, None] + np.arange(most)]
+    rows[np.arange(most) >= size[:, None]] = 0
+    rows = np.ascontiguousarray(np.concatenate([rows, size.astype(">u2").view(np.uint8).reshape(-1, 2)], axis=1))
+    return np.unique(rows.view(f"V{most + 2}").ravel(), return_inverse=True)[1]
+
+
 def larger_than_least(classes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """True where a class holds a smaller id."""
     if not len(classes):
@@ -220,24 +237,21 @@ def fragments(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, usable: np
         key = np.concatenate([key[~split], window])
     id_ = ids[doc]
     # equal fragments of this batch: only those of the smallest document are sent
-    most = int(count.max()) + length - 1
-    padded = np.concatenate([data, np.zeros(most, np.uint8)])
-    size = count + length - 1
-    rows = padded[start[:, None] + np.arange(most)]
-    rows[np.arange(most) >= size[:, None]] = 0
-    rows = np.ascontiguousarray(np.concatenate([rows, size.astype(">u2").view(np.uint8).reshape(-1, 2)], axis=1))
-    _, same = np.unique(rows.view(f"V{most + 2}").ravel(), return_inverse=True)
-    gone = larger_than_least(same, id_)
+    gone = larger_than_least(equal_fragments(data, start, count + length - 1), id_)
     return (start[gone], count[gone]), (key[~gone], id_[~gone], start[~gone], count[~gone])
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, bucket_bytes: int = 32 << 20
-) -> DataFrame:
-    """Rows of ``docs`` with n_bytes, n_removed, n_spans, spans (start and end of each, in turn) and kept (bytes)."""
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, bucket_bytes: int = 16 << 20,
+    in_place: bool = False,
+) -> DataFrame:
+    """Rows of ``docs`` with n_bytes, n_removed, n_spans, spans (start and end of each, in turn) and kept (bytes).
+
+    With ``in_place``, rows of ``docs`` with the text replaced by what is left; there a character goes if any of its bytes does.
+    """
     if not GRAM + 1 < length <= 4096:
         raise ValueError("length must lie between 26 and 4096 bytes")
-    docs = docs.drop(*RESULT)
+    docs = docs if in_place else docs.drop(*RESULT)
     batches = packed_batches(docs, text_col, "suffix")
     buckets = bucket_count(batches, bucket_bytes)
     shared = shared_keys(batches, anchor_keys(text_col, length), buckets)
@@ -287,13 +301,19 @@ def remove_repeats(
             # a piece starts with a new key
             piece = piece[np.flatnonzero(new_key)][np.cumsum(new_key) - 1]
             for part in np.split(order, np.flatnonzero(np.diff(piece)) + 1):
-                own = data[spread(begin[part], size[part])]
-                at = np.cumsum(size[part]) - size[part]
-                windows = spread(at, count[part])
+                # equal fragments of different batches: all but those of the smallest document go
+                larger = larger_than_least(equal_fragments(data, begin[part], size[part]), id_[part])
+                left = part[~larger]
+                own = data[spread(begin[left], size[left])]
+                at = np.cumsum(size[left]) - size[left]
+                windows, of = spread(at, count[left]), np.repeat(np.arange(len(left)), count[left])
+                sorted_gone = larger_than_least(bucket_pointers(own, windows, length), id_[left][of])
+                # windows of all fragments again, in the order of part
                 of = np.repeat(np.arange(len(part)), count[part])
-                gone = larger_than_least(bucket_pointers(own, windows, length), id_[part][of])
+                inner = spread(np.zeros(len(part), np.int64), count[part])
+                gone = larger[of]
+                gone[~gone] = sorted_gone
                 # runs of windows to remove, within a fragment
-                inner = windows - at[of]
                 opens = gone & ~np.concatenate([[False], gone[:-1] & (of[1:] == of[:-1])])
                 closes = gone & ~np.concatenate([gone[1:] & (of[1:] == of[:-1]), [False]])
                 opens, closes = np.flatnonzero(opens), np.flatnonzero(closes)
@@ -312,10 +332,19 @@ def remove_repeats(
                 data, offsets = text_bytes(rows.column(text_col))
                 edge = np.zeros(len(data) + 1, np.int32)
                 for run in runs.as_py() or []:
-                    first, many = unpack_arrays(run, *RUNS)
+                    first, many = unpack_arrays(run["payload"], *RUNS)
                     np.add.at(edge, first, 1)
                     np.add.at(edge, first + many + length - 1, -1)
                 gone = np.cumsum(edge[:-1]) > 0
+                if in_place:
+                    if len(data):
+                        leads = (data & 0xC0) != 0x80
+                        gone = np.maximum.reduceat(gone, np.flatnonzero(leads))[np.cumsum(leads) - 1]
+                    left = as_binary(data[~gone], offsets - np.concatenate([[0], np.cumsum(gone)])[offsets])
+                    place = rows.schema.get_field_index(text_col)
+                    kept_text = pc.if_else(rows.column(place).is_null(), pa.scalar(None, pa.string()), left.cast(pa.string()))
+                    yield rows.set_column(place, rows.schema.field(place), kept_text.cast(rows.schema.field(place).type))
+                    continue
                 begins = np.zeros(len(data) + 1, bool)
                 begins[offsets[:-1]] = True
                 begins = begins[:-1]
@@ -337,17 +366,13 @@ def remove_repeats(
                     [*rows.schema.names, *RESULT],
                 )
 
-    work = batches.select("batch", "payload").join(shared, "batch", "left").select("batch", "payload", "shared")
+    work = with_answers(batches, shared, "bucket", "payload")
     sent = work.mapInArrow(send, "bucket int, batch long, known boolean, payload binary")
     runs = sent.groupBy("bucket").applyInPandas(refine, "batch long, payload binary")
-    by_batch = runs.groupBy("batch").agg(F.collect_list("payload").alias("runs"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return (
-        batches.select("batch", "payload")
-        .join(by_batch, "batch", "left")
-        .select("payload", "runs")
-        .mapInArrow(cut, f"{kept}, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
-    )
+    result = docs.schema
+    if not in_place:
+        result = StructType([*docs.schema, *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")])
+    return with_answers(batches, runs, "payload").select("payload", "answers").mapInArrow(cut, result)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
