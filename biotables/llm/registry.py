@@ -20,9 +20,11 @@ MODULES = {
 
 
 def queries():
-    return {name: import_module(f"biotables.llm.{module}").query for name, module in MODULES.items()}
+    found = {name: import_module(f"biotables.llm.{module}").query for name, module in MODULES.items()}
+    return found | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracles():
     found = {name: import_module(f"biotables.llm.{module}").ORACLE_SQL for name, module in MODULES.items()}
+    found["pipeline"] = import_module("corpus_pipeline").ORACLE_SQL
     return {name: sql for name, sql in found.items() if sql}
