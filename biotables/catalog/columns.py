@@ -240,12 +240,13 @@ def regex_any(t: Tables):
     return t.documents.filter(hit | (F.col("lang") == "fr")).select("doc_id")
 
 
-@query("""SELECT DISTINCT p_brand AS pathway, product FROM (SELECT p_brand, unnest([p_name, p_type, p_size::VARCHAR])
- AS product FROM part)""")
+@query("""SELECT DISTINCT p_brand AS pathway, product FROM (SELECT p_brand, unnest([p_name, p_type] ||
+ list_transform(range(p_size, p_size + 38), lambda i: i::VARCHAR)) AS product FROM part)""")
 def explode_pathway_lists(t: Tables):
-    """List cells to distinct (pathway, product) rows."""
-    cell = F.concat("p_name", F.lit(" // "), "p_type", F.lit(" / "), F.col("p_size").cast("string"))
-    return explode_lists(t.part, [F.col("p_brand").alias("pathway")], split_list(cell, 19), "product")
+    """List cells of 40 items to distinct (pathway, product) rows."""
+    numbers = F.expr("array_join(transform(sequence(p_size, p_size + 37), i -> string(i)), ' // ')")
+    cell = F.concat("p_name", F.lit(" // "), "p_type", F.lit(" / "), numbers)
+    return explode_lists(t.part, [F.col("p_brand").alias("pathway")], split_list(cell), "product")
 
 
 @query("""SELECT p_partkey, p_name AS "Classification", CASE WHEN p_size <= 45 THEN lower(p_type) END AS "Tax_Level",

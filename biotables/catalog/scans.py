@@ -172,9 +172,12 @@ def bundle_roundtrip(t: Tables):
     return bundle.counts.join(bundle.samples, "sample").join(bundle.features, "feature")
 
 
-@query("""SELECT DISTINCT p_brand AS pathway, p_name || ' a' AS first_item FROM part""")
+@query("""SELECT DISTINCT p_brand AS pathway, p_name || ' a' AS first_item, 3 + p_size AS n_items, 'n' || p_size AS last_item FROM part""")
 def split_list_cap(t: Tables):
-    """List cell with two delimiters; its first item and the pathway name."""
-    cell = F.concat("p_name", F.lit(" a // "), "p_type", F.lit(" / "), "p_brand")
-    items = split_list(cell, 7)
-    return t.part.select(F.col("p_brand").alias("pathway"), F.get(items, 0).alias("first_item")).distinct()
+    """List cell with two delimiters, of any length; its first and last item and their number."""
+    rest = F.expr("array_join(transform(sequence(1, p_size), i -> 'n' || i), ' / ')")
+    items = split_list(F.concat("p_name", F.lit(" a // "), "p_type", F.lit(" / "), "p_brand", F.lit(" // "), rest))
+    return t.part.select(
+        F.col("p_brand").alias("pathway"), F.get(items, 0).alias("first_item"), F.size(items).alias("n_items"),
+        F.element_at(items, -1).alias("last_item"),
+    ).distinct()

@@ -101,9 +101,9 @@ def any_match(c: str | Column, patterns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns])
 
 
-def split_list(c: str | Column, limit: int, regex: str = " // | / ") -> Column:
-    """Delimited list cell to array, kept to the number of columns the format has."""
-    return F.slice(F.split(_col(c), regex, -1), 1, limit)
+def split_list(c: str | Column, regex: str = " // | / ") -> Column:
+    """Delimited list cell to the array of all its items."""
+    return F.split(_col(c), regex, -1)
 
 
 def quality_tier(completeness: str | Column, contamination: str | Column) -> Column:

@@ -578,7 +578,9 @@ def log2_ratio_pairs(counts: DataFrame, samples: DataFrame, factor: str, factors
                      levels: Sequence[str]) -> DataFrame:
     """Log2 ratio of the mean normalised count between every pair of levels, per feature.
 
-    One aggregation computes all level sums, zero cells included through the sample counts.
+    One aggregation computes all level sums, zero cells included through the sample counts. Every feature has a
+    row for every pair: a level without counts gives an infinite ratio and ``one_sided_zero``, two such
+    levels give NULL.
     """
     scaled = normalized(counts, factors).join(
         samples.select("sample", F.col(factor).alias("level")), "sample"
@@ -595,8 +597,17 @@ def log2_ratio_pairs(counts: DataFrame, samples: DataFrame, factor: str, factors
     rows = [
         F.struct(
             F.lit(f"{levels[b]}_vs_{levels[a]}").alias("comparison"),
-            F.log2(F.col(f"m{b}") / F.col(f"m{a}")).alias("log2_ratio"),
+            F.coalesce(F.col(f"m{b}"), F.lit(0.0)).alias("num"),
+            F.coalesce(F.col(f"m{a}"), F.lit(0.0)).alias("den"),
         )
         for a, b in combinations(range(len(levels)), 2)
     ]
-    return means.select("feature", F.inline(F.array(*rows))).filter(F.col("log2_ratio").isNotNull())
+    ratio = (
+        F.when((F.col("num") == 0) & (F.col("den") == 0), F.lit(None))
+        .when(F.col("num") == 0, F.lit(float("-inf")))
+        .when(F.col("den") == 0, F.lit(float("inf")))
+        .otherwise(F.log2(F.col("num")) - F.log2(F.col("den")))
+    )
+    return means.select("feature", F.inline(F.array(*rows))).select(
+        "feature", "comparison", ratio.alias("log2_ratio"), ((F.col("num") == 0) != (F.col("den") == 0)).alias("one_sided_zero")
+    )

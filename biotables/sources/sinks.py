@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> str:
-    """CSV with a header line and NA for missing values, one file per task."""
-    df.write.mode(mode).option("header", True).option("nullValue", "NA").option(
+    """CSV with a header line, quotes doubled and NA for missing values, one file per task.
+
+    A text cell that says NA reads back as missing; line breaks in cells need a reader with ``multiline``.
+    """
+    df.write.mode(mode).option("header", True).option("nullValue", "NA").option("escape", '"').option(
         "emptyValue", '""'
     ).csv(path)
     return path

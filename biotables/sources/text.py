@@ -23,12 +23,6 @@ def as_schema(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
-def _check_header(df: DataFrame, paths: str | Sequence[str], sep: str, wanted: list[str]) -> None:
-    first = df.sparkSession.read.option("sep", sep).option("header", True).csv(paths).columns
-    if first != wanted:
-        raise ValueError(f"header {first} does not match the schema {wanted}")
-
-
 def read_table(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -36,12 +30,13 @@ def read_table(
     sep: str = ",",
     blank_as_null: bool = False,
     null_text: str = "NA",
-    check_header: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
-    """Delimited text with a header line.
+    """Delimited text with a header line, quotes doubled within quotes.
 
     ``null_text`` stands for a missing value. A blank text cell stays "" unless
-    ``blank_as_null`` is set. An unknown header raises.
+    ``blank_as_null`` is set. The header of every file is compared with the schema while it is read;
+    another name or order raises. ``multiline`` allows line breaks in quoted cells and keeps files whole.
     """
     schema = as_schema(schema)
     raw_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
@@ -49,10 +44,11 @@ def read_table(
         spark.read.schema(raw_schema)
         .option("sep", sep)
         .option("header", True)
+        .option("enforceSchema", False)
+        .option("escape", '"')
+        .option("multiLine", multiline)
         .csv(path)
     )
-    if check_header:
-        _check_header(raw, path, sep, [f.name for f in schema.fields])
     return raw.select(*[_typed(f, null_text, blank_as_null) for f in schema.fields])
 
 
@@ -93,7 +89,7 @@ def read_directory(
     spark: SparkSession, folder: str, schema: str | T.StructType, sep: str = "\t", **options
 ) -> DataFrame:
     """Every file of a folder stacked, with the path of the file each row came from."""
-    df = read_table(spark, folder, schema, sep, check_header=False, **options)
+    df = read_table(spark, folder, schema, sep, **options)
     return df.withColumn("source_path", F.col("_metadata.file_path"))
 
 

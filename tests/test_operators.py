@@ -262,7 +262,7 @@ def test_expression_share_sums_to_one(spark):
 
 
 def test_gene_lists(spark):
-    mapping = gene_plans.pathway_of_gene()
+    mapping = gene_plans.PATHWAY_OF_GENE
     assert mapping["tphBI_1"] == "Terephthalate" and mapping["pcaH"] == "Protocatechuate"
     assert mapping["alkB2"] == "Alkane" and mapping["tcbC"] == "Catechol" and len(mapping) == 18
     df = spark.createDataFrame([("tcbC", "x"), (None, gene_plans.PET_PRODUCT), ("zzz", "x"), ("pcaG", None)], "gene string, product string")
@@ -276,3 +276,5 @@ def test_gene_lists(spark):
 def test_pathway_products(spark):
     export = spark.createDataFrame([("P one // P 1", "<i>a</i> x // b / b"), ("P two", None)], "names string, enzymes string")
     assert rows(gene_plans.pathway_products(export)) == [("P one", "a x"), ("P one", "b")]
+    long = spark.createDataFrame([("P", " // ".join(f"e{k}" for k in range(40)))], "names string, enzymes string")
+    assert gene_plans.pathway_products(long).count() == 40
