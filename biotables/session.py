@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +18,9 @@ ADAPTIVE = {
 }
 
 
+_CLEANED: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in ADAPTIVE.items():
         spark.conf.set(key, value)
@@ -37,8 +42,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def run_dir(spark: SparkSession) -> str:
+    """One folder per application under the shared one; it goes when the driver's Python ends."""
+    folder = f"{shared_dir(spark)}/biotables-{spark.sparkContext.applicationId}"
+    if folder not in _CLEANED:
+        _CLEANED.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None:  # stopped before: only a local folder can still be reached
+        if folder.startswith(("/", "file:")):
+            shutil.rmtree(folder.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
