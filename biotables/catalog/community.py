@@ -20,6 +20,7 @@ from biotables.catalog.bindings import (
 from biotables.catalog.registry import Tables, query
 from biotables.operators import clustering, community, distance, ordination
 from biotables.plans.expression import SUBSTRATES
+from biotables.session import materialize
 
 
 def wide_fact(t: Tables):
@@ -175,6 +176,25 @@ def pcoa_axes(t: Tables):
     return axes.withColumnRenamed("id", "sample").join(taxon_samples(t), "sample")
 
 
+@query("""SELECT * FROM (VALUES (1::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (2, 0.0, 0.0, 0.0)) v(axis, residual, length_gap, dot)""")
+def pcoa_check(t: Tables):
+    """Per axis: largest |Bx - lambda x|, |x.x - lambda| and the dot product with the other axis, all zero."""
+    dist = materialize(taxon_distances(t), "taxon-distances")
+    axes = materialize(ordination.pcoa(dist, axes=2), "taxon-axes")
+    cells = ordination.double_center(dist)
+    off = ordination.both_directions(cells.filter("id_a <> id_b"), "b")
+    cells = off.unionByName(cells.filter("id_a = id_b").select(F.col("id_a").alias("i"), F.col("id_b").alias("j"), "b"))
+    image = cells.join(axes.withColumnRenamed("id", "j"), "j").groupBy("i", "axis").agg(F.sum(F.col("b") * F.col("coordinate")).alias("y"))
+    gaps = image.join(axes.withColumnRenamed("id", "i"), ["i", "axis"]).withColumn("gap", F.abs(F.col("y") - F.col("eigenvalue") * F.col("coordinate")))
+    other = axes.select("id", (3 - F.col("axis")).alias("axis"), F.col("coordinate").alias("z"))
+    dots = axes.join(other, ["id", "axis"]).groupBy("axis").agg(
+        F.abs(F.sum(F.col("coordinate") * F.col("coordinate")) - F.first("eigenvalue")).alias("length_gap"),
+        F.abs(F.sum(F.col("coordinate") * F.col("z"))).alias("dot"),
+    )
+    worst = gaps.groupBy("axis").agg(F.max("gap").alias("residual"))
+    return worst.join(dots, "axis").select("axis", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("residual", "length_gap", "dot")])
+
+
 @query(with_tables("taxon_counts gene_features", """SELECT sample, gene, product, SUM(count)::BIGINT AS count
  FROM taxon_counts JOIN (SELECT feature, nullif(gene, 'Brand#5') AS gene, product FROM gene_features) USING (feature)
  WHERE gene IS NOT NULL GROUP BY 1, 2, 3"""))
@@ -227,6 +247,16 @@ def hclust_average(t: Tables):
     return clustering.average_linkage(taxon_distances(t))
 
 
+@query(with_tables("taxon_samples", "SELECT count(*) AS leaves, count(*) AS places, 1::BIGINT AS first_place, count(*) AS last_place FROM taxon_samples"))
+def hclust_leaf_check(t: Tables):
+    """Leaf positions are 1 to n, each once."""
+    order = clustering.leaf_order(clustering.average_linkage(taxon_distances(t)))
+    return order.agg(
+        F.count_distinct("leaf").alias("leaves"), F.count_distinct("position").alias("places"),
+        F.min("position").alias("first_place"), F.max("position").alias("last_place"),
+    )
+
+
 @query()
 def hclust_leaf_order(t: Tables):
     """Left-to-right order of the dendrogram leaves."""

@@ -7,55 +7,31 @@ linkage is reducible, so this gives the tree of the one-pair-at-a-time method
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biotables.session import materialize
 
-# At most this many clusters are finished in one task (half a million distances).
-SMALL = 1024
-MERGES = "merge_left {0}, merge_right {0}, height double, size long"
-
-
-def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Merge the remaining clusters one pair at a time."""
-    names = np.unique(pdf[["lo", "hi"]].to_numpy().ravel())
-    at = {v: i for i, v in enumerate(names)}
-    i, j = pdf["lo"].map(at).to_numpy(), pdf["hi"].map(at).to_numpy()
-    n = len(names)
-    d = np.full((n, n), np.inf)
-    d[i, j] = d[j, i] = pdf["d"]
-    size = np.ones(n)
-    size[i], size[j] = pdf["w_lo"], pdf["w_hi"]
-    out = []
-    for _ in range(n - 1):
-        a, b = divmod(int(np.argmin(d)), n)
-        a, b = min(a, b), max(a, b)
-        height, total = d[a, b], size[a] + size[b]
-        merged = (size[a] * d[a] + size[b] * d[b]) / total
-        d[a], d[:, a] = merged, merged
-        d[b], d[:, b] = np.inf, np.inf
-        d[a, a] = np.inf
-        size[a] = total
-        out.append((names[a], names[b], height, int(total)))
-    return pd.DataFrame(out, columns=["merge_left", "merge_right", "height", "size"])
-
-
-def _mutual_pairs(links: DataFrame) -> DataFrame:
-    """Pairs of clusters that are each other's nearest; ties go to the smaller ids."""
+
+def _mutual_pairs(links: DataFrame, round_no: int) -> DataFrame:
+    """Pairs of clusters that are each other's nearest.
+
+    Equal distances are ordered by a hash of the pair, which both ends see alike. So a set of tied
+    clusters pairs off by a constant share in a round, instead of queueing at the smallest id.
+    """
     seen = F.explode(F.array("lo", "hi")).alias("c")
+    tie = F.xxhash64("lo", "hi", F.lit(round_no)).alias("tie")
     nearest = (
-        links.select(seen, "d", "lo", "hi", "w_lo", "w_hi")
+        links.select(seen, "d", tie, "lo", "hi", "w_lo", "w_hi")
         .groupBy("c")
-        .agg(F.min(F.struct("d", "lo", "hi", "w_lo", "w_hi")).alias("m"))
+        .agg(F.min(F.struct("d", "tie", "lo", "hi", "w_lo", "w_hi")).alias("m"))
     )
     return (
         nearest.groupBy("m")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") == 2)
         .select("m.*")
+        .drop("tie")
     )
 
 
@@ -88,12 +64,12 @@ def _relabel(links: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def average_linkage(dist: DataFrame, small: int = SMALL) -> DataFrame:
-    """Merge list ``(merge_left, merge_right, height, size)``.
+def average_linkage(dist: DataFrame) -> DataFrame:
+    """Merge list ``(merge_left, merge_right, height, size, left_size, right_size)``.
 
-    A cluster is named by its smallest member; ``size`` counts the members after the merge.
+    A cluster is named by its smallest member; ``size`` counts the members after the merge, the other two
+    those of its parts. Every round merges all mutual nearest pairs, for any number of clusters.
     """
-    id_type = dist.schema["id_a"].dataType.simpleString()
     links = dist.select(
         F.least("id_a", "id_b").alias("lo"),
         F.greatest("id_a", "id_b").alias("hi"),
@@ -101,49 +77,72 @@ def average_linkage(dist: DataFrame, small: int = SMALL) -> DataFrame:
         F.lit(1.0).alias("w_lo"),
         F.lit(1.0).alias("w_hi"),
     )
-    merges = []
+    merges = None
+    round_no = 0
     while True:
         links = materialize(links, "links")
-        n_links = links.count()
-        if n_links <= small * (small - 1) // 2:
+        pairs = materialize(_mutual_pairs(links, round_no), "merges")
+        # one stored table holds the merges of all rounds so far, so the plan does not grow with them
+        merges = pairs if merges is None else materialize(merges.unionByName(pairs), "all-merges")
+        if pairs.isEmpty():
             break
-        pairs = materialize(_mutual_pairs(links), "merges")
-        merges.append(pairs)
         links = _relabel(links, pairs)
-    if n_links:
-        schema = MERGES.format(id_type)
-        out = links.groupBy().applyInPandas(_finish, schema)
-    else:
-        out = dist.sparkSession.createDataFrame([], MERGES.format(id_type))
-    for pairs in merges:
-        out = out.unionByName(
-            pairs.select(
-                F.col("lo").alias("merge_left"),
-                F.col("hi").alias("merge_right"),
-                F.col("d").alias("height"),
-                (F.col("w_lo") + F.col("w_hi")).cast("long").alias("size"),
-            )
-        )
-    return out
-
-
-def _order_leaves(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Left-to-right leaves; a single leaf goes before a cluster, an older cluster first."""
-    pdf = pdf.sort_values(["height", "size", "merge_left"], kind="stable")
-    born: dict = {}
-    members: dict = {}
-    for step, (a, b) in enumerate(zip(pdf["merge_left"], pdf["merge_right"])):
-        first, second = sorted((a, b), key=lambda c: (born.get(c, -1), c))
-        joined = members.pop(first, [first]) + members.pop(second, [second])
-        members[a], born[a] = joined, step
-    leaves = members.popitem()[1] if members else []
-    return pd.DataFrame({"leaf": leaves, "position": np.arange(1, len(leaves) + 1)})
+        round_no += 1
+    return merges.select(
+        F.col("lo").alias("merge_left"),
+        F.col("hi").alias("merge_right"),
+        F.col("d").alias("height"),
+        (F.col("w_lo") + F.col("w_hi")).cast("long").alias("size"),
+        F.col("w_lo").cast("long").alias("left_size"),
+        F.col("w_hi").cast("long").alias("right_size"),
+    )
 
 
 def leaf_order(merges: DataFrame) -> DataFrame:
-    """Dendrogram order ``(leaf, position)``.
+    """Dendrogram order ``(leaf, position)``: a single leaf goes before a cluster, a lower cluster first.
 
-    The merge list has one row per leaf, the square root of the distances that made it.
+    A node is a cluster's name and size. The second part of a merge starts after all leaves of the first one, so
+    the position of a leaf is the sum of such starts on its way to the root, which pointer doubling
+    adds up in as many rounds as the depth has bits.
     """
-    id_type = merges.schema["merge_left"].dataType.simpleString()
-    return merges.groupBy().applyInPandas(_order_leaves, f"leaf {id_type}, position long")
+    merges = materialize(merges, "tree")
+    heights = merges.select(F.col("merge_left").alias("name"), F.col("size").alias("members"), F.col("height").alias("own"))
+
+    def with_height(df: DataFrame, side: str) -> DataFrame:
+        found = heights.select(
+            F.col("name").alias(f"merge_{side}"), F.col("members").alias(f"{side}_size"), F.col("own").alias(f"{side}_height")
+        )
+        return df.join(found, [f"merge_{side}", f"{side}_size"], "left")
+
+    both = with_height(with_height(merges, "left"), "right")
+    rank = {s: F.struct(F.coalesce(F.col(f"{s}_height"), F.lit(float("-inf"))), F.col(f"{s}_size"), F.col(f"merge_{s}")) for s in ("left", "right")}
+    left_first = rank["left"] < rank["right"]
+
+    def child(side: str, first: Column, other: str) -> Column:
+        return F.struct(
+            F.col(f"merge_{side}").alias("name"), F.col(f"{side}_size").alias("members"),
+            F.when(first, F.lit(0)).otherwise(F.col(f"{other}_size")).cast("long").alias("before"),
+        )
+
+    state = both.select(
+        F.inline(F.array(child("left", left_first, "right"), child("right", ~left_first, "left"))),
+        F.col("merge_left").alias("up_name"), F.col("size").alias("up_members"),
+    )
+    state = materialize(state, "leaf-paths")
+    while True:
+        above = state.select(
+            F.col("name").alias("up_name"), F.col("members").alias("up_members"), F.col("before").alias("more"),
+            F.col("up_name").alias("top_name"), F.col("up_members").alias("top_members"),
+        )
+        moved = materialize(
+            state.join(above, ["up_name", "up_members"], "left").select(
+                "name", "members", (F.col("before") + F.coalesce("more", F.lit(0))).alias("before"),
+                F.coalesce("top_name", "up_name").alias("up_name"), F.coalesce("top_members", "up_members").alias("up_members"),
+                F.col("top_name").isNotNull().alias("moved"),
+            ),
+            "leaf-paths",
+        )
+        state = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
+    return state.where("members = 1").select(F.col("name").alias("leaf"), (F.col("before") + 1).alias("position"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from biotables.operators.reshape import dense_index
 from biotables.session import materialize
 
-# At most this many points are decomposed in one task (a 1024 x 1024 matrix, 8 MB).
-SMALL = 1024
-EXTRA = 6  # additional directions that speed up the iteration
+BLOCK = 512  # points per side of a dense block (2 MB)
+EXTRA = 4  # additional directions that speed up the iteration
+BASIS = 120  # columns of the basis before it starts again
 
 
 def both_directions(pairs: DataFrame, value: str) -> DataFrame:
@@ -42,132 +46,216 @@ def double_center(dist: DataFrame) -> DataFrame:
     )
 
 
-def _fix_signs(vectors: np.ndarray) -> np.ndarray:
-    top = np.abs(vectors).argmax(axis=0)
-    return vectors * np.where(vectors[top, range(vectors.shape[1])] < 0, -1.0, 1.0)
+# ---------------------------------------------------------------- dense blocks of the centred matrix
 
 
-def _decompose(axes: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf.loc[pdf["id_a"] == pdf["id_b"], "id_a"].to_numpy())
-        at = {v: i for i, v in enumerate(ids)}
-        i, j = pdf["id_a"].map(at).to_numpy(), pdf["id_b"].map(at).to_numpy()
-        matrix = np.zeros((len(ids), len(ids)))
-        matrix[i, j] = matrix[j, i] = pdf["b"]
-        values, vectors = np.linalg.eigh(matrix)
-        order = np.argsort(-values)[:axes]
-        order = order[values[order] > 1e-12]
-        coords = _fix_signs(vectors[:, order]) * np.sqrt(values[order])
-        trace = np.trace(matrix)
-        return pd.DataFrame(
-            {
-                "id": np.repeat(ids, len(order)),
-                "axis": np.tile(np.arange(1, len(order) + 1), len(ids)),
-                "coordinate": coords.ravel(),
-                "eigenvalue": np.tile(values[order], len(ids)),
-                "relative": np.tile(values[order] / trace, len(ids)),
-            }
-        )
+def _as_matrix(raw: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.float64).reshape(-1, columns)
 
-    return run
 
-
-def _small_axes(centered: DataFrame, axes: int) -> DataFrame:
-    id_type = centered.schema["id_a"].dataType.simpleString()
-    return centered.groupBy().applyInPandas(
-        _decompose(axes),
-        f"id {id_type}, axis long, coordinate double, eigenvalue double, relative double",
+def _blocks(centered: DataFrame, points: DataFrame, n: int) -> DataFrame:
+    """Square blocks ``(row_block, column_block, cells)`` of the upper half; at most BLOCK x BLOCK numbers each."""
+    left = points.select(F.col("id").alias("id_a"), F.col("place").alias("i"))
+    right = points.select(F.col("id").alias("id_b"), F.col("place").alias("j"))
+    cells = centered.join(left, "id_a").join(right, "id_b")
+    cells = cells.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "b")
+    keyed = cells.select(
+        F.expr(f"int(i div {BLOCK})").alias("row_block"), F.expr(f"int(j div {BLOCK})").alias("column_block"), "i", "j", "b"
     )
 
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = int(pdf["row_block"].iloc[0]), int(pdf["column_block"].iloc[0])
+        m = np.zeros((min(BLOCK, n - r * BLOCK), min(BLOCK, n - c * BLOCK)))
+        i, j = pdf["i"].to_numpy() - r * BLOCK, pdf["j"].to_numpy() - c * BLOCK
+        m[i, j] = pdf["b"]
+        if r == c:
+            m[j, i] = pdf["b"]
+        return pd.DataFrame({"row_block": [r], "column_block": [c], "cells": [m.tobytes()]})
+
+    schema = "row_block int, column_block int, cells binary"
+    return materialize(keyed.groupBy("row_block", "column_block").applyInPandas(fill, schema), "blocks")
 
-def _combine(v: str, weights: np.ndarray):
-    """Columns ``v . weights[:, k]`` as one array."""
-    return F.array(
-        *[
-            sum((F.col(v)[p] * float(weights[p, k]) for p in range(len(weights))), F.lit(0.0))
-            for k in range(weights.shape[1])
-        ]
+
+def _times(blocks: DataFrame, basis: DataFrame, columns: int) -> DataFrame:
+    """``block, w``: the matrix times the columns ``x`` of ``basis``."""
+
+    def multiply(flipped: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for cells, x in zip(pdf["cells"], pdf["x"]):
+                    x = _as_matrix(x, columns)
+                    m = np.frombuffer(cells, dtype=np.float64)
+                    m = m.reshape(len(x), -1).T if flipped else m.reshape(-1, len(x))
+                    out.append((m @ x).tobytes())
+                yield pd.DataFrame({"block": pdf["block"], "w": out})
+
+        return run
+
+    x = basis.select("block", "x")
+    straight = blocks.join(x.withColumnRenamed("block", "column_block"), "column_block")
+    turned = blocks.filter("row_block <> column_block").join(x.withColumnRenamed("block", "row_block"), "row_block")
+    parts = straight.select(F.col("row_block").alias("block"), "cells", "x").mapInPandas(multiply(False), "block int, w binary").unionByName(
+        turned.select(F.col("column_block").alias("block"), "cells", "x").mapInPandas(multiply(True), "block int, w binary")
     )
 
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(w, dtype=np.float64) for w in pdf["w"])
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "w": [total.tobytes()]})
+
+    return parts.groupBy("block").applyInPandas(add, "block int, w binary")
+
+
+def _products(table: DataFrame, of, shape: tuple[int, int]) -> np.ndarray:
+    """Sum over all rows of the matrix that ``of`` makes of one row; only its entries reach the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(shape)
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                total += of(row)
+        yield pd.DataFrame({"cell": np.arange(total.size), "total": total.ravel()})
+
+    sums = table.mapInPandas(run, "cell long, total double").groupBy("cell").agg(F.sum("total").alias("total")).collect()
+    out = np.zeros(shape[0] * shape[1])
+    for cell, total in sums:
+        out[cell] = total
+    return out.reshape(shape)
+
+
+def _map_rows(table: DataFrame, to, schema: str) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([to(row) for row in pdf.itertuples(index=False)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return table.mapInPandas(run, schema)
+
+
+def _unit(gram: np.ndarray, scale: float) -> np.ndarray:
+    """``E`` so that ``w @ E`` has orthonormal columns, for ``gram = w.T @ w``; dependent directions are left out."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    keep = values > max(scale, 1e-300) * 1e-22
+    return vectors[:, keep] / np.sqrt(values[keep])
+
 
-def _large_axes(centered: DataFrame, axes: int, rounds: int, tolerance: float) -> DataFrame:
-    """Subspace iteration with Rayleigh-Ritz; only p x p sums reach the driver."""
+def leading_axes(blocks: DataFrame, points: DataFrame, axes: int, trace: float, rounds: int, tolerance: float) -> DataFrame:
+    """``id, axis, coordinate, eigenvalue, relative`` for the largest positive eigenvalues.
+
+    Block Lanczos with Rayleigh-Ritz: the basis grows by the matrix times its last columns, so the ends of
+    the spectrum appear first, whatever negative eigenvalues there are. A basis above ``BASIS`` columns
+    starts again from its best vectors. Ends when every wanted axis has a residual below ``tolerance`` times the largest
+    eigenvalue; raises after ``rounds`` without it.
+    """
     p = axes + EXTRA
-    off_diagonal = centered.filter(F.col("id_a") != F.col("id_b"))
-    on_diagonal = centered.filter(F.col("id_a") == F.col("id_b"))
-    cells = both_directions(off_diagonal, "b").unionByName(
-        on_diagonal.select(F.col("id_a").alias("i"), F.col("id_b").alias("j"), "b")
-    )
-    cells = materialize(cells, "centered")
-    trace = cells.filter(F.col("i") == F.col("j")).agg(F.sum("b")).first()[0]
-    start = [
-        F.conv(F.substring(F.md5(F.concat_ws("|", F.col("i").cast("string"), F.lit(k))), 1, 8), 16, 10)
-        .cast("double") / 2**31 - 1
-        for k in range(p)
-    ]
-    basis = cells.filter(F.col("i") == F.col("j")).select("i", F.array(*start).alias("v"))
-    previous = None
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["block"].iloc[0])
+        pdf = pdf.sort_values("place")
+        seeds = [np.frombuffer(hashlib.md5(f"{v}|{k}".encode()).digest()[:8], "<u8")[0] for v in pdf["id"] for k in range(p)]
+        x = (np.array(seeds, dtype=np.float64) / 2.0**63 - 1).reshape(-1, p)
+        return pd.DataFrame({"block": [block], "k": [b""], "x": [x.tobytes()]})
+
+    start = points.withColumn("block", F.expr(f"int(place div {BLOCK})")).groupBy("block").applyInPandas(begin, "block int, k binary, x binary")
+    table = materialize(start, "axes-start")
+    unit = _unit(_products(table, lambda r: _as_matrix(r.x, p).T @ _as_matrix(r.x, p), (p, p)), 1.0)
+
+    def first_columns(row):
+        x = _as_matrix(row.x, p) @ unit
+        return row.block, x.tobytes(), x.tobytes()
+
+    table = materialize(_map_rows(table, first_columns, "block int, k binary, x binary"), "axes-first")
+    m = width = unit.shape[1]
+    h = np.zeros((0, 0))
     for round_no in range(rounds):
-        gram = _gram(basis, "v", "v", p)
-        values, vectors = np.linalg.eigh(gram)
-        keep = values > values.max() * 1e-14
-        ortho = vectors[:, keep] / np.sqrt(values[keep])
-        p = ortho.shape[1]
-        basis = basis.select("i", _combine("v", ortho).alias("v"))
-        image = (
-            cells.join(basis.withColumnRenamed("i", "j"), "j")
-            .groupBy("i")
-            .agg(F.array(*[F.sum(F.col("b") * F.col("v")[k]) for k in range(p)]).alias("y"))
-        )
-        both = materialize(basis.join(image, "i"), f"axes-{round_no}")
-        ritz, rotation = np.linalg.eigh(_gram(both, "v", "y", p))
-        order = np.argsort(-ritz)[:axes]
-        found = ritz[order]
-        done = previous is not None and len(previous) == len(found) and np.allclose(
-            found, previous, rtol=tolerance, atol=tolerance * abs(trace)
-        )
-        if done or round_no == rounds - 1:
+        step = materialize(table.join(_times(blocks, table, width), "block"), f"axes-{round_no}")
+        c = _products(step, lambda r, m=m, q=width: _as_matrix(r.k, m).T @ _as_matrix(r.w, q), (m, width))
+        grown = np.zeros((m, m))
+        grown[: len(h), : len(h)] = h
+        grown[:, m - width :] = c
+        grown[m - width :, :] = c.T
+        h = (grown + grown.T) / 2
+
+        def rest(r, m=m, q=width, c=c):
+            k = _as_matrix(r.k, m)
+            w = _as_matrix(r.w, q) - k @ c
+            return np.vstack([k.T @ w, w.T @ w])
+
+        again = _products(step, rest, (m + width, width))
+        fix, gram = again[:m], again[m:] - again[:m].T @ again[:m]
+        values, vectors = np.linalg.eigh(h)
+        order = np.argsort(-values)[:axes]
+        order = order[values[order] > 1e-12 * max(abs(trace), 1e-300)]
+        largest = np.abs(values).max(initial=0.0)
+        unit = _unit(gram, largest**2)
+        # what the matrix adds outside of the basis: norm of the last coefficients in that direction
+        gap, turn = np.linalg.eigh((gram + gram.T) / 2)
+        size = np.sqrt(np.maximum(gap, 0))[:, None] * turn.T
+        residual = np.linalg.norm(size @ vectors[m - width :, order], axis=0)
+        if unit.shape[1] == 0 or (len(order) == axes and (residual <= tolerance * largest).all()) or largest == 0:
             break
-        previous = found
-        basis = both.select("i", F.col("y").alias("v"))
-    order = order[ritz[order] > 1e-12]
-    out = both.select("i", _combine("v", rotation[:, order]).alias("u"))
-    out = materialize(out, "axes")
-    ends = out.agg(
-        *[F.max_by(F.col("u")[k], F.abs(F.col("u")[k])).alias(f"m{k}") for k in range(len(order))]
-    ).first()
-    scale = [np.sqrt(ritz[c]) * (1.0 if ends[k] >= 0 else -1.0) for k, c in enumerate(order)]
-    rows = [
-        F.struct(
-            F.lit(k + 1).cast("long").alias("axis"),
-            (F.col("u")[k] * float(scale[k])).alias("coordinate"),
-            F.lit(float(ritz[c])).alias("eigenvalue"),
-            F.lit(float(ritz[c] / trace)).alias("relative"),
-        )
-        for k, c in enumerate(order)
-    ]
-    return out.select(F.col("i").alias("id"), F.inline(F.array(*rows)))
+        correct, keep = c + fix, vectors[:, np.argsort(-values)[:p]]
+        restart = m + unit.shape[1] > BASIS
+
+        def extend(r, m=m, q=width, correct=correct, unit=unit, restart=restart, keep=keep):
+            k = _as_matrix(r.k, m)
+            if restart:
+                x = k @ keep
+                return r.block, x.tobytes(), x.tobytes()
+            x = (_as_matrix(r.w, q) - k @ correct) @ unit
+            return r.block, np.hstack([k, x]).tobytes(), x.tobytes()
+
+        table = materialize(_map_rows(step, extend, "block int, k binary, x binary"), f"axes-basis-{round_no}")
+        width = keep.shape[1] if restart else unit.shape[1]
+        m = width if restart else m + width
+        h = np.zeros((0, 0)) if restart else h
+    else:
+        raise ValueError(f"the axes did not converge in {rounds} rounds")
+    chosen, found = vectors[:, order], values[order]
 
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                y = _as_matrix(row.k, m) @ chosen
+                n = len(y)
+                yield pd.DataFrame(
+                    {
+                        "place": np.repeat(row.block * BLOCK + np.arange(n), len(found)),
+                        "axis": np.tile(np.arange(1, len(found) + 1), n),
+                        "u": y.ravel(),
+                    }
+                )
 
-def _gram(df: DataFrame, left: str, right: str, p: int) -> np.ndarray:
-    sums = df.agg(
-        *[F.sum(F.col(left)[a] * F.col(right)[b]).alias(f"g{a}_{b}") for a in range(p) for b in range(p)]
-    ).first()
-    gram = np.array([sums[i] for i in range(p * p)]).reshape(p, p)
-    return (gram + gram.T) / 2
+    entries = materialize(step.select("block", "k").mapInPandas(place, "place long, axis long, u double").join(points, "place"), "axes")
+    # the largest entry of an axis is positive; of entries alike up to rounding, that of the smallest id
+    size = F.round(F.abs("u"), 9)
+    signs = entries.groupBy("axis").agg(F.signum(F.max_by("u", F.struct(size, -F.col("place")))).alias("sign"))
+    scale = F.element_at(F.array(*[F.lit(float(np.sqrt(v))) for v in found]), F.col("axis").cast("int"))
+    value = F.element_at(F.array(*[F.lit(float(v)) for v in found]), F.col("axis").cast("int"))
+    if not len(found):
+        return no_axes(points)
+    return entries.join(F.broadcast(signs), "axis").select(
+        "id", "axis", (F.col("u") * F.col("sign") * scale).alias("coordinate"), value.alias("eigenvalue"), (value / F.lit(float(trace))).alias("relative")
+    )
+
+
+def no_axes(points: DataFrame) -> DataFrame:
+    """No axes: all points coincide."""
+    return points.limit(0).select(
+        "id", F.lit(0).cast("long").alias("axis"), F.lit(0.0).alias("coordinate"), F.lit(0.0).alias("eigenvalue"), F.lit(0.0).alias("relative")
+    )
 
 
-def pcoa(
-    dist: DataFrame, axes: int = 2, small: int = SMALL, rounds: int = 300, tolerance: float = 1e-10
-) -> DataFrame:
+def pcoa(dist: DataFrame, axes: int = 2, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
     """Coordinates ``(id, axis, coordinate, eigenvalue, relative)`` on the leading axes.
 
-    Up to ``small`` points go through one dense decomposition; more points go through a
-    distributed iteration over the centred cells. The sign of an axis makes its
-    largest entry positive.
+    One iteration for every number of points; the distances are stored once. Fewer positive
+    eigenvalues than ``axes`` give fewer axes. The sign of an axis makes its largest entry positive.
     """
-    centered = double_center(dist)
-    n = both_directions(dist, "dist").select("i").distinct().count()
-    if n <= small:
-        return _small_axes(centered, axes)
-    return _large_axes(centered, axes, rounds, tolerance)
+    dist = materialize(dist, "distances")
+    centered = materialize(double_center(dist), "centered")
+    diagonal = centered.filter(F.col("id_a") == F.col("id_b"))
+    points = materialize(dense_index(diagonal.select(F.col("id_a").alias("id")), ["id"], "place"), "points")
+    n, trace = diagonal.agg(F.count(F.lit(1)), F.sum("b")).first()
+    if not n:
+        return no_axes(points)
+    return leading_axes(_blocks(centered, points, n), points, min(axes, n), trace, rounds, tolerance)

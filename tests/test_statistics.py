@@ -119,11 +119,30 @@ def test_pcoa_reproduces_euclidean_distances(spark):
     assert np.allclose(c.T @ c, np.diag(np.diag(c.T @ c)), atol=1e-8)
 
 
-def test_pcoa_iteration_equals_decomposition(spark):
-    _, dist = points_distances(spark, 14, 3)
-    small = coordinates(ordination.pcoa(dist, axes=2), 2)
-    large = coordinates(ordination.pcoa(dist, axes=2, small=0, rounds=40), 2)
-    assert np.allclose(small, large, atol=1e-5)
+def centred(distances):
+    n = len(distances)
+    center = np.eye(n) - 1 / n
+    return -0.5 * center @ (distances * distances) @ center
+
+
+def test_pcoa_with_negative_eigenvalues_gives_both_axes(spark):
+    rng = np.random.default_rng(0)
+    n = 40
+    basis = np.linalg.qr(np.c_[np.ones(n), rng.standard_normal((n, n - 1))])[0][:, 1:]
+    values = np.r_[100, 3, -np.arange(1, 10), np.zeros(n - 12)]
+    b = basis * values @ basis.T
+    d = np.sqrt(np.maximum(np.diag(b)[:, None] + np.diag(b) - 2 * b, 0))
+    i, j = np.triu_indices(n, 1)
+    dist = spark.createDataFrame([(int(x), int(y), float(d[x, y])) for x, y in zip(i, j)], "id_a long, id_b long, dist double")
+    want, vectors = np.linalg.eigh(centred(d))
+    got = coordinates(ordination.pcoa(dist, axes=2), 2)
+    assert np.allclose((got * got).sum(axis=0), want[:-3:-1])
+    assert np.allclose(np.abs(got), np.abs(vectors[:, :-3:-1] * np.sqrt(want[:-3:-1])), atol=1e-7)
+
+
+def test_pcoa_of_one_place_has_no_axes(spark):
+    dist = spark.createDataFrame([(1, 2, 0.0), (1, 3, 0.0), (2, 3, 0.0)], "id_a long, id_b long, dist double")
+    assert ordination.pcoa(dist).count() == 0
 
 
 def naive_average_linkage(dist):
@@ -141,16 +160,25 @@ def naive_average_linkage(dist):
     return sorted(merges)
 
 
-@pytest.mark.parametrize("small", [1024, 4])
-def test_clustering_equals_naive(spark, small):
+def test_clustering_equals_naive(spark):
     _, dist = points_distances(spark, 16, 2, seed=4)
     want = naive_average_linkage({(a, b): d for a, b, d in rows(dist)})
-    merges = clustering.average_linkage(dist, small=small)
-    assert sorted((a, b, round(h, 9), n) for a, b, h, n in rows(merges)) == want
+    merges = clustering.average_linkage(dist)
+    assert sorted((a, b, round(h, 9), n) for a, b, h, n, _, _ in rows(merges)) == want
     order = rows(clustering.leaf_order(merges), "position", "leaf")
     assert [r[0] for r in order] == list(range(1, 17)) and len({r[1] for r in order}) == 16
 
 
+def test_tied_clusters_pair_off_together(spark):
+    data = [(a, b, 1.0) for a in range(14) for b in range(a + 1, 14)]
+    dist = spark.createDataFrame(data, "id_a long, id_b long, dist double")
+    merges = clustering.average_linkage(dist)
+    assert merges.count() == 13 and {r.height for r in merges.collect()} == {1.0}
+    assert sorted(r.position for r in clustering.leaf_order(merges).collect()) == list(range(1, 15))
+    first = clustering._mutual_pairs(dist.selectExpr("id_a lo", "id_b hi", "dist d", "1D w_lo", "1D w_hi"), 0)
+    assert first.count() >= 2
+
+
 def test_pseudocount_and_zero_features(spark):
     counts = spark.createDataFrame([("s1", "f1", 3)], "sample string, feature string, count bigint")
     samples = spark.createDataFrame([("s1",), ("s2",)], "sample string")
