@@ -90,10 +90,12 @@ def loci(t: Tables) -> DataFrame:
     return t.lineitem.select("l_suppkey", "l_partkey").distinct().join(parts(t), "l_partkey")
 
 
-def genes(t: Tables) -> DataFrame:
+def genes(t: Tables, *more: str) -> DataFrame:
+    """Gene rows per locus; ``more`` may ask for contigName."""
     return loci(t).select(
-        tag().alias("locus_tag"), enrichment("l_suppkey").alias("Enrichment"), "gene", "EC_number", "product"
-    )
+        tag().alias("locus_tag"), enrichment("l_suppkey").alias("Enrichment"), "gene", "EC_number", "product",
+        *[contig_name().alias(c) for c in more],
+    )
 
 
 def enzyme_pathway(t: Tables) -> DataFrame:

@@ -148,6 +148,31 @@ def bh_adjust(t: Tables):
     return adjusted(t).select("feature", "comparison", "pvalue", F.round("padj", 9).alias("padj"))
 
 
+_FILTERED = """WITH r AS (SELECT *, (split_part(product, ' ', 2)::BIGINT % 500)::DOUBLE AS base_mean FROM results_table),
+ cuts AS (SELECT comparison, unnest(range(20)) AS k, unnest(c) AS cut FROM (SELECT comparison, quantile_cont(base_mean,
+ [0, .05, .1, .15, .2, .25, .3, .35, .4, .45, .5, .55, .6, .65, .7, .75, .8, .85, .9, .95]) AS c FROM r GROUP BY 1)),
+ tried AS (SELECT comparison, k, cut, pvalue, COUNT(*) OVER (PARTITION BY comparison, k) AS m,
+ COUNT(*) OVER (PARTITION BY comparison, k ORDER BY pvalue RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank
+ FROM r JOIN cuts USING (comparison) WHERE pvalue IS NOT NULL AND base_mean >= cut),
+ hits AS (SELECT comparison, k, cut, MAX(CASE WHEN pvalue * m / rank < 0.1 THEN rank ELSE 0 END) AS hits FROM tried GROUP BY ALL),
+ best AS (SELECT comparison, cut FROM hits QUALIFY row_number() OVER (PARTITION BY comparison ORDER BY hits DESC, k) = 1),
+ used AS (SELECT feature, comparison, pvalue, m, rank FROM (SELECT feature, comparison, pvalue,
+ COUNT(*) OVER (PARTITION BY comparison) AS m, COUNT(*) OVER (PARTITION BY comparison ORDER BY pvalue RANGE BETWEEN UNBOUNDED PRECEDING
+ AND CURRENT ROW) AS rank FROM r JOIN best USING (comparison) WHERE pvalue IS NOT NULL AND base_mean >= cut)),
+ adj AS (SELECT feature, comparison, MIN(least(1.0, pvalue * m / rank)) OVER (PARTITION BY comparison ORDER BY pvalue DESC
+ RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS padj FROM used)
+ SELECT r.feature, r.comparison, round(b.cut, 6) AS base_mean_cutoff, round(adj.padj, 9) AS padj
+ FROM r JOIN best b USING (comparison) LEFT JOIN adj ON adj.feature = r.feature AND adj.comparison = r.comparison"""
+
+
+@query(with_tables("results_table", "SELECT * FROM filtered", filtered=_FILTERED))
+def bh_adjust_filtered(t: Tables):
+    """Adjusted p-values after independent filtering on a base-mean column."""
+    rows = results_table(t).withColumn("base_mean", (F.substring_index("product", " ", -1).cast("bigint") % 500).cast("double"))
+    out = de.bh_adjust_filtered(rows, ["comparison"])
+    return out.select("feature", "comparison", F.round("base_mean_cutoff", 6).alias("base_mean_cutoff"), F.round("padj", 9).alias("padj"))
+
+
 @query(with_tables("results_table", "SELECT feature, comparison FROM a WHERE padj < 0.01", a=_PADJ))
 def significant_only(t: Tables):
     return de.significant_only(adjusted(t)).select("feature", "comparison")

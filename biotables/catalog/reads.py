@@ -6,61 +6,80 @@ from pyspark.sql import functions as F
 
 from biotables.catalog.registry import Tables, query
 from biotables.operators import reads
+from biotables.session import scratch_path
+from biotables.sources import text
 
 
-def _bases(salt: str):
-    return F.translate(F.md5(F.concat(F.lit(salt), "text")), "0123456789abcdef", "ACGTACGTACGTACGT")
-
-
-def _quality(salt: str):
-    digits = F.split(F.md5(F.concat(F.lit(salt), "text")), "")
-    hex_value = F.map_from_arrays(
-        F.array(*[F.lit(c) for c in "0123456789abcdef"]), F.array(*[F.lit(i * 41 // 16) for i in range(16)])
-    )
-    return F.transform(F.slice(digits, 1, 32), lambda c: F.element_at(hex_value, c))
+READ = 150
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_BASES = "ACGTACGTACGTACGTACGTACGTAC"
 
 
 def mate(t: Tables, number: int):
-    """One read per document, made of hashes of its whole text."""
-    return t.documents.select(
-        F.col("doc_id").alias("read_id"),
+    """The letters a to z of every whole text as reads of at most 150 bases; the second mate is read backwards."""
+    letters = F.regexp_replace("text", "[^a-z]", "")
+    letters = F.reverse(letters) if number == 2 else letters
+    whole = t.documents.select("doc_id", letters.alias("letters"))
+    reads_ = whole.select(
+        "doc_id", F.posexplode(F.expr(f"transform(sequence(0, int(greatest(length(letters) - 1, 0) div {READ})), k -> substr(letters, k * {READ} + 1, {READ}))")).alias("k", "part")
+    )
+    quality = F.transform(F.filter(F.split("part", ""), lambda c: c != ""), lambda c: (F.ascii(c) * (5 + 2 * number)) % 41)
+    return reads_.select(
+        F.concat_ws(":", "doc_id", "k").alias("read_id"),
         F.lit(number).alias("mate"),
-        _bases(f"b{number}").alias("bases"),
-        _quality(f"q{number}").alias("quality"),
+        F.translate("part", _LETTERS, _BASES).alias("bases"),
+        quality.alias("quality"),
     )
 
 
 def _mate_sql(number: int) -> str:
-    return f"""SELECT doc_id AS read_id, {number}::INT AS mate, translate(md5('b{number}' || text), '0123456789abcdef',
- 'ACGTACGTACGTACGT') AS bases, list_transform(range(1, 33), lambda i: ((('0x' || substr(md5('q{number}' || text), i, 1))::INT * 41) // 16)::INT)
- AS quality FROM documents"""
+    letters = "regexp_replace(text, '[^a-z]', '', 'g')"
+    letters = f"reverse({letters})" if number == 2 else letters
+    return f"""SELECT doc_id || ':' || k AS read_id, {number}::INT AS mate, translate(part, '{_LETTERS}', '{_BASES}') AS bases,
+ list_transform(list_filter(string_split(part, ''), lambda c: c <> ''), lambda c: ((ord(c) * {5 + 2 * number}) % 41)::INT) AS quality
+ FROM (SELECT doc_id, k, substr(letters, k * {READ} + 1, {READ}) AS part FROM (SELECT doc_id, letters,
+ unnest(range(greatest(length(letters) - 1, 0) // {READ} + 1)) AS k FROM (SELECT doc_id, {letters} AS letters FROM documents)))"""
+
+
+_MATES = f"m1 AS MATERIALIZED ({_mate_sql(1)}), m2 AS MATERIALIZED ({_mate_sql(2)})"
 
 
-_MATES = f"m1 AS ({_mate_sql(1)}), m2 AS ({_mate_sql(2)})"
+def _write_fastq(rows, folder: str) -> None:
+    marks = F.array_join(F.transform("quality", lambda q: F.chr(q + 33)), "")
+    record = F.concat(F.lit("@"), "read_id", F.lit(" of a text\n"), "bases", F.lit("\n+\n"), marks)
+    rows.select(record.alias("value")).write.text(folder)
 
 
-@query(f"WITH {_MATES} SELECT 'lane1' AS lane, read_id, mate, bases FROM m1 UNION ALL SELECT 'lane2', read_id, mate, bases FROM m2")
+@query(f"""WITH {_MATES} SELECT 'L001' AS lane, read_id, mate, bases, list_sum(quality)::BIGINT AS quality_sum FROM m1
+ UNION ALL SELECT 'L002', read_id, mate, bases, list_sum(quality)::BIGINT FROM m2""")
 def reads_concat(t: Tables):
-    """Lane files stacked with the name of the file."""
-    both = reads.concat_lanes({"lane1": mate(t, 1), "lane2": mate(t, 2)})
-    return both.select("lane", "read_id", "mate", "bases")
+    """FASTQ files of two lanes, written, then read in one pass with lane and mate from the file name."""
+    folder = scratch_path(t.spark, "lanes")
+    for number in (1, 2):
+        rows = mate(t, number)
+        _write_fastq(rows, f"{folder}/S1_L00{number}_R{number}")
+    both = reads.concat_lanes(text.read_fastq(t.spark, [f"{folder}/S1_L00{n}_R{n}" for n in (1, 2)]))
+    total = F.aggregate("quality", F.lit(0).cast("bigint"), lambda a, q: a + q)
+    return both.select("lane", "read_id", "mate", "bases", F.when(F.size("quality") > 0, total).alias("quality_sum"))
 
 
-@query(f"""WITH {_MATES}, n2 AS (SELECT * FROM m2 JOIN documents ON doc_id = read_id WHERE lang <> 'fr')
+@query(f"""WITH {_MATES}, n2 AS (SELECT m2.* FROM m2 JOIN documents ON doc_id = split_part(read_id, ':', 1)::BIGINT WHERE lang <> 'fr')
  SELECT read_id, mate, bases FROM m1 WHERE read_id IN (SELECT read_id FROM n2) UNION ALL SELECT read_id, mate, bases FROM n2""")
 def reads_interleave(t: Tables):
-    """Mates side by side; a read without its partner is left out."""
-    spoken = t.documents.filter(F.col("lang") != "fr").select(F.col("doc_id").alias("read_id"))
-    reverse = mate(t, 2).join(spoken, "read_id", "left_semi")
+    """Mates side by side; a read without its partner is left out (French texts have no second mate here)."""
+    spoken = t.documents.filter(F.col("lang") != "fr").select("doc_id")
+    reverse = mate(t, 2).withColumn("doc_id", F.substring_index("read_id", ":", 1).cast("bigint"))
+    reverse = reverse.join(spoken, "doc_id", "left_semi").drop("doc_id")
     return reads.interleave(mate(t, 1), reverse).select("read_id", "mate", "bases")
 
 
-@query(f"""WITH {_MATES} SELECT cycle::INT AS cycle, COUNT(*) AS n_reads, round(AVG(q), 6) AS mean_quality, MIN(q) AS min_quality,
- MAX(q) AS max_quality, round(AVG((base IN ('G', 'C'))::INT), 6) AS gc FROM (
- SELECT i AS cycle, quality[i] AS q, substr(bases, i, 1) AS base FROM m1, range(1, 33) r(i)) GROUP BY 1""")
+@query(f"""WITH {_MATES}, c AS (SELECT mate, unnest(range(1, length(bases) + 1)) AS cycle, unnest(quality) AS q, unnest(list_filter(string_split(bases, ''), lambda c: c <> '')) AS base
+ FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2))
+ SELECT mate, cycle::INT AS cycle, COUNT(*) AS n_reads, round(AVG(q), 6) AS mean_quality, MIN(q) AS min_quality,
+ MAX(q) AS max_quality, round(AVG((base IN ('G', 'C'))::INT), 6) AS gc FROM c GROUP BY 1, 2""")
 def reads_quality_profile(t: Tables):
-    """Quality and GC per cycle."""
-    out = reads.quality_profile(mate(t, 1))
+    """Quality and GC per mate and cycle."""
+    out = reads.quality_profile(mate(t, 1).unionByName(mate(t, 2)))
     return out.withColumn("mean_quality", F.round("mean_quality", 6)).withColumn("gc", F.round("gc", 6))
 
 
@@ -72,19 +91,33 @@ def reads_length_profile(t: Tables):
     return out.withColumn("gc", F.round("gc", 6))
 
 
-@query(f"""WITH {_MATES}, r AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2),
- a AS (SELECT *, coalesce(list_min(list_filter(range(0, 32), lambda i: quality[i + 1] >= 3)), 32) AS s,
- coalesce(list_max(list_filter(range(0, 32), lambda i: quality[i + 1] >= 3)) + 1, 0) AS e FROM r),
- w AS (SELECT read_id, mate, MIN(i) AS cut FROM a, range(0, 29) g(i) WHERE i >= s AND i + 4 <= e
- AND quality[i + 1] + quality[i + 2] + quality[i + 3] + quality[i + 4] < 60 GROUP BY 1, 2),
- k AS (SELECT a.read_id, a.mate, bases, s, coalesce(cut, greatest(e, s)) - s AS len FROM a LEFT JOIN w
- ON w.read_id = a.read_id AND w.mate = a.mate)
+@query(f"""WITH {_MATES}, r AS (SELECT *, len(quality) AS n FROM m1 UNION ALL SELECT *, len(quality) FROM m2),
+ a AS (SELECT *, coalesce(list_min(list_filter(range(0, n), lambda i: quality[i + 1] >= 3)), n) AS s,
+ coalesce(list_max(list_filter(range(0, n), lambda i: quality[i + 1] >= 3)) + 1, 0) AS e FROM r),
+ k AS (SELECT read_id, mate, bases, s, coalesce(list_min(list_filter(range(0, n), lambda i: i >= s AND i + 4 <= greatest(e, s)
+ AND quality[i + 1] + quality[i + 2] + quality[i + 3] + quality[i + 4] < 60)), greatest(e, s)) - s AS len FROM a)
  SELECT read_id, mate, substr(bases, s + 1, len) AS bases, CASE WHEN COUNT(*) OVER (PARTITION BY read_id) = 2 THEN 'paired'
- ELSE 'unpaired' END AS status FROM k WHERE len >= 8""")
+ ELSE 'unpaired' END AS status FROM k WHERE len >= 36""")
 def reads_trim(t: Tables):
     """Quality trimming of both mates and the fate of the pair."""
     both = mate(t, 1).unionByName(mate(t, 2))
-    return reads.trim_reads(both, min_length=8).select("read_id", "mate", "bases", "status")
+    return reads.trim_reads(both).select("read_id", "mate", "bases", "status")
+
+
+@query("""SELECT 'gene' || p_partkey AS feature, 'c' || (p_partkey % 7) AS contig, p_size * 60::BIGINT AS start,
+ p_size * 60 + 30::BIGINT AS "end", CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part WHERE p_size <= 40""")
+def gtf_features(t: Tables):
+    """Annotation file to features of one type with an id attribute."""
+    kind = F.when(F.col("p_size") <= 40, "CDS").otherwise("tRNA")
+    strand = F.when(F.col("p_partkey") % 2 == 0, "+").otherwise("-")
+    attributes = F.concat(F.lit('transcript_id "t'), "p_partkey", F.lit('"; gene_id "gene'), "p_partkey", F.lit('"'))
+    line = F.concat_ws(
+        "\t", F.concat(F.lit("c"), F.col("p_partkey") % 7), F.lit("caller"), kind, F.col("p_size") * 60 + 1, F.col("p_size") * 60 + 30,
+        F.lit("."), strand, F.lit("0"), attributes,
+    )
+    path = scratch_path(t.spark, "gtf")
+    t.part.select(line.alias("value")).write.text(path)
+    return text.read_features(t.spark, path)
 
 
 # ---------------------------------------------------------------- alignments

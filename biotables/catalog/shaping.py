@@ -201,10 +201,11 @@ def membership_flag_pair(t: Tables):
 def fact_inputs(t: Tables):
     return {
         "counts": expression.merge_counts(counts_long(t)),
-        "genes": genes(t),
-        "loci": locus_contig(t),
+        "genes": genes(t, "contigName"),  # genes and their contigs in one pass over the loci
+        "loci": None,
         "contigs": contig_bin(t),
         "taxa": materialize(bins(t), "taxa"),  # a stored table, so its size is known to the planner
+        "distinct_inputs": True,  # grouped or distinct already
     }
 
 

@@ -546,6 +546,36 @@ def bh_adjust(df: DataFrame, group: Sequence[str], p: str = "pvalue", name: str
     return key_join(df, adjusted, [*group, p], "left")
 
 
+def bh_adjust_filtered(
+    df: DataFrame, group: Sequence[str], base_mean: str = "base_mean", p: str = "pvalue", alpha: float = 0.1, steps: int = 20, name: str = "padj"
+) -> DataFrame:
+    """Adjusted p-values after independent filtering on the base mean, per group.
+
+    The cutoffs tried are the quantiles 0, 1/steps, 2/steps, ... of the base mean; the one with the most adjusted p-values
+    below ``alpha`` is taken, the lowest of several. Rows below it get NULL. The published software smooths
+    the counts of rejections over the cutoffs before it chooses; that is left out. Every row is
+    counted once per cutoff it passes, so the work is ``steps`` times that of one adjustment.
+    """
+    group = list(group)
+    shares = {f"__c{i}": i / steps for i in range(steps)}
+    wide = exact_quantiles(df, group, base_mean, shares)
+    cuts = wide.select(*group, F.posexplode(F.array(*shares)).alias("__step_no", "__cut"))
+    tried = (
+        df.filter(F.col(p).isNotNull())
+        .groupBy(*group, p, base_mean).agg(F.count(F.lit(1)).alias("__n"))
+        .join(cuts, group).filter(F.col(base_mean) >= F.col("__cut"))
+        .groupBy(*group, "__step_no", "__cut", p).agg(F.sum("__n").alias("__n"))
+        .withColumn("__bucket", value_bucket(p))
+    )
+    ranked = running_total(tried, [*group, "__step_no", "__cut"], "__bucket", [p], "__n", "__rank", total="__m")
+    found = ranked.groupBy(*group, "__step_no", "__cut").agg(
+        F.max(F.when(F.col(p) * F.col("__m") / F.col("__rank") < alpha, F.col("__rank")).otherwise(0)).alias("__hits")
+    )
+    best = found.groupBy(*group).agg(F.max_by("__cut", F.struct("__hits", -F.col("__step_no"))).alias("base_mean_cutoff"))
+    kept = df.join(best, group, "left").withColumn("__p", F.when(F.col(base_mean) >= F.col("base_mean_cutoff"), F.col(p)))
+    return bh_adjust(kept, group, "__p", name).drop("__p")
+
+
 def significant_only(df: DataFrame, alpha: float = 0.01, padj: str = "padj") -> DataFrame:
     return df.filter(F.col(padj) < alpha)
 

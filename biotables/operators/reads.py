@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def concat_lanes(lanes: dict[str, DataFrame]) -> DataFrame:
-    """Stack the files of one sample and keep the name of the file."""
-    tagged = [df.withColumn("lane", F.lit(name)) for name, df in lanes.items()]
-    return reduce(DataFrame.unionByName, tagged)
+def concat_lanes(reads: DataFrame, pattern: str = r"_(L[0-9]{3})_R([12])") -> DataFrame:
+    """Reads of many files (:func:`read_fastq`) with lane and mate from the name of their file."""
+    return reads.select(
+        F.regexp_extract("file", pattern, 1).alias("lane"),
+        "read_id",
+        F.regexp_extract("file", pattern, 2).cast("int").alias("mate"),
+        "bases",
+        "quality",
+    )
 
 
 def interleave(forward: DataFrame, reverse: DataFrame) -> DataFrame:
@@ -28,17 +36,15 @@ def interleave(forward: DataFrame, reverse: DataFrame) -> DataFrame:
 
 
 def quality_profile(reads: DataFrame) -> DataFrame:
-    """Per cycle: reads that reach it, mean quality, smallest and largest quality, GC share."""
-    base = F.substr(F.col("bases"), F.col("cycle"), F.lit(1))
-    cycles = reads.select("bases", F.posexplode("quality").alias("pos", "q")).withColumn(
-        "cycle", F.col("pos") + 1
-    )
-    return cycles.groupBy("cycle").agg(
+    """Per mate and cycle: reads that reach it, mean quality, smallest and largest quality, GC share."""
+    cell = F.transform("quality", lambda q, i: F.struct(q.alias("q"), F.substr(F.col("bases"), i + 1, F.lit(1)).isin("G", "C").alias("is_gc")))
+    cycles = reads.select("mate", F.posexplode(cell).alias("pos", "c"))
+    return cycles.groupBy("mate", (F.col("pos") + 1).alias("cycle")).agg(
         F.count(F.lit(1)).alias("n_reads"),
-        F.avg("q").alias("mean_quality"),
-        F.min("q").alias("min_quality"),
-        F.max("q").alias("max_quality"),
-        F.avg(base.isin("G", "C").cast("double")).alias("gc"),
+        F.avg("c.q").alias("mean_quality"),
+        F.min("c.q").alias("min_quality"),
+        F.max("c.q").alias("max_quality"),
+        F.avg(F.col("c.is_gc").cast("double")).alias("gc"),
     )
 
 
@@ -51,6 +57,47 @@ def length_profile(reads: DataFrame) -> DataFrame:
     )
 
 
+def _trimmed(rows: pa.RecordBatch, leading: int, trailing: int, window: int, required: float, min_length: int) -> pa.RecordBatch:
+    bases, quality = rows.column(2), rows.column(3)
+    size = np.asarray(quality.value_lengths().fill_null(0)).astype(np.int64)
+    letters = np.asarray(pc.binary_length(bases).fill_null(0)).astype(np.int64)
+    if (size != letters).any():
+        raise ValueError("a read has another number of bases than of qualities")
+    begin = np.cumsum(size) - size
+    read = np.repeat(np.arange(len(size)), size)
+    q = np.asarray(quality.flatten()).astype(np.int64)
+    place = np.arange(len(q)) - begin[read]
+    none = np.int64(2**60)
+
+    def least(of: np.ndarray, empty: np.ndarray) -> np.ndarray:
+        out = np.full(len(size), none)
+        np.minimum.at(out, read[of], place[of])
+        return np.where(out == none, empty, out)
+
+    first = least(q >= leading, size)
+    last = np.full(len(size), -1)
+    strong = q >= trailing
+    np.maximum.at(last, read[strong], place[strong])
+    stop = np.maximum(first, last + 1)
+    sums = np.concatenate([[0], np.cumsum(q)])
+    ends = np.minimum(np.arange(len(q)) + window, len(q))
+    weak = (place >= first[read]) & (place + window <= stop[read]) & (sums[ends] - sums[:-1] < window * required)
+    kept = least(weak, stop) - first
+    stays = kept >= min_length
+    keep = stays[read] & (place >= first[read]) & (place < (first + kept)[read])
+    offsets = np.concatenate([[0], np.cumsum(kept[stays])]).astype(np.int32)
+    text = np.frombuffer(b"".join(bases.fill_null("").cast(pa.binary()).to_pylist()), np.uint8)
+    return pa.RecordBatch.from_arrays(
+        [
+            rows.column(0).filter(pa.array(stays)),
+            rows.column(1).filter(pa.array(stays)),
+            pa.Array.from_buffers(pa.string(), int(stays.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(text[keep].tobytes())]),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(q[keep].astype(np.int32))),
+        ],
+        ["read_id", "mate", "bases", "quality"],
+    )
+
+
 def trim_reads(
     reads: DataFrame,
     leading: int = 3,
@@ -62,41 +109,18 @@ def trim_reads(
     """Quality-trim both mates and mark whether the pair survives as a pair.
 
     Ends lose the bases below the limits; then the read is cut at the start of the first
-    window whose mean is below ``required``.
+    window whose mean is below ``required``. Bases are ASCII letters, one quality each.
 
     ``status`` is ``paired`` when both mates keep ``min_length`` bases, ``unpaired`` when
     only this one does; reads that become too short are dropped.
     """
-    size = F.size("quality")
-    positions = F.sequence(F.lit(0), size)
-
-    def bound(q: Column) -> Column:
-        first = F.array_min(F.filter(positions, lambda i: F.get(q, i) >= leading))
-        last = F.array_max(F.filter(positions, lambda i: F.get(q, i) >= trailing))
-        first = F.coalesce(first, size)
-        return F.struct(first.alias("first"), F.greatest(first, F.coalesce(last + 1, F.lit(0))).alias("stop"))
-
-    def cut(q: Column, ends: Column) -> Column:
-        def weak(i: Column) -> Column:
-            total = sum((F.get(q, i + k) for k in range(1, window)), F.get(q, i))
-            return (i >= ends["first"]) & (i + window <= ends["stop"]) & (total < window * required)
-
-        stop = F.coalesce(F.array_min(F.filter(positions, weak)), ends["stop"])
-        return F.struct(ends["first"].alias("first"), (stop - ends["first"]).alias("kept"))
-
-    # the one-element arrays and the generator make sure that each step is evaluated once per read
-    ends = F.transform(F.array("quality"), bound)
-    window_cut = F.transform(ends, lambda e: cut(F.col("quality"), e))
-    trimmed = (
-        reads.select("read_id", "mate", "bases", "quality", F.inline(window_cut))
-        .filter(F.col("kept") >= min_length)
-        .select(
-            "read_id",
-            "mate",
-            F.substr(F.col("bases"), F.col("first") + 1, F.col("kept")).alias("bases"),
-            F.slice("quality", F.col("first") + 1, F.col("kept")).alias("quality"),
-        )
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yield _trimmed(rows, leading, trailing, window, required, min_length)
+
+    rows = reads.select("read_id", "mate", "bases", F.col("quality").cast("array<int>"))
+    trimmed = rows.mapInArrow(run, rows.schema)
     # a read id has at most two rows, its mates, so this window stays tiny
     mates = F.count(F.lit(1)).over(W.partitionBy("read_id"))
     return trimmed.withColumn("status", F.when(mates == 2, "paired").otherwise("unpaired"))

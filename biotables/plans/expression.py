@@ -55,10 +55,11 @@ def assemble_fact(
     counts: DataFrame,
     genes: DataFrame,
     pathways: DataFrame | None,
-    loci: DataFrame,
+    loci: DataFrame | None,
     contigs: DataFrame,
     taxa: DataFrame,
     contig_keys: Sequence[str] = ("contigName", "Enrichment"),
+    distinct_inputs: bool = False,
 ) -> DataFrame:
     """Counts per locus with gene, pathway, contig, bin, taxonomy and quality.
 
@@ -69,17 +70,20 @@ def assemble_fact(
     Locus tags are never missing, so the three tables keyed by them are joined by plain
     equality and shuffled once each; the other keys may be missing and match as such. The
     result has no repeated rows because no input has any: removing repeats from the narrow
-    inputs is cheaper than from the wide result.
+    inputs is cheaper than from the wide result, and ``distinct_inputs`` says that there are none.
+    ``loci=None`` means that ``genes`` holds the contig columns itself, which saves a join.
     """
-    fact = key_join(counts, genes.distinct(), ["locus_tag"], "left", nulls_match=False)
-    fact = key_join(fact, loci.distinct(), ["locus_tag"], "left", nulls_match=False)
-    fact = key_join(fact, contigs.distinct(), list(contig_keys), "left")
+    clean = (lambda df: df) if distinct_inputs else DataFrame.distinct
+    fact = key_join(counts, clean(genes), ["locus_tag"], "left", nulls_match=False)
+    if loci is not None:
+        fact = key_join(fact, clean(loci), ["locus_tag"], "left", nulls_match=False)
+    fact = key_join(fact, clean(contigs), list(contig_keys), "left")
     fact = key_join(
-        fact.filter(F.col("BinID").isNotNull()), taxa.distinct(), ["BinID", "Enrichment"], "left"
+        fact.filter(F.col("BinID").isNotNull()), clean(taxa), ["BinID", "Enrichment"], "left"
     )
     if pathways is None:
         return fact
-    return key_join(fact, pathways.distinct(), ["EC_number"], "left").withColumn(
+    return key_join(fact, clean(pathways), ["EC_number"], "left").withColumn(
         "General_Pathway", F.coalesce("General_Pathway", F.lit(UNKNOWN_PATHWAY))
     )
 

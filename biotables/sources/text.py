@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,6 +185,64 @@ def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+def read_fastq(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``file, read_id, description, bases, quality``; one row per record of all files, in one read.
+
+    Records are cut at line starts with ``@``. A quality line may start so too; such a record comes in two
+    pieces, which follow each other and are put together. In a plain file a split border between the two
+    raises; compressed files are read whole, each by one task.
+    """
+    pieces = spark.read.option("lineSep", "\n@").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_file, begun = None, ""
+        for rows in batches:
+            out: list[tuple[str, str, str, str]] = []
+            for file, value in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                if begun and file != open_file:
+                    raise ValueError(f"{open_file} ends within a record")
+                text = f"{begun}\n@{value}" if begun else value.removeprefix("@")
+                lines = text.replace("\r", "").split("\n")
+                if lines[-1] == "" and len(lines) in (1, 2, 5):
+                    lines.pop()  # the end of the file
+                if not any(lines):
+                    continue
+                if len(lines) == 3 and lines[2].startswith("+"):
+                    # the quality line starts with the record mark
+                    open_file, begun = file, text
+                    continue
+                if len(lines) != 4 or not lines[2].startswith("+") or len(lines[1]) != len(lines[3]):
+                    raise ValueError(f"{file} has a broken record at {lines[0]!r}")
+                begun = ""
+                out.append((file, lines[0], lines[1], lines[3]))
+            columns = list(zip(*out)) if out else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file", "head", "bases", "marks"])
+        if begun:
+            raise ValueError(f"{open_file} ends within a record")
+
+    quality = F.transform(F.filter(F.split("marks", ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
+    return pieces.mapInArrow(records, "file string, head string, bases string, marks string").select(
+        "file",
+        F.regexp_extract("head", "^(\\S*)", 1).alias("read_id"),
+        F.nullif(F.trim(F.regexp_replace("head", "^\\S*", "")), F.lit("")).alias("description"),
+        "bases",
+        quality.alias("quality"),
+    )
+
+
+def read_features(spark: SparkSession, path: str | Sequence[str], feature_type: str = "CDS", id_attribute: str = "gene_id") -> DataFrame:
+    """``feature, contig, start, end, strand`` of one type of an annotation file; start counts from 0, end is exclusive.
+
+    The id comes from ``id_attribute "value"`` or ``id_attribute=value`` of the last column; rows without it are left out.
+    """
+    rows = read_headerless(spark, path, GTF_SCHEMA).filter((F.col("V3") == feature_type) & ~F.startswith("V1", F.lit("#")))
+    found = F.regexp_extract("V9", f'(?:^|;)\\s*{id_attribute}[ =]"?([^";]+)', 1)
+    return rows.select(
+        F.nullif(found, F.lit("")).alias("feature"), F.col("V1").alias("contig"),
+        (F.col("V4").cast("bigint") - 1).alias("start"), F.col("V5").cast("bigint").alias("end"), F.col("V7").alias("strand"),
+    ).filter(F.col("feature").isNotNull())
+
+
 def pathway_enzymes(pathways: DataFrame) -> DataFrame:
     """``(pathway_id, name, enzymes array)`` to one row per enzyme and pathway."""
     return pathways.select(

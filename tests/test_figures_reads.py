@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from biotables.sources import text
 from biotables.operators import figures, joins, reads, totals
 
 
@@ -66,8 +67,9 @@ def test_trim_against_brute_force(spark):
 
 
 def test_profiles_and_interleave(spark):
-    df = spark.createDataFrame([(1, "GA", [10, 20]), (2, "C", [30])], "read_id int, bases string, quality array<int>")
-    assert rows(reads.quality_profile(df)) == [(1, 2, 20.0, 10, 30, 1.0), (2, 1, 20.0, 20, 20, 0.0)]
+    df = spark.createDataFrame([(1, 1, "GA", [10, 20]), (2, 1, "C", [30])], "read_id int, mate int, bases string, quality array<int>")
+    assert rows(reads.quality_profile(df)) == [(1, 1, 2, 20.0, 10, 30, 1.0), (1, 2, 1, 20.0, 20, 20, 0.0)]
+    df = df.drop("mate")
     assert rows(reads.length_profile(df)) == [(1, 1, 1.0), (2, 1, 0.5)]
     pairs = reads.interleave(df, df.filter("read_id = 1"))
     assert rows(pairs, "read_id", "mate", "bases") == [(1, 1, "GA"), (1, 2, "GA")]
@@ -154,3 +156,34 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     spark.range(100).select("id", F.lit("x").alias("unused"), (F.col("id") * 2).alias("v")).write.parquet(path)
     text = plan(spark.read.parquet(path).filter(F.col("v") > 10).select("id"))
     assert "GreaterThan(v,10)" in text and "unused" not in text.split("ReadSchema")[-1]
+
+
+def test_fastq_with_quality_lines_that_start_like_a_record(spark, tmp_path):
+    (tmp_path / "S1_L001_R1.fastq").write_text("@r1 first\nACG\n+\n@I@\n@r2\nTT\n+r2\n+@\n@r3\n\n+\n\n@r4\nA\n+\n@\n")
+    (tmp_path / "S1_L002_R2.fastq").write_text("@r1\nGG\n+\nII")
+    got = reads.concat_lanes(text.read_fastq(spark, str(tmp_path)))
+    assert rows(got, "lane", "read_id", "mate", "bases", "quality") == [
+        ("L001", "r1", 1, "ACG", [31, 40, 31]), ("L001", "r2", 1, "TT", [10, 31]), ("L001", "r3", 1, "", []), ("L001", "r4", 1, "A", [31]),
+        ("L002", "r1", 2, "GG", [40, 40]),
+    ]
+    (tmp_path / "broken.fastq").write_text("@r1\nGG\n+\nI\n")
+    with pytest.raises(Exception, match="broken record"):
+        text.read_fastq(spark, str(tmp_path / "broken.fastq")).collect()
+
+
+def test_features_of_an_annotation_file(spark, tmp_path):
+    lines = [
+        "# comment", 'c1\tx\tCDS\t11\t20\t.\t+\t0\ttranscript_id "t1"; gene_id "g1"', "c1\tx\ttRNA\t1\t5\t.\t+\t0\tgene_id \"g2\"",
+        "c2\tx\tCDS\t5\t6\t.\t-\t0\tgene_id=g3;note=y", "c2\tx\tCDS\t7\t9\t.\t-\t0\tother_gene_id=g4",
+    ]
+    (tmp_path / "a.gtf").write_text("\n".join(lines) + "\n")
+    got = text.read_features(spark, str(tmp_path / "a.gtf"))
+    assert rows(got, "feature", "contig", "start", "end", "strand") == [("g1", "c1", 10, 20, "+"), ("g3", "c2", 4, 6, "-")]
+
+
+def test_coordinate_order_over_all_partitions(spark):
+    rng = random.Random(2)
+    data = [(f"r{i}", rng.randrange(5), rng.randrange(100)) for i in range(500)]
+    df = spark.createDataFrame(data, "read_id string, contig int, start int").repartition(7)
+    got = [(r.contig, r.start, r.read_id) for r in reads.coordinate_sort(df, 5).collect()]
+    assert got == sorted((c, s, r) for r, c, s in data)

@@ -127,8 +127,8 @@ def test_table_blank_and_missing_cells(spark, tmp_path):
     schema = "id bigint, gene string, n bigint"
     assert rows(sources.read_table(spark, path, schema)) == [(None, "abc", 7), (1, "", None), (3, None, None)]
     assert (1, None, None) in rows(sources.read_table(spark, path, schema, blank_as_null=True))
-    with pytest.raises(ValueError):
-        sources.read_table(spark, path, "id bigint, other string, n bigint")
+    with pytest.raises(Exception, match="(?i)header"):
+        sources.read_table(spark, path, "id bigint, other string, n bigint").collect()
 
 
 def test_sample_sheet_and_quantification(spark, tmp_path):
@@ -278,3 +278,19 @@ def test_pathway_products(spark):
     assert rows(gene_plans.pathway_products(export)) == [("P one", "a x"), ("P one", "b")]
     long = spark.createDataFrame([("P", " // ".join(f"e{k}" for k in range(40)))], "names string, enzymes string")
     assert gene_plans.pathway_products(long).count() == 40
+
+
+def test_headers_are_checked_in_every_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n3,4\n")
+    assert rows(sources.read_table(spark, str(tmp_path / "a.csv"), "x int, y int")) == [(1, 2)]
+    with pytest.raises(Exception, match="(?i)header"):
+        sources.read_directory(spark, str(tmp_path), "x int, y int", sep=",").collect()
+
+
+def test_quotes_are_doubled(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'say "a, b"'), (2, "back\\slash"), (3, None), (4, "")], "x int, y string")
+    path = sources.write_csv(df, str(tmp_path / "out"))
+    written = "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
+    assert '"say ""a, b"""' in written
+    assert rows(sources.read_table(spark, path, "x int, y string")) == rows(df)

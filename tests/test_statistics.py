@@ -311,3 +311,35 @@ def test_labels(spark):
         ("p", "Enriched", "p"), ("q", "Enriched", "q"), ("r", None, None), ("s", "Not_Enriched", "Not_Enriched"),
         ("t", "Not_Enriched", "Not_Enriched"),
     ]
+
+
+def test_log2_ratio_has_a_row_for_every_pair(spark):
+    samples = spark.createDataFrame([("s1", "A"), ("s2", "A"), ("s3", "B"), ("s4", "C")], "sample string, f string")
+    factors = samples.select("sample", F.lit(1.0).alias("size_factor"))
+    counts = spark.createDataFrame([("s1", "f1", 4), ("s3", "f1", 0), ("s3", "f2", 8), ("s1", "f3", 2), ("s2", "f3", 2), ("s3", "f3", 4)], "sample string, feature string, count long")
+    got = {(r.feature, r.comparison): (r.log2_ratio, r.one_sided_zero) for r in de.log2_ratio_pairs(counts, samples, "f", factors, ["A", "B", "C"]).collect()}
+    assert len(got) == 9 and got["f3", "B_vs_A"] == (1.0, False)
+    assert got["f1", "B_vs_A"] == (float("-inf"), True) and got["f2", "B_vs_A"] == (float("inf"), True)
+    assert got["f1", "C_vs_B"] == (None, False) and got["f2", "C_vs_B"] == (float("-inf"), True)
+
+
+def test_filtered_adjustment_equals_plain_python(spark):
+    rng = np.random.default_rng(5)
+    mean = rng.integers(0, 50, 300).astype(float)
+    p = np.where(mean > 25, rng.random(300) ** 5, rng.random(300))
+    df = spark.createDataFrame([("g", i, float(m), float(v)) for i, (m, v) in enumerate(zip(mean, p))], "g string, i int, base_mean double, pvalue double")
+
+    def adjust(v):
+        order = np.argsort(v)
+        q = v[order] * len(v) / np.arange(1, len(v) + 1)
+        out = np.empty(len(v))
+        out[order] = np.minimum(1, np.minimum.accumulate(q[::-1])[::-1])
+        return out
+
+    cuts = [np.quantile(mean, k / 20) for k in range(20)]
+    hits = [(adjust(p[mean >= c]) < 0.1).sum() for c in cuts]
+    cut = cuts[int(np.argmax(hits))]
+    got = {r.i: r for r in de.bh_adjust_filtered(df, ["g"]).collect()}
+    want = dict(zip(np.flatnonzero(mean >= cut), adjust(p[mean >= cut])))
+    assert {r.base_mean_cutoff for r in got.values()} == {cut}
+    assert all((i in want) == (r.padj is not None) and (r.padj is None or abs(r.padj - want[i]) < 1e-9) for i, r in got.items())
