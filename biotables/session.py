@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,14 +22,35 @@ ADAPTIVE = {
 
 
 _CLEANED: set[str] = set()
+_SENT: set[str] = set()
 
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in ADAPTIVE.items():
         spark.conf.set(key, value)
+    send_package(spark)
     return spark
 
 
+def send_package(spark: SparkSession) -> None:
+    """Give the executors this package, unless it is installed or on the PYTHONPATH that they inherit.
+
+    Functions of the package reach Python workers by name, so every worker has to import it.
+    """
+    package = Path(__file__).resolve().parent
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    context = spark.sparkContext
+    if "site-packages" in package.parts or str(package.parent) in known or context.applicationId in _SENT:
+        return
+    _SENT.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="biotables-code-")) / "biotables.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
