@@ -55,12 +55,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (A-Z lower-cased) and the first word of each row, one more at the end."""
+def placed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash (A-Z lower-cased) and first byte of every word."""
     inside = ~SPACE[data]
     at = np.flatnonzero(inside)
     if not len(at):
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, U), np.zeros(0, np.int64)
     breaks = np.zeros(len(data) + 1, bool)
     breaks[offsets] = True
     opens = np.empty(len(at), bool)
@@ -71,7 +71,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, U))
     place = np.arange(len(at)) - np.repeat(first, size)
     total = np.add.reduceat(LETTER[LOWER[data[at]]] * power[place], first)
-    return mix(total + size.astype(U)), np.searchsorted(at[first], offsets)
+    return mix(total + size.astype(U)), at[first]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word and the first word of each row, one more at the end."""
+    hashes, begin = placed_words(data, offsets)
+    return hashes, np.searchsorted(begin, offsets)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning over the passages of a document.
 
 A document is a bag of passages of ``PASSAGE`` bytes. Every passage is encoded: byte and byte-pair
-frequencies, then one tanh layer. Gated attention (tanh times sigmoid) gives each passage a weight
+frequencies, how far its words repeat, its length, then one tanh layer. Gated attention (tanh times sigmoid) gives each passage a weight
 within its document; the weighted mean of the encodings is the document, which one logistic unit
 scores. All weights are learned from document labels only.
 
@@ -25,14 +25,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biotables.llm.columns import cut_points, table, text_bytes
+from biotables.llm.ngram_jaccard import placed_words
 
 PASSAGE = 512
 PAIRS = 256
-FEATURES = 256 + PAIRS
+SHAPE = 3
+FEATURES = 256 + PAIRS + SHAPE
+#: bytes that every passage is read as if it had more of, so that a few letters say little
+CALM = 64
 HIDDEN, GATE = 32, 16
 TRAIN_DOCS = 3000
 TRAIN_PASSAGES = 32
-EPOCHS = 12
+#: passes over the sample, and gradient steps at least
+EPOCHS, STEPS = 12, 600
 #: bytes turned into features at once
 WORK_BYTES = 2 << 20
 
@@ -50,9 +55,23 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     same = passage[1:] == passage[:-1]
     pair = ((wide[:-1] * 157 + wide[1:] * 31) % PAIRS)[same]
     double = np.bincount(passage[:-1][same] * PAIRS + pair, minlength=total * PAIRS).reshape(total, PAIRS)
-    x = np.concatenate([single, double], axis=1).astype(np.float32)
-    x /= np.maximum(1, single.sum(axis=1, dtype=np.float32))[:, None]
-    return np.sqrt(x), first
+    n = single.sum(axis=1, dtype=np.float32)
+    x = np.concatenate([single, double], axis=1).astype(np.float32) / (n + CALM)[:, None]
+    return np.concatenate([np.sqrt(x), shape(data, offsets, passage, total), np.sqrt(n / PASSAGE)[:, None]], axis=1), first
+
+
+def shape(data: np.ndarray, offsets: np.ndarray, passage: np.ndarray, total: int) -> np.ndarray:
+    """Share of words that repeat the word before, and share of different words, of each passage."""
+    word, begin = placed_words(data, offsets)
+    of = passage[begin]
+    words = np.bincount(of, minlength=total)
+    again = np.zeros(len(word), bool)
+    again[1:] = (word[1:] == word[:-1]) & (of[1:] == of[:-1])
+    order = np.lexsort((word, of))
+    new = np.ones(len(word), bool)
+    new[1:] = (word[order][1:] != word[order][:-1]) | (of[order][1:] != of[order][:-1])
+    most = np.maximum(1, words)
+    return np.stack([np.bincount(of[again], minlength=total) / most, np.bincount(of[order][new], minlength=total) / most], axis=1).astype(np.float32)
 
 
 @dataclass
@@ -112,7 +131,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int =
     r = np.random.default_rng(seed)
     m, v = ([np.zeros_like(p) for p in model.parts()] for _ in range(2))
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * 32 // len(y)))):
         order = r.permutation(len(y))
         for a in range(0, len(y), 32):
             pick = order[a : a + 32]
@@ -159,7 +178,7 @@ def train(
                 bags = []
                 for a, b in zip(first, first[1:]):
                     pick = np.unique(np.linspace(a, b - 1, min(b - a, train_passages)).astype(np.int64))
-                    bags.append((x[pick] * 255).astype(np.uint8).tobytes())
+                    bags.append(np.round(x[pick] * 255).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(bags, pa.binary())], ["id", "label", "bag"])
 
     kind = docs.schema[id_col].dataType.simpleString()
