@@ -70,7 +70,7 @@ def dispersion_fit(t: Tables):
     """Gene-wise, trend (local) and shrunken dispersion per feature."""
     counts, samples, factors = stored_inputs(t)
     fit, _ = de.fit_features(counts, samples, "substrate", factors, trend="local")
-    return fit.select("feature", "base_mean", "disp_gene", "disp_trend", "dispersion", "outlier")
+    return fit.select("feature", "base_mean", "disp_gene", "disp_trend", "dispersion", "outlier", "converged")
 
 
 @query()

@@ -109,15 +109,15 @@ def design_report(samples: DataFrame, factor: str) -> DataFrame:
 def check_design(samples: DataFrame, factor: str, levels: Sequence[str] = ()) -> DataFrame:
     """Return the report; a missing level, one level only, or no replicate raises."""
     report = design_report(samples, factor)
-    found = {r["level"]: r["n_samples"] for r in report.take(10_001)}
-    if len(found) > 10_000:
-        raise ValueError(f"{factor} has more than 10,000 levels, it is not a design factor")
-    absent = [level for level in levels if level not in found]
-    if absent:
-        raise ValueError(f"levels {absent} do not occur in {factor}")
-    if len(found) < 2:
+    n_levels, most = report.agg(F.count(F.lit(1)), F.max("n_samples")).first()
+    if levels:
+        found = {r["level"] for r in report.filter(F.col("level").isin(list(levels))).select("level").collect()}
+        absent = [level for level in levels if level not in found]
+        if absent:
+            raise ValueError(f"levels {absent} do not occur in {factor}")
+    if n_levels < 2:
         raise ValueError(f"{factor} needs at least two levels")
-    if max(found.values()) < 2:
+    if most < 2:
         raise ValueError(f"no level of {factor} has two samples, nothing can be tested")
     return report
 
@@ -182,26 +182,51 @@ def _profile(counts: np.ndarray, mu: np.ndarray, log_alpha: np.ndarray, design:
 def _best_dispersion(
     counts: np.ndarray, mu: np.ndarray, design: _Design, prior: np.ndarray | None = None,
     variance: float = 1.0,
-) -> np.ndarray:
-    """Maximise over ln(dispersion): a coarse grid, then two finer grids around the best."""
+) -> tuple[np.ndarray, np.ndarray]:
+    """Maximise over ln(dispersion), and whether the maximum is met to 1e-4.
+
+    A coarse and a finer grid bracket the best value; then the vertex of the parabola through three points
+    is taken until it stays. A maximum at the ends of the range counts as met.
+    """
     low, high = math.log(MIN_DISPERSION), math.log(max(10.0, counts.shape[1]))
+
+    def value(at: np.ndarray) -> np.ndarray:
+        score = _profile(counts, mu, at, design)
+        return score if prior is None else score - (at - prior) ** 2 / (2 * variance)
+
     center = np.full(len(counts), (low + high) / 2)
     half = (high - low) / 2
-    for points in (25, 11, 11):
+    for points in (25, 11):
         offsets = np.linspace(-half, half, points)
         scores = np.empty((points, len(counts)))
         for k, offset in enumerate(offsets):
-            at = np.clip(center + offset, low, high)
-            scores[k] = _profile(counts, mu, at, design)
-            if prior is not None:
-                scores[k] -= (at - prior) ** 2 / (2 * variance)
+            scores[k] = value(np.clip(center + offset, low, high))
         center = np.clip(center + offsets[scores.argmax(axis=0)], low, high)
         half = half / (points - 1) * 2
-    return np.exp(center)
+    step = np.full(len(counts), half / 2)
+    here = value(center)
+    converged = np.zeros(len(counts), bool)
+    for _ in range(8):
+        below, above = value(np.maximum(center - step, low)), value(np.minimum(center + step, high))
+        bend = below - 2 * here + above
+        move = np.where(bend < 0, 0.5 * step * (below - above) / np.where(bend < 0, bend, -1.0), 0.0)
+        new = np.clip(center + np.clip(move, -step, step), low, high)
+        reached = value(new)
+        # the best of the four points goes on
+        options = np.stack([here, below, above, reached])
+        places = np.stack([center, np.maximum(center - step, low), np.minimum(center + step, high), new])
+        best = options.argmax(axis=0)
+        moved = np.abs(np.take_along_axis(places, best[None], 0)[0] - center)
+        center, here = np.take_along_axis(places, best[None], 0)[0], options.max(axis=0)
+        step = np.maximum(np.minimum(step / 4, 2 * moved + step / 16), 1e-5)
+        converged = (moved < 1e-4) & (step < 1e-2)
+        if converged.all():
+            break
+    return np.exp(center), converged | (center <= low) | (center >= high)
 
 
-def _fit_levels(counts: np.ndarray, alpha: np.ndarray, design: _Design, rounds: int = 25):
-    """Newton steps per level on the log mean; returns estimates and informations."""
+def _fit_levels(counts: np.ndarray, alpha: np.ndarray, design: _Design, rounds: int = 100):
+    """Newton steps per level on the log mean; returns estimates, informations and whether each row has settled."""
     floor = math.log(1e-8)
     beta = np.log(np.maximum(design.group_means(counts), 1e-8))
     a = alpha[:, None]
@@ -210,11 +235,13 @@ def _fit_levels(counts: np.ndarray, alpha: np.ndarray, design: _Design, rounds:
         weight = 1.0 / (1.0 + a * mu)
         info = design.level_sums(mu * weight)
         step = design.level_sums((counts - mu) * weight) / np.maximum(info, 1e-12)
-        beta = np.clip(beta + np.clip(step, -3, 3), floor, 60)
-        if np.abs(step).max(initial=0.0) < 1e-10:
+        new = np.clip(beta + np.clip(step, -3, 3), floor, 60)
+        settled = (np.abs(new - beta) < 1e-8).all(axis=1)
+        beta = new
+        if settled.all():
             break
     mu = np.exp(beta)[:, design.codes] * design.factors
-    return beta, design.level_sums(mu / (1.0 + a * mu))
+    return beta, design.level_sums(mu / (1.0 + a * mu)), settled
 
 
 # ---------------------------------------------------------------- feature rows
@@ -267,21 +294,23 @@ def _gene_dispersion(design: _Design):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, counts in _dense_batches(batches, design):
             mu = design.fitted(design.group_means(counts))
+            dispersion, converged = _best_dispersion(counts, mu, design)
             yield pd.DataFrame(
                 {
                     "feature": part["feature"].to_numpy(),
                     "base_mean": (counts / design.factors).mean(axis=1),
-                    "disp_gene": _best_dispersion(counts, mu, design),
+                    "disp_gene": dispersion,
+                    "gene_converged": converged,
                 }
             )
 
     return run
 
 
-def parametric_trend(genes: DataFrame, rounds: int = 20) -> tuple[float, float] | None:
+def parametric_trend(genes: DataFrame, rounds: int = 50) -> tuple[float, float] | None:
     """Coefficients of ``a1 / mean + a0`` by gamma regression on aggregated sums.
 
-    None when the regression leaves the positive range (the caller falls back to the
+    None when the regression leaves the positive range or does not settle (the caller falls back to the
     local trend, as the published software does).
     """
     usable = genes.filter((F.col("disp_gene") > 100 * MIN_DISPERSION) & (F.col("base_mean") > 0))
@@ -313,8 +342,8 @@ def parametric_trend(genes: DataFrame, rounds: int = 20) -> tuple[float, float]
         change = math.log(new0 / a0) ** 2 + math.log(new1 / a1) ** 2
         a0, a1 = new0, new1
         if change < 1e-6:
-            break
-    return a0, a1
+            return a0, a1
+    return None
 
 
 def local_trend(genes: DataFrame, points: int = 40, share: float = 0.7) -> tuple[list, list]:
@@ -331,7 +360,7 @@ def local_trend(genes: DataFrame, points: int = 40, share: float = 0.7) -> tuple
     grid = np.unique(np.linspace(ends[0], ends[1], points)).tolist()
     at = xy.withColumn("g", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
     at = at.withColumn("gap", F.abs(F.col("x") - F.col("g")))
-    reach = at.groupBy("g").agg(F.percentile_approx("gap", share, 10_000).alias("h")).collect()
+    reach = exact_quantiles(at, ["g"], "gap", {"h": share}).select("g", "h").collect()
     width = F.create_map(*[F.lit(float(v)) for r in reach for v in (r["g"], max(r["h"], 1e-6))])
     rel = F.col("gap") / F.try_element_at(width, F.col("g"))
     weight = F.when(rel < 1, F.pow(1 - F.pow(rel, 3), 3)).otherwise(0.0)
@@ -420,7 +449,7 @@ def fit_features(
     genes = materialize(
         rows.mapInPandas(
             _gene_dispersion(design),
-            f"feature {feature}, base_mean double, disp_gene double",
+            f"feature {feature}, base_mean double, disp_gene double, gene_converged boolean",
         ),
         "gene-dispersion",
     )
@@ -435,10 +464,12 @@ def fit_features(
             base = part["base_mean"].to_numpy()
             gene = part["disp_gene"].to_numpy()
             prior = curve.log_value(base)
-            alpha = _best_dispersion(cells, mu, design, prior, variance)
+            alpha, found = _best_dispersion(cells, mu, design, prior, variance)
             outlier = np.log(gene) > prior + 2 * spread
             alpha = np.where(outlier, gene, alpha)
-            beta, info = _fit_levels(cells, alpha, design)
+            beta, info, settled = _fit_levels(cells, alpha, design)
+            # an outlier keeps the gene's own estimate
+            found = np.where(outlier, part["gene_converged"].to_numpy(dtype=bool), found)
             yield pd.DataFrame(
                 {
                     "feature": part["feature"].to_numpy(),
@@ -450,6 +481,7 @@ def fit_features(
                     "beta": list(beta),
                     "info": list(info),
                     "all_zero": list(means <= 0),
+                    "converged": found & settled,
                 }
             )
 
@@ -457,7 +489,7 @@ def fit_features(
         final,
         f"feature {feature}, base_mean double, disp_gene double, disp_trend double, "
         "dispersion double, outlier boolean, beta array<double>, info array<double>, "
-        "all_zero array<boolean>",
+        "all_zero array<boolean>, converged boolean",
     )
     return materialize(fitted, "fit"), design.levels
 
