@@ -33,7 +33,7 @@ ENTRIES = CLASSES * PER_CLASS
 OWN = ENTRIES // 2  # entries of one word each
 OUTSIDE = ENTRIES  # context symbol beyond the text
 WIDTH, HIDDEN = 8, 16
-RATE, GROUP = 0.05, 2048
+RATE, GROUP = 0.05, 8192
 WARM_DOCS, WARM_WORDS = 400, 2000
 WORK_BYTES = 1 << 20
 
@@ -43,8 +43,12 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in parts:
-            hashes, _ = word_hashes(*text_bytes(rows.column(0)))
-            word, count = np.unique(hashes, return_counts=True)
+            # counts of a batch are added up before they leave it
+            found = [np.unique(word_hashes(data, offsets)[0], return_counts=True) for _, data, offsets in grouped(rows, 0)]
+            if not found:
+                continue
+            word, place = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
+            count = np.bincount(place, weights=np.concatenate([n for _, n in found]), minlength=len(word))
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count.astype(np.int64))], ["word", "n"])
 
     counts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -81,22 +85,25 @@ class Network:
         return x, np.tanh(x @ w + b)
 
     @staticmethod
-    def log_softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+    def exponentials(z: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials of the rows of ``z`` (overwritten), their sums, and the logarithm of the picked share."""
+        if z.max(initial=0) > 60:
+            z -= z.max(axis=1, keepdims=True)
+        chosen = z[np.arange(len(z)), pick]
+        np.exp(z, out=z)
+        total = z @ np.ones(z.shape[1], z.dtype)
+        return z, total, chosen - np.log(total)
 
     def log_prob(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Log-probability of each word; words must be sorted by class."""
         _, _, _, wc, bc, ww, bw = self.parts
         _, h = self.hidden(context)
         group, inner = word // PER_CLASS, word % PER_CLASS
-        at = np.arange(len(word))
-        out = self.log_softmax(h @ wc + bc)[at, group]
+        out = self.exponentials(h @ wc + bc, group)[2]
         edges = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(edges)):
             s = slice(edges[c], edges[c + 1])
-            out[s] += self.log_softmax(h[s] @ ww[c] + bw[c])[np.arange(edges[c + 1] - edges[c]), inner[s]]
+            out[s] += self.exponentials(h[s] @ ww[c] + bw[c], inner[s])[2]
         return out
 
     def step(self, context: np.ndarray, word: np.ndarray, square: list[np.ndarray]) -> None:
@@ -105,14 +112,16 @@ class Network:
         x, h = self.hidden(context)
         group, inner = word // PER_CLASS, word % PER_CLASS
         at = np.arange(len(word))
-        e = np.exp(self.log_softmax(h @ wc + bc))
+        e, total, _ = self.exponentials(h @ wc + bc, group)
+        e /= total[:, None]
         e[at, group] -= 1
         dh = e @ wc.T
         grads = [None, None, None, h.T @ e, e.sum(axis=0), np.zeros_like(ww), np.zeros_like(bw)]
         edges = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(edges)):
             s = slice(edges[c], edges[c + 1])
-            f = np.exp(self.log_softmax(h[s] @ ww[c] + bw[c]))
+            f, total, _ = self.exponentials(h[s] @ ww[c] + bw[c], inner[s])
+            f /= total[:, None]
             f[np.arange(edges[c + 1] - edges[c]), inner[s]] -= 1
             grads[5][c], grads[6][c] = h[s].T @ f, f.sum(axis=0)
             dh[s] += f @ ww[c].T
@@ -180,9 +189,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", warm_
 
     def head(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            hashes, first = word_hashes(*text_bytes(batch.column(1)))
-            out = [hashes[a : min(b, a + WARM_WORDS)].tobytes() for a, b in zip(first, first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
+            for _, data, offsets in grouped(batch, 1):
+                hashes, first = word_hashes(data, offsets)
+                out = [hashes[a : min(b, a + WARM_WORDS)].tobytes() for a, b in zip(first, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
 
     # at most warm_docs ids
     sample = sorted(bytes(r[0]) for r in rows.join(F.broadcast(picked), "id").select("id", "text").mapInArrow(head, "words binary").collect())
@@ -226,8 +236,8 @@ def score(docs: DataFrame, known: np.ndarray, net: Network, id_col: str = "doc_i
             for part, data, offsets in grouped(batch, 1):
                 context, word, row = examples(data, offsets, known)
                 value = np.zeros(len(word))
-                for a in range(0, len(word), 1 << 15):
-                    s = np.arange(a, min(len(word), a + (1 << 15)))
+                for a in range(0, len(word), GROUP):
+                    s = np.arange(a, min(len(word), a + GROUP))
                     s = s[np.argsort(word[s], kind="stable")]
                     value[s] = net.log_prob(context[s], word[s])
                 n = part.num_rows
