@@ -82,6 +82,41 @@ def nb_wald(t: Tables):
     return de.bh_adjust(de.wald_tests(fit, levels, [("Beta", "Alpha")]), ["comparison"])
 
 
+_WALD = """WITH RECURSIVE cells AS MATERIALIZED (
+ SELECT f.feature, s.sample, CASE WHEN s.taxon % 2 = 0 THEN 'Alpha' ELSE 'Beta' END AS level, coalesce(c.count, 0)::DOUBLE AS x,
+ size_factor AS sf, dispersion AS a FROM moments f CROSS JOIN taxon_samples s JOIN factors USING (sample)
+ LEFT JOIN taxon_counts c ON c.sample = s.sample AND c.feature = f.feature),
+ it AS (SELECT feature, level, 0 AS r, ln(greatest(AVG(x / sf), 1e-8)) AS beta FROM cells GROUP BY 1, 2
+ UNION ALL SELECT feature, level, r + 1, least(greatest(beta + least(greatest(score / greatest(info, 1e-12), -3), 3), ln(1e-8)), 60)
+ FROM (SELECT it.feature, it.level, it.r, it.beta, SUM((x - exp(beta) * sf) / (1 + a * exp(beta) * sf)) AS score,
+ SUM(exp(beta) * sf / (1 + a * exp(beta) * sf)) AS info FROM it JOIN cells c ON c.feature = it.feature AND c.level = it.level
+ WHERE r < 40 GROUP BY ALL)),
+ fit AS (SELECT it.feature, it.level, it.beta, SUM(exp(beta) * sf / (1 + a * exp(beta) * sf)) AS info, MAX(x) = 0 AS zero
+ FROM it JOIN cells c ON c.feature = it.feature AND c.level = it.level WHERE r = 40 GROUP BY ALL)
+ SELECT b.feature, 'Beta_vs_Alpha' AS comparison, (b.beta - a.beta) / ln(2) AS lfc, sqrt(1 / b.info + 1 / a.info) / ln(2) AS se,
+ a.zero <> b.zero AS one_sided_zero, a.zero AND b.zero AS no_test FROM fit a JOIN fit b ON a.feature = b.feature AND a.level = 'Alpha' AND b.level = 'Beta'"""
+
+_MOMENTS = """SELECT feature, greatest((v - m * inv) / (m * m), 1e-8) AS dispersion FROM (
+ SELECT feature, s1 / n AS m, (s2 - s1 * s1 / n) / (n - 1) AS v, inv FROM (
+ SELECT feature, SUM(count / size_factor) AS s1, SUM((count / size_factor) * (count / size_factor)) AS s2
+ FROM taxon_counts JOIN factors USING (sample) GROUP BY 1),
+ (SELECT COUNT(*)::DOUBLE AS n, AVG(1 / size_factor) AS inv FROM factors))"""
+
+
+@query(with_tables(_BOTH, """SELECT feature, comparison, round(CASE WHEN NOT no_test THEN lfc END, 5) + 0.0 AS log2_fold_change,
+ round(CASE WHEN NOT no_test THEN se END, 5) AS lfc_se, round(CASE WHEN NOT no_test THEN lfc / se END, 5) + 0.0 AS stat, one_sided_zero FROM wald""",
+    **_GEO, moments=_MOMENTS, wald=_WALD))
+def nb_wald_moments(t: Tables):
+    """Wald step of the model at the moment dispersions: level means by Newton steps, fold change, error, statistic."""
+    counts, samples, factors = stored_inputs(t)
+    samples = samples.withColumn("enrichment", enrichment("taxon"))
+    fit, levels = de.fit_at_dispersion(counts, samples, "enrichment", factors, de.dispersion_moments(counts, factors))
+    out = de.wald_tests(fit, levels, [("Beta", "Alpha")])
+    return out.select(
+        "feature", "comparison", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("log2_fold_change", "lfc_se", "stat")], "one_sided_zero"
+    )
+
+
 @query()
 def pairwise_contrasts(t: Tables):
     """One added to every cell, parametric trend, every pair of substrates from one fit."""

@@ -494,6 +494,37 @@ def fit_features(
     return materialize(fitted, "fit"), design.levels
 
 
+def fit_at_dispersion(
+    counts: DataFrame, samples: DataFrame, factor: str, factors: DataFrame, dispersions: DataFrame
+) -> tuple[DataFrame, list[str]]:
+    """Level means and informations at given dispersions (``feature, base_mean, dispersion``), for :func:`wald_tests`."""
+    check_design(samples, factor)
+    table, design = _load_design(samples, factor, factors)
+    rows = _feature_rows(counts, table).join(dispersions.select("feature", "base_mean", "dispersion"), "feature")
+    feature = counts.schema["feature"].dataType.simpleString()
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, cells in _dense_batches(batches, design):
+            beta, info, settled = _fit_levels(cells, part["dispersion"].to_numpy(), design)
+            yield pd.DataFrame(
+                {
+                    "feature": part["feature"].to_numpy(),
+                    "base_mean": part["base_mean"].to_numpy(),
+                    "dispersion": part["dispersion"].to_numpy(),
+                    "beta": list(beta),
+                    "info": list(info),
+                    "all_zero": list(design.group_means(cells) <= 0),
+                    "converged": settled,
+                }
+            )
+
+    schema = (
+        f"feature {feature}, base_mean double, dispersion double, beta array<double>, info array<double>, "
+        "all_zero array<boolean>, converged boolean"
+    )
+    return materialize(rows.mapInPandas(fit, schema), "fit"), design.levels
+
+
 def contrast_names(levels: Sequence[str]) -> list[tuple[str, str]]:
     """Every available pair of levels as (numerator, denominator)."""
     return [(b, a) for a, b in combinations(levels, 2)]

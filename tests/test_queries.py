@@ -11,6 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 SOME = [
     "fact_assembly", "table_taxa_quality", "table_expression_share", "rarefy", "bray_curtis", "pcoa_centered",
     "bh_adjust", "size_factors", "box_summary", "contig_depth", "feature_counts", "reads_trim", "scan_directory",
+    "bh_adjust_filtered", "log2_ratio_pairs", "nb_wald_moments", "pcoa_check", "reads_concat", "gtf_features", "explode_pathway_lists",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
