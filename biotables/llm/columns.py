@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -118,9 +119,16 @@ def packed_batches(docs: DataFrame, text: str, label: str, batch_bytes: int = BA
     name = f"packed_{label}_{uuid.uuid4().hex}"
     made = docs.mapInArrow(cut, "slot int, batch long, raw long, payload binary")
     made.write.format("parquet").option("path", scratch_path(spark, label)).option("compression", "uncompressed").bucketBy(count, "slot").saveAsTable(name)
+    atexit.register(_forget, spark, name)
     return spark.table(name)
 
 
+def _forget(spark: SparkSession, name: str) -> None:
+    """The catalog entry goes with the driver's Python; the files go with the run folder."""
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def with_answers(batches: DataFrame, answers: DataFrame, *fields: str) -> DataFrame:
     """batch, payload, answers: every batch with the list of its answers (null if none).
 

@@ -178,8 +178,9 @@ def top_k(
                     [pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), packed)], ["vectors"]
                 )
 
-    count = total // BLOCK + 1
-    sorted_ = rows.repartitionByRange(count, F.desc("norm")).sortWithinPartitions(F.desc("norm"), "vec_id")
+    # a task gets whole blocks; the id splits vectors of one length
+    count = min(total // BLOCK + 1, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ = rows.repartitionByRange(count, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
     dealt = (
         sorted_.select("vec_id", "v").mapInArrow(blocks, f"vectors {kind}")
         .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
