@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from biotables.operators.reshape import dense_index
 from biotables.session import materialize, task_count
 
-CELLS_PER_TASK = 200_000
+# cells of a block in one chunk of the features; more than the pairs that two blocks give
+CELLS_PER_TASK = 400_000
 
 
 def _block_pairs(n_blocks: int):
@@ -132,9 +133,14 @@ def _pair_sums(counts: DataFrame, combine: np.ufunc, total, block: int) -> DataF
     cells = materialize(cells, "cells")
     sizes = cells.groupBy("sample").agg(total.alias("total"), F.count(F.lit(1)).alias("n"))
     sizes = dense_index(sizes, ["sample"], "idx")
-    shape = sizes.agg(F.count(F.lit(1)).alias("samples"), F.sum("n").alias("cells")).first()
-    n_blocks = max(1, -(-shape["samples"] // block))
-    n_chunks = max(1, -(-(shape["cells"] or 0) // (n_blocks * CELLS_PER_TASK)))
+    sizes = materialize(sizes, "sample-sizes")
+    by_block = sizes.groupBy(F.floor(F.col("idx") / block).alias("block")).agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("n").alias("cells")
+    )
+    shape = by_block.agg(F.sum("samples").alias("samples"), F.max("cells").alias("largest")).first()
+    n_blocks = max(1, -(-(shape["samples"] or 0) // block))
+    # one huge sample makes its block the largest, and that decides
+    n_chunks = max(1, -(-(shape["largest"] or 0) // CELLS_PER_TASK))
     placed = sizes.select(
         "sample",
         "total",

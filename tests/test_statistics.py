@@ -343,3 +343,18 @@ def test_filtered_adjustment_equals_plain_python(spark):
     want = dict(zip(np.flatnonzero(mean >= cut), adjust(p[mean >= cut])))
     assert {r.base_mean_cutoff for r in got.values()} == {cut}
     assert all((i in want) == (r.padj is not None) and (r.padj is None or abs(r.padj - want[i]) < 1e-9) for i, r in got.items())
+
+
+def test_distances_with_one_huge_sample(spark, monkeypatch):
+    monkeypatch.setattr(distance, "CELLS_PER_TASK", 300)
+    rng = np.random.default_rng(3)
+    data = [("s0", f"f{k}", int(rng.integers(1, 9))) for k in range(4000)]
+    data += [(f"s{i}", f"f{int(k)}", int(rng.integers(1, 9))) for i in range(1, 7) for k in rng.choice(4000, 4, replace=False)]
+    table = {}
+    for s, f, c in data:
+        table.setdefault(s, {})[f] = c
+    got = {(r.id_a, r.id_b): r.dist for r in distance.bray_curtis(spark.createDataFrame(data, "sample string, feature string, count long"), block=2).collect()}
+    assert len(got) == 21
+    for (a, b), d in got.items():
+        both = sum(min(c, table[b].get(f, 0)) for f, c in table[a].items())
+        assert abs(d - (1 - 2 * both / (sum(table[a].values()) + sum(table[b].values())))) < 1e-12
