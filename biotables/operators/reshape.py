@@ -73,12 +73,14 @@ def explode_lists(df: DataFrame, ids: Sequence[Column], lists: Column, name: str
     return df.select(*ids, F.explode(lists).alias(name)).filter(F.col(name).isNotNull()).distinct()
 
 
-def dense_index(df: DataFrame, keys: Sequence[str], name: str, buckets: int = 1024) -> DataFrame:
+def dense_index(df: DataFrame, keys: Sequence[str], name: str, buckets: int | None = None) -> DataFrame:
     """Number distinct keys 0..n-1 without one global sort.
 
-    Keys are numbered inside hash buckets; the only ungrouped window runs over the
-    bucket counts, at most ``buckets`` rows.
+    Keys are numbered inside hash buckets, eight for each shuffle partition and 1,024 at least; the
+    only ungrouped window runs over the bucket counts, at most ``buckets`` rows.
     """
+    if buckets is None:
+        buckets = max(1024, 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bucketed = df.withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     sizes = bucketed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
