@@ -24,6 +24,7 @@ what its rows reply to; empty passages are not linked; other columns are left ou
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,26 +42,25 @@ def normal(text: Column) -> Column:
     return F.when(plain != "", F.md5(plain))
 
 
-def passages(text: Column) -> Column:
-    """Array of (level, text, lines): maximal runs of lines of one level."""
-    lines = F.transform(
+def quoted_lines(text: Column) -> Column:
+    """Array of (level, body), one for each line."""
+    return F.transform(
         F.split(F.coalesce(text, F.lit("")), "\n", -1),
         lambda l: F.struct(
             F.length(F.regexp_replace(F.regexp_extract(l, MARKS, 0), "[^>]", "")).alias("level"),
             F.regexp_replace(l, MARKS + "[ \t]?", "").alias("body"),
         ),
     )
-    return lines
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Adds passages: array of level, first line and text."""
+    """Adds passages: maximal runs of lines of one level, as an array of level and bodies."""
     starts = F.expr("filter(sequence(0, size(lines) - 1), i -> i = 0 or lines[i].level <> lines[i - 1].level)")
     runs = F.expr(
         "transform(starts, (s, k) -> named_struct('level', lines[s].level, 'bodies', "
         "transform(slice(lines, s + 1, if(k + 1 < size(starts), starts[k + 1], size(lines)) - s), l -> l.body)))"
     )
-    return messages.withColumn("lines", passages(F.col("raw"))).withColumn("starts", starts).withColumn("passages", runs).drop("lines", "starts")
+    return messages.withColumn("lines", quoted_lines(F.col("raw"))).withColumn("starts", starts).withColumn("passages", runs).drop("lines", "starts")
 
 
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -114,9 +114,14 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
 
 def threads(links: DataFrame) -> DataFrame:
-    """conv_id, turn, root, depth of every message that replies to one; rounds grow with the logarithm of the depth."""
-    state = materialize(links.where("reply_to is not null").select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).cast("long").alias("depth")), "threads")
+    """conv_id, turn, root, depth of every message that replies to one; rounds grow with the logarithm of the depth.
+
+    A conversation leaves the rounds when all its messages point to a first message.
+    """
+    state = links.where("reply_to is not null").select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).cast("long").alias("depth"))
+    settled = []
     while True:
+        state = materialize(state, "threads")
         above = state.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("higher"), F.col("depth").alias("more"))
         joined = materialize(
             state.join(above, ["conv_id", "root"], "left").select(
@@ -125,9 +130,12 @@ def threads(links: DataFrame) -> DataFrame:
             ),
             "threads",
         )
-        state = joined.drop("moved")
-        if joined.where("moved").isEmpty():
-            return state
+        moving = joined.where("moved").select("conv_id").distinct()
+        joined = joined.drop("moved")
+        if moving.isEmpty():
+            return reduce(DataFrame.union, [*settled, joined])
+        settled.append(joined.join(moving, "conv_id", "left_anti"))
+        state = joined.join(moving, "conv_id", "left_semi")
 
 
 def as_mail(messages: DataFrame) -> DataFrame:
