@@ -191,30 +191,29 @@ def members(batches: DataFrame, id_col: str, text_col: str, unit: int, bucket_by
                 cut = np.searchsorted(early_doc, np.arange(len(count) + 1))
                 ids = rows.column(id_col).cast(pa.int64()).to_pylist()
                 tokens: list = [None] * len(count)
-                sets: list = [None] * len(count)
                 reps: list = [None] * len(count)
                 same: dict[bytes, list[int]] = {}
                 for i in np.flatnonzero(np.diff(cut)).tolist():
                     if ids[i] is not None:
                         same.setdefault(keys[first[i] : first[i + 1]].tobytes(), []).append(i)
-                for raw, members in same.items():
+                for members in same.values():
                     rep = min(members, key=lambda i: ids[i])
-                    tokens[rep], sets[rep] = early_keys[cut[rep] : cut[rep + 1]].view(np.int64), raw
+                    tokens[rep] = early_keys[cut[rep] : cut[rep + 1]].view(np.int64)
                     for i in members:
                         reps[i] = ids[rep]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(ids), batch), pa.int64()), pa.array(np.arange(len(ids)), pa.int64()),
                         pa.array(ids, pa.int64()), pa.array(count, pa.int64()), pa.array(reps, pa.int64()),
-                        pa.array(tokens, pa.list_(pa.int64())), pa.array(sets, pa.binary()),
+                        pa.array(tokens, pa.list_(pa.int64())),
                     ],
-                    ["batch", "row", "doc_id", "n", "rep", "tokens", "keys"],
+                    ["batch", "row", "doc_id", "n", "rep", "tokens"],
                 )
 
     shared = shared_keys(batches, keys_of, buckets)
     chosen = materialize(
         with_answers(batches, shared, "bucket", "payload")
-        .mapInArrow(choose, "batch long, row long, doc_id long, n long, rep long, tokens array<long>, keys binary"),
+        .mapInArrow(choose, "batch long, row long, doc_id long, n long, rep long, tokens array<long>"),
         "chosen",
     )
 
@@ -226,17 +225,43 @@ def members(batches: DataFrame, id_col: str, text_col: str, unit: int, bucket_by
 
     parts = blocks.groupBy("component").agg(F.ceil(F.count("*") / unit).cast("int").alias("parts"))
     units = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
-    dealt = (
-        chosen.where("tokens is not null").select("doc_id", "keys")
-        .join(blocks.select(F.col("id").alias("doc_id"), F.col("component").alias("block")), "doc_id")
-        .join(parts.withColumnRenamed("component", "block"), "block")
+    placed = (
+        chosen.where("tokens is not null").select("batch", "row", "doc_id")
+        .join(blocks.join(parts, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("block"), "parts"), "doc_id")
         .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
         .withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
         .withColumn("a", F.least("part", "with")).withColumn("b", F.greatest("part", "with"))
         .withColumn("unit", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("block"), F.lit(units))).otherwise(F.xxhash64("block", "a", "b")))
-        .select("unit", "block", "a", "b", "part", "doc_id", "keys")
+        .select("batch", "row", "unit", "block", "a", "b", "part")
     )
 
+    def sets_of(parts_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingle sets of the placed rows, one for each unit they belong to."""
+        for part in parts_:
+            for payload, answers in zip(part.column(0), part.column(1)):
+                asked = answers.as_py()
+                if not asked:
+                    continue
+                wanted = sorted({a["row"] for a in asked})
+                rows = unpack(payload.as_py()).take(pa.array(wanted))
+                keys, first = shingles(*text_bytes(rows.column(text_col)))
+                ids = rows.column(id_col).cast(pa.int64()).to_pylist()
+                at = {row: i for i, row in enumerate(wanted)}
+                places = [at[a["row"]] for a in asked]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array([a[k] for a in asked], t) for k, t in (("unit", pa.int64()), ("block", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("part", pa.int32()))),
+                        pa.array([ids[i] for i in places], pa.int64()),
+                        pa.array([keys[first[i] : first[i + 1]].tobytes() for i in places], pa.binary()),
+                    ],
+                    ["unit", "block", "a", "b", "part", "doc_id", "keys"],
+                )
+
+    dealt = (
+        with_answers(batches, placed, "row", "unit", "block", "a", "b", "part").select("payload", "answers")
+        .mapInArrow(sets_of, "unit long, block long, a int, b int, part int, doc_id long, keys binary")
+    )
+
     def link(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (_, a, b), some in group.groupby(["block", "a", "b"], sort=False):
