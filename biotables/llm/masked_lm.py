@@ -2,10 +2,13 @@
 
 Every word is hidden in turn and predicted from the ``SIDE`` words before and after it; the sum of the
 log-probabilities scores the document. The network (numpy) embeds the context words, has one tanh layer,
-and predicts in two steps: the class of the word, then the word within its class.
+and predicts in two steps: the class of an entry, then the entry within its class. A third step is the share of
+the word among the words of its entry, so the sum is a log-probability of words.
 
-What it learns comes from all documents: word counts give the vocabulary (the most frequent words have
-their own entry, the rest share hashed entries), and every task runs one pass of gradient steps over its
+What it learns comes from all documents: the most frequent words have an entry of their own (share 1), the rest share
+hashed entries. A word that all texts hold n times has the share n / (N + 1) of an entry whose words they hold N times;
+what is left, 1 / (N + 1), is for words that no text holds. N is a fixed array; the counts of all words stay a Spark table,
+and every distinct word of a text meets its count in a join. Every task runs one pass of gradient steps over its
 texts, starting from the same warm model; the task models are averaged by their words. The warm model is
 fitted on at most ``warm_docs`` documents in hash order of the id, at most ``WARM_WORDS`` words of each,
 and only serves as the common start.
@@ -18,6 +21,7 @@ alike; other columns are left out; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biotables.llm.columns import cut_points, table, text_bytes
-from biotables.llm.ngram_jaccard import U, word_hashes
+from biotables.llm.ngram_jaccard import U, mix, word_hashes
+from biotables.session import materialize
 
 SIDE = 2
 CLASSES, PER_CLASS = 64, 64
 ENTRIES = CLASSES * PER_CLASS
 OWN = ENTRIES // 2  # entries of one word each
+SHARED = ENTRIES - OWN  # a power of two
 OUTSIDE = ENTRIES  # context symbol beyond the text
 WIDTH, HIDDEN = 8, 16
 RATE, GROUP = 0.05, 8192
@@ -38,8 +44,21 @@ WARM_DOCS, WARM_WORDS = 400, 2000
 WORK_BYTES = 1 << 20
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Hashes of the ``OWN`` most frequent words of all texts, most frequent first."""
+@dataclass
+class Vocabulary:
+    """Hashes of the ``OWN`` most frequent words, most frequent first; words of each shared entry in all texts; and
+    the table of all words with their counts (word, n)."""
+
+    own: np.ndarray
+    totals: np.ndarray
+    counts: DataFrame
+
+    def __len__(self) -> int:
+        return len(self.own)
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+    """Word counts of all texts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in parts:
@@ -52,8 +71,14 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count.astype(np.int64))], ["word", "n"])
 
     counts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "word-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
-    return np.array([r["word"] for r in top], np.int64).view(U)
+    own = np.array([r["word"] for r in top], np.int64).view(U)
+    totals = np.zeros(SHARED, np.int64)
+    for entry, n in counts.groupBy(F.col("word").bitwiseAND(F.lit(SHARED - 1)).alias("entry")).agg(F.sum("n")).collect():
+        totals[entry] = n
+    np.subtract.at(totals, (own % U(SHARED)).astype(np.int64), np.array([r["n"] for r in top], np.int64))
+    return Vocabulary(own, totals, counts)
 
 
 class Network:
@@ -136,8 +161,8 @@ class Network:
             p -= RATE * g / (np.sqrt(q) + 1e-6)
 
 
-def entries(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Vocabulary entry of each word: frequent words are spread over the classes by rank."""
+def places(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Rank of each frequent word; the others share the places from ``OWN`` on."""
     order = np.argsort(known)
     rank = np.zeros(len(hashes), np.int64)
     found = np.zeros(len(hashes), bool)
@@ -145,10 +170,21 @@ def entries(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(known[order], hashes), len(known) - 1)
         found = known[order][at] == hashes
         rank = order[at]
-    place = np.where(found, rank, OWN + (hashes % U(ENTRIES - OWN)).astype(np.int64))
+    return np.where(found, rank, OWN + (hashes % U(SHARED)).astype(np.int64))
+
+
+def entries(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Vocabulary entry of each word: frequent words are spread over the classes by rank."""
+    place = places(hashes, known)
     return place % CLASSES * PER_CLASS + place // CLASSES
 
 
+def text_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A number for each row that depends on its words alone."""
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(hashes), dtype=U)])
+    return (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
+
+
 def of_words(hashes: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context entries and entry of every word, and its row; ``first`` is the first word of each row."""
     word = entries(hashes, known)
@@ -181,9 +217,10 @@ def grouped(rows: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
         yield (part, *text_bytes(part.column(column)))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", warm_docs: int = WARM_DOCS) -> tuple[np.ndarray, Network]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", warm_docs: int = WARM_DOCS) -> tuple[Vocabulary, Network]:
     """Vocabulary and network from all documents."""
-    known = vocabulary(docs, text_col)
+    words_of_all = vocabulary(docs, text_col)
+    known = words_of_all.own
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     picked = rows.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(warm_docs)
 
@@ -225,30 +262,73 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", warm_
         for cell, total in totals:
             mean[cell] = total
         flat = (mean[:-1] / mean[-1]).astype(np.float32)
-    return known, Network.of(flat)
+    return words_of_all, Network.of(flat)
 
 
-def score(docs: DataFrame, known: np.ndarray, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shares(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> DataFrame:
+    """key, log_counts: sum of the logarithms of the counts of all words in shared entries, once for equal texts."""
+    own = known.own
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for _, data, offsets in grouped(batch, 0):
+                hashes, first = word_hashes(data, offsets)
+                key = text_keys(hashes, first)
+                lead = np.zeros(len(key), bool)
+                lead[np.unique(key, return_index=True)[1]] = True
+                row = np.repeat(np.arange(len(key)), np.diff(first))
+                some = lead[row] & (places(hashes, own) >= OWN)
+                word, row = hashes[some], row[some]
+                order = np.lexsort((word, row))
+                word, row = word[order], row[order]
+                new = np.ones(len(word), bool)
+                new[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
+                at = np.flatnonzero(new)
+                opens = np.ones(len(at), np.int32)
+                opens[1:] = row[at][1:] != row[at][:-1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(word[at].view(np.int64)), pa.array(key[row[at]]), pa.array(np.diff(np.append(at, len(word))).astype(np.int32)), pa.array(opens)],
+                    ["word", "key", "times", "copy"],
+                )
+
+    met = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, key long, times int, copy int")
+    # a count of one adds nothing
+    counts = known.counts.where("n > 1").hint("shuffle_hash")
+    return met.join(counts, "word", "left").groupBy("key").agg((F.sum(F.expr("times * ln(coalesce(n, 1))")) / F.sum("copy")).alias("log_counts"))
+
+
+def score(docs: DataFrame, known: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_prob (sum over all words) of every row."""
+    own, rest = known.own, np.log1p(known.totals)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for part, data, offsets in grouped(batch, 1):
-                context, word, row = examples(data, offsets, known)
+                hashes, first = word_hashes(data, offsets)
+                context, word, row = of_words(hashes, first, own)
                 value = np.zeros(len(word))
                 for a in range(0, len(word), GROUP):
                     s = np.arange(a, min(len(word), a + GROUP))
                     s = s[np.argsort(word[s], kind="stable")]
                     value[s] = net.log_prob(context[s], word[s])
+                place = word % PER_CLASS * CLASSES + word // PER_CLASS
+                shared = place >= OWN
+                value[shared] -= rest[place[shared] - OWN]
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(np.bincount(row, weights=value, minlength=n).astype(np.float64))],
-                    ["doc_id", "n_words", "log_prob"],
-                )
+                    [
+                        part.column(0), pa.array(np.bincount(row, minlength=n).astype(np.int64)),
+                        pa.array(np.bincount(row, weights=value, minlength=n).astype(np.float64)), pa.array(text_keys(hashes, first)),
+                    ],
+                    ["doc_id", "n_words", "log_prob", "key"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, log_prob double")
+    scored = rows.mapInArrow(run, f"doc_id {kind}, n_words long, log_prob double, key long")
+    return scored.join(shares(docs, known, text_col), "key", "left").select(
+        "doc_id", "n_words", (F.col("log_prob") + F.coalesce("log_counts", F.lit(0.0))).alias("log_prob")
+    )
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

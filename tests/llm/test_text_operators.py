@@ -392,6 +392,30 @@ def test_order_of_words_counts(spark):
     assert len(known) == 0 and masked_lm.score(docs.limit(0), known, net).count() == 0
 
 
+def test_words_of_an_entry_share_its_probability(spark):
+    rnd = random.Random(7)
+    often = {f"w{k}": 5 if k < masked_lm.OWN else 1 + k % 3 for k in range(7000)}
+    words = [w for w, n in often.items() for _ in range(n)]
+    rnd.shuffle(words)
+    known, net = masked_lm.train(docs_of(spark, [" ".join(words[k : k + 200]) for k in range(0, len(words), 200)]))
+    asked = [*often, *(f"never{k}" for k in range(3000))]
+    texts = [*asked, "w2050 w6999 never1 w2050", "W2050 w6999 never1 W2050"]
+    rows = masked_lm.score(docs_of(spark, texts), known, net).collect()
+    assert len(rows) == len(texts)
+    value = {texts[r.doc_id]: r.log_prob for r in rows}
+    assert 0.5 < sum(np.exp(value[w]) for w in often) < 1
+    entry_of = lambda w: int(masked_lm.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) % masked_lm.SHARED
+    by_entry = {}
+    for w in asked:
+        if often.get(w) != 5:
+            by_entry.setdefault(entry_of(w), []).append(w)
+    for some in by_entry.values():
+        for w in some[1:]:
+            want = np.log(often.get(w, 1) / often.get(some[0], 1))
+            assert abs(value[w] - value[some[0]] - want) < 1e-4
+    assert abs(value[texts[-1]] - value[texts[-2]]) < 1e-4
+
+
 # 9 byte BPE -------------------------------------------------------------------------------------
 
 ODD = [None, "", " ", "  two  spaces ", "a\n\n b\t c", "it's we'll I'D", "naïve façade 北京 \U0001f600\U0001f680", "x" * 3000, "<|endoftext|> end", "\u00a0\u2003 z\u0085", " lead", "trail \n", "1234567 89.5%", "e\u0301 \u200b.", "A  \n  B"]
