@@ -3,17 +3,18 @@
 Words become typed placeholders or stay as they are in lower case: words with a digit are numbers,
 capitalised words inside a sentence are names, unit words right after a number are units. Windows of
 ``WINDOW`` words of the resulting templates are hashed; document windows meet benchmark windows in a hash
-join, so a question with other numbers, names or units still meets its original. Matches on one
-alignment (document position minus item position) are taken together: the words behind the placeholders
-must map one to one between item and document. An item is found in a document where an alignment that
-passes holds ``HITS`` windows (13 words in a row) or all windows of a shorter item.
+join, so a question with other numbers, names or units still meets its original. Matches of one document row on one
+alignment (document position minus item position) are put in order. An item is found in a document where ``HITS``
+windows that follow each other on an alignment (13 words), or all windows of a shorter item, are consistent: every
+value behind the placeholders of the item has one value in the document. A value that differs outside these windows
+does no harm. ``whole`` tells whether the values of a whole alignment map one to one; ``found_items`` has these only.
 
 Before the join a bitmap of fixed size (``BITS`` bits, whatever the benchmark's size) drops the windows that no
 item can have; the join itself leaves Spark the choice between broadcast and shuffle by size.
 
 Defined cases: null and empty texts match nothing; items with fewer words than a window have one
 window, the whole item; windows with fewer than half their words unreplaced are not used, so an item of
-placeholders alone cannot be found; repeated items and rows with equal ids are judged together; rows with a null id and items with
+placeholders alone cannot be found; items or rows with equal ids count as one, but every text is judged by itself; rows with a null id and items with
 a null id take no part; an empty benchmark leaves all documents clean. Other columns do not matter.
 """
 
@@ -116,6 +117,13 @@ def windows(kind: np.ndarray, raw: np.ndarray, first: np.ndarray, size: int) ->
     return key[at], row[at], at
 
 
+def text_keys(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A number for each row that depends on its words and their places."""
+    place = np.arange(len(raw)) - np.repeat(first[:-1], np.diff(first))
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(raw + mix(place.astype(U))), dtype=U)])
+    return (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
+
+
 def slots(kind: np.ndarray, raw: np.ndarray, at: np.ndarray, size: int) -> list[list[int]]:
     """Hashes of the words behind the placeholders of each window, in order."""
     spots = at[:, None] + np.arange(size)
@@ -125,13 +133,13 @@ def slots(kind: np.ndarray, raw: np.ndarray, at: np.ndarray, size: int) -> list[
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """window, size, item_id, item_at, item_slots, of (number of usable windows of the item)."""
+    """window, size, item_id, item_key, item_at, item_slots, of (number of usable windows of the item)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in parts:
             ids = rows.column(0).to_pylist()
             kind, raw, first = words(*text_bytes(rows.column(1)))
-            count = np.diff(first)
+            count, texts = np.diff(first), text_keys(raw, first)
             for size in range(1, WINDOW + 1):
                 key, row, at = windows(kind, raw, first, size)
                 own = (count[row] == size) | ((size == WINDOW) & (count[row] > size))
@@ -141,15 +149,15 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(key.view(np.int64)), pa.array(np.full(len(key), size), pa.int32()),
-                            pa.array([ids[r] for r in row], pa.int64()), pa.array(at - first[row], pa.int32()),
+                            pa.array([ids[r] for r in row], pa.int64()), pa.array(texts[row]), pa.array(at - first[row], pa.int32()),
                             pa.array(slots(kind, raw, at, size), pa.list_(pa.int64())), pa.array(many, pa.int32()),
                         ],
-                        ["window", "size", "item_id", "item_at", "item_slots", "of"],
+                        ["window", "size", "item_id", "item_key", "item_at", "item_slots", "of"],
                     )
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
     return rows.where("item_id is not null and text is not null").mapInArrow(
-        run, "window long, size int, item_id long, item_at int, item_slots array<long>, of int"
+        run, "window long, size int, item_id long, item_key long, item_at int, item_slots array<long>, of int"
     )
 
 
@@ -164,7 +172,7 @@ def possible(items: DataFrame) -> tuple[np.ndarray, list[int]]:
 
 
 def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
-    """window, doc_id, doc_at, doc_slots of the windows that an item may have."""
+    """window, doc_id, doc_key, doc_at, doc_slots of the windows that an item may have."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in parts:
@@ -173,6 +181,7 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], id_c
                 part = rows.slice(a, b - a)
                 ids = np.asarray(part.column(0))
                 kind, raw, first = words(*text_bytes(part.column(1)))
+                texts = text_keys(raw, first)
                 for size in sizes:
                     key, row, at = windows(kind, raw, first, size)
                     place = key >> U(64 - BITS)
@@ -181,42 +190,57 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], id_c
                     if len(key):
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(at - first[row], pa.int64()),
+                                pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(texts[row]), pa.array(at - first[row], pa.int64()),
                                 pa.array(slots(kind, raw, at, size), pa.list_(pa.int64())),
                             ],
-                            ["window", "doc_id", "doc_at", "doc_slots"],
+                            ["window", "doc_id", "doc_key", "doc_at", "doc_slots"],
                         )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.where("doc_id is not null and text is not null").mapInArrow(
-        run, "window long, doc_id long, doc_at long, doc_slots array<long>"
+        run, "window long, doc_id long, doc_key long, doc_at long, doc_slots array<long>"
     )
 
 
-def found_items(
+def matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", hits: int = HITS
 ) -> DataFrame:
-    """doc_id, item_id, windows, of, exact: items found in documents; exact is false where placeholders differ."""
+    """doc_id, item_id, windows, of, exact, whole: items of which a document holds a passage.
+
+    exact is false where placeholders differ in every passage; whole is true where a whole alignment maps one to one.
+    """
     items = materialize(item_windows(benchmark, item_col, item_text), "items")
     bitmap, sizes = possible(items)
     met = document_windows(docs, bitmap, sizes, id_col, text_col).join(items, "window")
     # an alignment has at most as many windows as its item
-    aligned = met.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
-        F.size(F.collect_set("item_at")).alias("windows"),
+    aligned = met.groupBy("doc_id", "doc_key", "item_id", "item_key", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
+        F.array_sort(F.collect_set(F.struct("item_at", F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d")).alias("pairs")))).alias("met"),
         F.max("of").alias("of"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))))).alias("pairs"),
     )
+    runs = F.expr("transform(sequence(0, greatest(size(met) - need, 0)), k -> array_distinct(flatten(slice(met, k + 1, need).pairs)))")
     one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.i"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.d")))
     return (
-        aligned.where(one_to_one & (F.col("windows") >= F.least(F.lit(hits), F.col("of"))))
+        aligned.withColumn("need", F.least(F.lit(hits), F.col("of"))).where("size(met) >= need")
+        .withColumn("runs", runs).withColumn("runs", F.expr("filter(runs, p -> size(p) = size(array_distinct(p.i)))")).where("size(runs) > 0")
+        .withColumn("pairs", F.expr("array_distinct(flatten(met.pairs))"))
         .groupBy("doc_id", "item_id")
-        .agg(F.max("windows").alias("windows"), F.max("of").alias("of"), F.max(F.expr("forall(pairs, p -> p.i = p.d)")).alias("exact"))
-    )
+        .agg(
+            F.max(F.size("met")).alias("windows"), F.max("of").alias("of"),
+            F.max(F.expr("exists(runs, r -> forall(r, p -> p.i = p.d))")).alias("exact"), F.max(one_to_one).alias("whole"),
+        )
+    )
+
+
+def found_items(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", hits: int = HITS
+) -> DataFrame:
+    """The matches where the values of a whole alignment map one to one."""
+    return matches(docs, benchmark, id_col, text_col, item_col, item_text, hits).where("whole").drop("whole")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = found_items(docs, table(spark, folder, "benchmark"))
+    found = matches(docs, table(spark, folder, "benchmark"))
     by_doc = found.groupBy("doc_id").agg(
         F.count("*").alias("n_items"), F.min("item_id").alias("first_item"), F.max("windows").alias("most_windows")
     )

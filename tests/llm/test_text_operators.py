@@ -350,6 +350,16 @@ def test_templates_are_found_with_other_values(spark):
     assert template_decontam.found_items(docs.limit(0), benchmark).count() == 0
 
 
+def test_one_other_value_does_not_hide_a_passage(spark):
+    benchmark = frame(spark, [(1, ITEM), (2, "we add 3 apples and then 4 more apples to the basket on the old wooden table")], "item_id long, text string")
+    equal = "we add 5 apples and then 5 more apples to the basket on the old wooden table"
+    other = ITEM.replace("Maria", "Peter").replace("3", "8")
+    docs = docs_of(spark, [ITEM.replace("with Maria", "with Peter"), equal, ITEM, other, "nothing here at all"], [0, 1, 2, 2, 4])
+    got = {(r.doc_id, r.item_id): r for r in template_decontam.matches(docs, benchmark).collect()}
+    assert set(got) == {(0, 1), (1, 2), (2, 1)}
+    assert not got[0, 1].whole and not got[1, 2].whole and got[2, 1].whole and got[2, 1].exact
+
+
 @given
 def test_benchmark_passages_are_found(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
