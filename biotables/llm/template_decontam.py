@@ -5,16 +5,17 @@ capitalised words inside a sentence are names, unit words right after a number a
 ``WINDOW`` words of the resulting templates are hashed; document windows meet benchmark windows in a hash
 join, so a question with other numbers, names or units still meets its original. Matches of one document row on one
 alignment (document position minus item position) are put in order. An item is found in a document where ``HITS``
-windows that follow each other on an alignment (13 words), or all windows of a shorter item, are consistent: every
+windows that follow each other on an alignment (13 words), or the one or few windows of an item of fewer words, are consistent: every
 value behind the placeholders of the item has one value in the document. A value that differs outside these windows
-does no harm. ``whole`` tells whether the values of a whole alignment map one to one; ``found_items`` has these only.
+does no harm. Windows of the plain lower-cased words, without placeholders, are matched beside the templates, so a
+copy word for word is found whatever its words are. ``whole`` tells whether the values of a whole alignment map one to one; ``found_items`` has these only.
 
 Before the join a bitmap of fixed size (``BITS`` bits, whatever the benchmark's size) drops the windows that no
 item can have; the join itself leaves Spark the choice between broadcast and shuffle by size.
 
 Defined cases: null and empty texts match nothing; items with fewer words than a window have one
-window, the whole item; windows with fewer than half their words unreplaced are not used, so an item of
-placeholders alone cannot be found; items or rows with equal ids count as one, but every text is judged by itself; rows with a null id and items with
+window, the whole item; items of fewer than ``LEAST`` words are not looked for, as clean texts hold them by chance; templates with fewer
+than half their words unreplaced are not used, so an item of placeholders alone is found only in a copy; items or rows with equal ids count as one, but every text is judged by itself; rows with a null id and items with
 a null id take no part; an empty benchmark leaves all documents clean. Other columns do not matter.
 """
 
@@ -33,6 +34,7 @@ from biotables.session import materialize
 
 WINDOW = 8
 HITS = 6
+LEAST = 5  # words of an item
 BITS = 22
 WORK_BYTES = 1 << 20
 
@@ -102,13 +104,13 @@ UNIT_HASHES = np.sort(
 )
 
 
-def windows(kind: np.ndarray, raw: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(kind: np.ndarray, raw: np.ndarray, first: np.ndarray, size: int, plain_words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template hash, row and first word of each usable window of ``size`` words."""
     n = len(kind) - size + 1
     if n <= 0:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = np.where(kind == LITERAL, raw, HOLDER[kind])
-    key = np.full(n, size, U)
+    key = np.full(n, size + plain_words * 1000, U)
     for k in range(size):
         key = mix(word[k : k + n] + mix(key))
     plain = np.concatenate([[0], np.cumsum(kind == LITERAL)])
@@ -132,32 +134,38 @@ def slots(kind: np.ndarray, raw: np.ndarray, at: np.ndarray, size: int) -> list[
     return [flat[i][held[i]].tolist() if held[i].any() else [] for i in range(len(at))]
 
 
+def both_kinds(column: pa.Array) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of the templates, then plain words: whether plain, kind, hash, and the first word of each row."""
+    kind, raw, first = words(*text_bytes(column))
+    yield False, kind, raw, first
+    yield True, np.full(len(raw), LITERAL, np.int8), raw, first
+
+
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """window, size, item_id, item_key, item_at, item_slots, of (number of usable windows of the item)."""
+    """window, size, plain, item_id, item_key, item_at, item_slots, of (windows of all words of the item)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in parts:
             ids = rows.column(0).to_pylist()
-            kind, raw, first = words(*text_bytes(rows.column(1)))
-            count, texts = np.diff(first), text_keys(raw, first)
-            for size in range(1, WINDOW + 1):
-                key, row, at = windows(kind, raw, first, size)
-                own = (count[row] == size) | ((size == WINDOW) & (count[row] > size))
-                key, row, at = key[own], row[own], at[own]
-                if len(key):
-                    many = np.bincount(row, minlength=len(ids))[row]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(key.view(np.int64)), pa.array(np.full(len(key), size), pa.int32()),
-                            pa.array([ids[r] for r in row], pa.int64()), pa.array(texts[row]), pa.array(at - first[row], pa.int32()),
-                            pa.array(slots(kind, raw, at, size), pa.list_(pa.int64())), pa.array(many, pa.int32()),
-                        ],
-                        ["window", "size", "item_id", "item_key", "item_at", "item_slots", "of"],
-                    )
+            for plain, kind, raw, first in both_kinds(rows.column(1)):
+                count, texts = np.diff(first), text_keys(raw, first)
+                for size in range(LEAST, WINDOW + 1):
+                    key, row, at = windows(kind, raw, first, size, plain)
+                    own = (count[row] == size) | ((size == WINDOW) & (count[row] > size))
+                    key, row, at = key[own], row[own], at[own]
+                    if len(key):
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(key.view(np.int64)), pa.array(np.full(len(key), size), pa.int32()), pa.array(np.full(len(key), plain)),
+                                pa.array([ids[r] for r in row], pa.int64()), pa.array(texts[row]), pa.array(at - first[row], pa.int32()),
+                                pa.array(slots(kind, raw, at, size), pa.list_(pa.int64())), pa.array(count[row] - size + 1, pa.int32()),
+                            ],
+                            ["window", "size", "plain", "item_id", "item_key", "item_at", "item_slots", "of"],
+                        )
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
     return rows.where("item_id is not null and text is not null").mapInArrow(
-        run, "window long, size int, item_id long, item_key long, item_at int, item_slots array<long>, of int"
+        run, "window long, size int, plain boolean, item_id long, item_key long, item_at int, item_slots array<long>, of int"
     )
 
 
@@ -180,21 +188,21 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], id_c
             for a, b in zip(points, points[1:]):
                 part = rows.slice(a, b - a)
                 ids = np.asarray(part.column(0))
-                kind, raw, first = words(*text_bytes(part.column(1)))
-                texts = text_keys(raw, first)
-                for size in sizes:
-                    key, row, at = windows(kind, raw, first, size)
-                    place = key >> U(64 - BITS)
-                    hit = (bitmap[(place >> U(5)).astype(np.int64)] >> (place & U(31)).astype(np.uint32)) & 1 == 1
-                    key, row, at = key[hit], row[hit], at[hit]
-                    if len(key):
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(texts[row]), pa.array(at - first[row], pa.int64()),
-                                pa.array(slots(kind, raw, at, size), pa.list_(pa.int64())),
-                            ],
-                            ["window", "doc_id", "doc_key", "doc_at", "doc_slots"],
-                        )
+                for plain, kind, raw, first in both_kinds(part.column(1)):
+                    texts = text_keys(raw, first)
+                    for size in sizes:
+                        key, row, at = windows(kind, raw, first, size, plain)
+                        place = key >> U(64 - BITS)
+                        hit = (bitmap[(place >> U(5)).astype(np.int64)] >> (place & U(31)).astype(np.uint32)) & 1 == 1
+                        key, row, at = key[hit], row[hit], at[hit]
+                        if len(key):
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(texts[row]), pa.array(at - first[row], pa.int64()),
+                                    pa.array(slots(kind, raw, at, size), pa.list_(pa.int64())),
+                                ],
+                                ["window", "doc_id", "doc_key", "doc_at", "doc_slots"],
+                            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.where("doc_id is not null and text is not null").mapInArrow(
@@ -207,17 +215,20 @@ def matches(
 ) -> DataFrame:
     """doc_id, item_id, windows, of, exact, whole: items of which a document holds a passage.
 
-    exact is false where placeholders differ in every passage; whole is true where a whole alignment maps one to one.
+    exact is false where placeholders differ in every passage; whole is true where the templates of a whole alignment
+    map one to one, or all windows of the item are there word for word.
     """
     items = materialize(item_windows(benchmark, item_col, item_text), "items")
     bitmap, sizes = possible(items)
     met = document_windows(docs, bitmap, sizes, id_col, text_col).join(items, "window")
     # an alignment has at most as many windows as its item
-    aligned = met.groupBy("doc_id", "doc_key", "item_id", "item_key", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
+    aligned = met.groupBy("plain", "doc_id", "doc_key", "item_id", "item_key", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
         F.array_sort(F.collect_set(F.struct("item_at", F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d")).alias("pairs")))).alias("met"),
         F.max("of").alias("of"),
     )
-    runs = F.expr("transform(sequence(0, greatest(size(met) - need, 0)), k -> array_distinct(flatten(slice(met, k + 1, need).pairs)))")
+    # plain words have to stand in a row
+    starts = "filter(sequence(0, greatest(size(met) - need, 0)), k -> not plain or met[k + need - 1].item_at - met[k].item_at = need - 1)"
+    runs = F.expr(f"transform({starts}, k -> array_distinct(flatten(slice(met, k + 1, need).pairs)))")
     one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.i"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.d")))
     return (
         aligned.withColumn("need", F.least(F.lit(hits), F.col("of"))).where("size(met) >= need")
@@ -226,7 +237,7 @@ def matches(
         .groupBy("doc_id", "item_id")
         .agg(
             F.max(F.size("met")).alias("windows"), F.max("of").alias("of"),
-            F.max(F.expr("exists(runs, r -> forall(r, p -> p.i = p.d))")).alias("exact"), F.max(one_to_one).alias("whole"),
+            F.max(F.expr("exists(runs, r -> forall(r, p -> p.i = p.d))")).alias("exact"), F.max(F.when(F.col("plain"), F.size("met") == F.col("of")).otherwise(one_to_one)).alias("whole"),
         )
     )
 

@@ -360,6 +360,15 @@ def test_one_other_value_does_not_hide_a_passage(spark):
     assert not got[0, 1].whole and not got[1, 2].whole and got[2, 1].whole and got[2, 1].exact
 
 
+def test_items_of_numbers_and_short_items(spark):
+    numbers = "1 2 3 4 5 6 7 8 9 10 11 12 13 14"
+    one_window = "we go to the big red old barn 1 2 3 4 5 6 7 8 9 10 11 12"
+    benchmark = frame(spark, [(1, numbers), (2, "1 2 3 4 5 6 7 8 9"), (3, one_window), (4, "of the"), (5, "the")], "item_id long, text string")
+    texts = [f"Copy: {numbers}.", "14 13 12 11 10 9 8 7 6 5 4 3 2 1", "Now we go to the big red old barn 5 times", "all of the rest", "we go to the big red old barn 1 2 3 4 5"]
+    got = {(r.doc_id, r.item_id): r for r in template_decontam.matches(docs_of(spark, texts), benchmark).collect()}
+    assert set(got) == {(0, 1), (0, 2), (4, 3)} and all(r.exact for r in got.values())
+
+
 @given
 def test_benchmark_passages_are_found(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
