@@ -7,8 +7,9 @@ join, so a question with other numbers, names or units still meets its original.
 alignment (document position minus item position) are put in order. An item is found in a document where ``HITS``
 windows that follow each other on an alignment (13 words), or the one or few windows of an item of fewer words, are consistent: every
 value behind the placeholders of the item has one value in the document. A value that differs outside these windows
-does no harm. Windows of the plain lower-cased words, without placeholders, are matched beside the templates, so a
-copy word for word is found whatever its words are. ``whole`` tells whether the values of a whole alignment map one to one; ``found_items`` has these only.
+does no harm. Windows of the plain lower-cased words (runs of Unicode letters and digits; one character each in scripts
+without spaces) are matched beside the templates, so a copy word for word is found whatever its words, its case, its
+punctuation and its line breaks are. ``whole`` tells whether the values of a whole alignment map one to one; ``found_items`` has these only.
 
 Before the join a bitmap of fixed size (``BITS`` bits, whatever the benchmark's size) drops the windows that no
 item can have; the join itself leaves Spark the choice between broadcast and shuffle by size.
@@ -21,7 +22,9 @@ a null id take no part; an empty benchmark leaves all documents clean. Other col
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +107,56 @@ UNIT_HASHES = np.sort(
 )
 
 
+#: scripts that put no spaces between words, as ranges of code points: Thai, Lao, Tibetan, Burmese, Khmer, kana, ideographs
+SPACELESS = (
+    (0x0E00, 0x0EFF), (0x0F00, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF),
+)
+
+
+@cache
+def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every code point: whether it belongs to a word, whether it is a word alone, and its lower-case form (its own if that is longer)."""
+    lower = np.arange(0x110000, dtype=np.uint32)
+    inside = np.zeros(0x110000, bool)
+    for i in range(0x40000):
+        if 0xD800 <= i < 0xE000:
+            continue
+        c = chr(i)
+        inside[i] = c.isalnum() or unicodedata.category(c)[0] == "M"
+        if len(c.lower()) == 1:
+            lower[i] = ord(c.lower())
+    alone = np.zeros(0x110000, bool)
+    for a, b in SPACELESS:
+        alone[a : b + 1] = inside[a : b + 1]
+    return inside, alone, lower
+
+
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every plain word and the first word of each row (one more at the end)."""
+    try:
+        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        offsets = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    except UnicodeDecodeError:
+        rows = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets, offsets[1:])]
+        code = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+    inside, alone, lower = letters()
+    at = np.flatnonzero(inside[code])
+    if not len(at):
+        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+    single = alone[code[at]]
+    breaks = np.zeros(len(code) + 1, bool)
+    breaks[offsets] = True
+    opens = np.ones(len(at), bool)
+    opens[1:] = (at[1:] != at[:-1] + 1) | breaks[at[1:]] | single[1:] | single[:-1]
+    first = np.flatnonzero(opens)
+    size = np.diff(np.append(first, len(at)))
+    power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, U))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    return mix(np.add.reduceat(mix(lower[code[at]].astype(U) + U(1)) * power[place], first) + size.astype(U)), np.searchsorted(at[first], offsets)
+
+
 def windows(kind: np.ndarray, raw: np.ndarray, first: np.ndarray, size: int, plain_words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template hash, row and first word of each usable window of ``size`` words."""
     n = len(kind) - size + 1
@@ -136,8 +189,9 @@ def slots(kind: np.ndarray, raw: np.ndarray, at: np.ndarray, size: int) -> list[
 
 def both_kinds(column: pa.Array) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
     """Words of the templates, then plain words: whether plain, kind, hash, and the first word of each row."""
-    kind, raw, first = words(*text_bytes(column))
-    yield False, kind, raw, first
+    data, offsets = text_bytes(column)
+    yield (False, *words(data, offsets))
+    raw, first = plain_words(data, offsets)
     yield True, np.full(len(raw), LITERAL, np.int8), raw, first
 
 

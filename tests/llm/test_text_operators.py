@@ -369,6 +369,20 @@ def test_items_of_numbers_and_short_items(spark):
     assert set(got) == {(0, 1), (0, 2), (4, 3)} and all(r.exact for r in got.values())
 
 
+def test_layout_and_scripts_do_not_hide_a_copy(spark):
+    named = "In the spring Ana and Olaf walked with Ines to see Omar. Then Élodie met Ugo, Otto and Ürgen by the river"
+    chinese = "春天的时候小明和他的朋友们一起去河边散步并且看见了很多花"
+    benchmark = frame(spark, [(1, named), (2, chinese)], "item_id long, text string")
+    texts = [
+        named.lower(), named.upper(), named.replace(" ", "\n"), named.replace(".", " ").replace(",", " "), f"他说：{chinese[:9]}，{chinese[9:]}。完",
+        "春天的时候小明", "nothing here at all", None, "",
+    ]
+    got = {(r.doc_id, r.item_id) for r in template_decontam.matches(docs_of(spark, texts), benchmark).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)}
+    odd = np.frombuffer(b"ab \xff\xfe cd" + "é x".encode(), np.uint8)
+    assert np.diff(template_decontam.plain_words(odd, np.array([0, 8, len(odd)]))[1]).tolist() == [2, 2]
+
+
 @given
 def test_benchmark_passages_are_found(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
