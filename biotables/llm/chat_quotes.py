@@ -4,7 +4,9 @@ Lines that start with ``>`` are quotes, the number of ``>`` is their level. Cons
 are a passage. Passages are normalised (A-Z lower-cased, white space to single spaces) and hashed; the hash of a quoted
 passage meets, within its conversation, the hashes of what messages say themselves: their unquoted passages
 and the single lines of these. The first message that said it is the original, and a quote links to it
-if it is older. The latest original among the passages of level 1 is what the message replies to; deeper
+if it is older. A quoted passage that no older message said as a whole is taken apart: each line links to the first
+message that said its paragraph (cut at blank lines), or else the line; where more than half the lines are known,
+the passage links to the older message with the most of them in order, the latest of equals. The latest original among the passages of level 1 is what the message replies to; deeper
 levels name the messages quoted there. Threads follow the replies to their first message by pointer
 doubling, one join a round.
 
@@ -63,6 +65,40 @@ def parsed(messages: DataFrame) -> DataFrame:
     return messages.withColumn("lines", quoted_lines(F.col("raw"))).withColumn("starts", starts).withColumn("passages", runs).drop("lines", "starts")
 
 
+def pieces(text: Column) -> Column:
+    """Array of (at, key, paragraph): every line that is not blank with its place and the key of its paragraph."""
+    lines = lambda p, i: F.transform(
+        F.split(p, "\n", -1), lambda l, j: F.struct((i.cast("long") * (1 << 32) + j).alias("at"), normal(l).alias("key"), normal(p).alias("paragraph"))
+    )
+    return F.filter(F.flatten(F.transform(F.split(text, r"\n(?:[\x09\x0B-\x0D\x20]*\n)+", -1), lines)), lambda x: x["key"].isNotNull())
+
+
+def by_lines(asked: DataFrame, placed: DataFrame) -> DataFrame:
+    """conv_id, turn, level, original of quoted passages by the lines that older messages said."""
+    said = (
+        placed.join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
+        .select("conv_id", "turn", F.explode(pieces(F.col("text"))).alias("p")).select("conv_id", "turn", "p.*")
+    )
+    first = lambda key, name: said.groupBy("conv_id", F.col(key).alias(key)).agg(F.min(F.struct("turn", "at")).alias(name))
+    lines = (
+        asked.select("conv_id", "turn", "level", F.col("key").alias("passage"), F.size(pieces(F.col("body"))).alias("n"), F.explode(pieces(F.col("body"))).alias("p"))
+        .select("conv_id", "turn", "level", "passage", "n", "p.*")
+        .join(first("key", "line_said"), ["conv_id", "key"], "left").join(first("paragraph", "paragraph_said"), ["conv_id", "paragraph"], "left")
+        .withColumn("said", F.when(F.col("paragraph_said.turn") < F.col("turn"), F.col("paragraph_said")).when(F.col("line_said.turn") < F.col("turn"), F.col("line_said")))
+        .where("said is not null")
+    )
+    in_order = "aggregate(array_sort(found), named_struct('n', 0, 'last', -1L), (a, x) -> if(x.place >= a.last, named_struct('n', a.n + 1, 'last', x.place), a), a -> a.n)"
+    passage = ["conv_id", "turn", "level", "passage"]
+    best = (
+        lines.groupBy(*passage, F.col("said.turn").alias("original"))
+        .agg(F.max("n").alias("n"), F.collect_list(F.struct("at", F.col("said.at").alias("place"))).alias("found"))
+        .withColumn("held", F.expr(in_order))
+        .groupBy(*passage)
+        .agg(F.max("n").alias("n"), F.sum(F.size("found")).alias("known"), F.max(F.struct("held", "original")).alias("best"))
+    )
+    return best.where("2 * known > n").select("conv_id", "turn", "level", "best.original")
+
+
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Messages without quotes, with what they reply to; see the module text for the columns."""
     rows = parsed(
@@ -83,7 +119,7 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
                 F.flatten(F.transform(own, lambda p: F.transform(p["bodies"], normal))),
             ), lambda k: k.isNotNull())).alias("says"),
             F.filter(
-                F.transform(quoted, lambda p: F.struct(p["level"].alias("level"), normal(F.array_join(p["bodies"], "\n")).alias("key"))),
+                F.transform(quoted, lambda p: F.struct(p["level"].alias("level"), normal(F.array_join(p["bodies"], "\n")).alias("key"), F.array_join(p["bodies"], "\n").alias("body"))),
                 lambda q: q["key"].isNotNull(),
             ).alias("quotes"),
         ),
@@ -95,8 +131,14 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         .groupBy("conv_id", "key").agg(F.min("turn").alias("original"))
     )
     asked = placed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.key").distinct()
+    whole = asked.join(originals, ["conv_id", "key"]).where("original < turn").select("conv_id", "turn", "level", "key", "original")
+    left = (
+        placed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").dropDuplicates(["conv_id", "turn", "level", "key"])
+        .join(whole, ["conv_id", "turn", "level", "key"], "left_anti")
+    )
+    left = materialize(left, "quotes-left")
     links = (
-        asked.join(originals, ["conv_id", "key"]).where("original < turn")
+        whole.drop("key").union(by_lines(left, placed))
         .groupBy("conv_id", "turn")
         .agg(F.max(F.when(F.col("level") == 1, F.col("original"))).alias("reply_to"), F.array_sort(F.collect_set("original")).alias("quoted"))
     )

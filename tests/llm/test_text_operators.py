@@ -237,6 +237,20 @@ def test_quotes_link_to_originals(spark):
     assert chat_quotes.link_quotes(messages.limit(0)).count() == 0
 
 
+def test_trimmed_quotes_link(spark):
+    said = "First line here\nsecond line here\n\nA new paragraph starts\nand it goes on\nto a third line"
+    rows = [
+        (1, 0, "a", said), (1, 1, "b", "Something else\nand it goes on\nin another way"),
+        (1, 2, "c", "> A new paragraph starts\n> and it goes on\n> to a third line\nYes"),
+        (1, 3, "d", "> First line here\n> second line here\n>\n> A new paragraph starts\n> to a third line\nNo"),
+        (1, 4, "e", "> A new paragraph\n> starts and it goes on to\n> a third line\nWrapped anew"),
+        (1, 5, "f", "> and it goes on\n> in another way\nThe later one"), (1, 6, "g", "> and it goes on\n> unknown words\nHalf is too little"),
+        (2, 1, "h", "> A new paragraph starts\n> and it goes on\nOther conversation"),
+    ]
+    got = {(r.conv_id, r.turn): r.reply_to for r in chat_quotes.link_quotes(frame(spark, rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 0, (1, 4): 0, (1, 5): 1, (1, 6): None, (2, 1): None}
+
+
 def test_long_reply_chain(spark):
     rows = [(1, k, "a", (f"> message {k - 1}\n" if k else "") + f"message {k}") for k in range(40)]
     got = chat_quotes.link_quotes(frame(spark, rows, "conv_id long, turn long, role string, text string")).collect()
