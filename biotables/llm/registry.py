@@ -16,6 +16,9 @@ MODULES = {
     "op8_masked_lm": "masked_lm",
     "op9_byte_bpe": "byte_bpe",
     "op10_edit_counts": "edit_counts",
+    "op11_token_alignment": "token_alignment",
+    "op12_adaptive_ann": "adaptive_ann",
+    "op13_importance_resample": "importance_resample",
 }
 
 
