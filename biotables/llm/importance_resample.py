@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from biotables.llm.columns import cut_points, table, text_bytes
 from biotables.operators.order import with_position
+from biotables.session import materialize
 
 BUCKETS = 10_000
 RUNS = 3
@@ -262,6 +263,7 @@ def resample(
     noise = F.floor(-1000 * F.log(-F.log((hashed + 0.5) / F.lit(4294967296.0))))
     scored = weights(docs, gains, id_col, text_col, runs).withColumn("score", (F.col("weight") + noise).cast("long"))
     scored = scored.withColumn("__may", F.coalesce((F.col("n_words") >= least) & F.col("score").isNotNull(), F.lit(False)))
+    scored = materialize(scored, "scored")  # else the range borders are sampled by another scan of the texts
     placed = with_position(scored, F.desc("__may"), F.desc("score"), F.asc("doc_id"), F.asc("n_features"), name="rank")
     drawn = placed.where("__may").count() * share[0] // share[1]
     return placed.withColumn("rank", F.when(F.col("__may") & (F.col("rank") <= drawn), F.col("rank")).cast("long")).select(
