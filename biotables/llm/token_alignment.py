@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biotables.llm.byte_bpe import byte_table, uint32_bytes
-from biotables.llm.columns import SLOT_BITS, _forget, pack, slots, table, unpack, with_answers
+from biotables.llm.columns import SLOT_BITS, _forget, pack, slots, table, text_bytes, unpack, with_answers
 from biotables.session import materialize, scratch_path
 
 SIDE_A = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,11 +55,9 @@ FRAGMENT_BYTES = 1 << 16
 #: neighbours that one step of the tree composes
 FAN = 32
 #: text bytes in a batch
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: words in each of the two generations that a task remembers
-REMEMBERED = 150_000
-#: pairs of ids that a task gathers before it sends them on
-PAIRS = 1 << 20
+REMEMBERED = 100_000
 
 #: a space next to another space, to other white space, or at the end: words are not simply what stands between spaces
 UNEVEN = re.compile(r"\x20(?:\s|\Z)")
@@ -79,12 +77,24 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+class Stretch:
+    """Both tokenizations of one run of bytes: for each byte, whether a token of a side ends with it."""
+
+    def __init__(self, tool: Sides, a: np.ndarray, b: np.ndarray):
+        self.end_a, self.end_b = np.cumsum(tool.a_size[a]) - 1, np.cumsum(tool.b_size[b]) - 1
+        size = int(max(self.end_a[-1] if len(a) else -1, self.end_b[-1] if len(b) else -1)) + 1
+        self.is_a, self.is_b = np.zeros(size, bool), np.zeros(size, bool)
+        self.is_a[self.end_a], self.is_b[self.end_b] = True, True
+        self.is_common = self.is_a & self.is_b
+
+
 class Sides:
     """Both tokenizers with the bytes of every id; words are given without their leading space."""
 
     def __init__(self, side_a: str, side_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(side_a), sentencepiece.SentencePieceProcessor(model_file=side_b)
@@ -106,42 +116,82 @@ class Sides:
             not any(re.search("[^▁]▁", p) for p in pieces)
             and made.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         )
+        # where ids rise in the order of the merges, they are the ranks that the faster library reads
+        merged = [self.a.token_to_id("".join(m)) for m in (x.split(" ") if isinstance(x, str) else x for x in made["model"]["merges"])]
+        ranked = len(merged) + 256 == len(made["model"]["vocab"]) and merged == sorted(merged) and min(merged, default=256) >= 256
+        self.fast = None
+        if self.cuts and ranked:
+            ranks = {self.a_bytes[i]: i for i in made["model"]["vocab"].values()}
+            self.fast = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        names = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.digits = np.frombuffer(b"".join(names), np.uint8), np.concatenate([[0], np.cumsum([len(n) for n in names])])
         self.known: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
     def words(self, text: str) -> list[str]:
         return words_of(text) if self.cuts else [text]
 
-    def grouped(self, a: list[int], b: list[int]) -> bytes:
-        """``a1,a2|b1;a3|b2,b3``: ids of both sides by group."""
-        if len(a) == 1 or len(b) == 1:  # no place but the end can be common
-            return f"{','.join(map(str, a))}|{','.join(map(str, b))}".encode()
-        out, i, j, size_a, size_b = [], 0, 0, self.a_size, self.b_size
-        while i < len(a):
-            first_a, first_b = i, j
-            end_a, end_b = size_a[a[i]], size_b[b[j]]
-            i, j = i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a += size_a[a[i]]
-                    i += 1
-                else:
-                    end_b += size_b[b[j]]
-                    j += 1
-            out.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-        return ";".join(out).encode()
-
-    def encode(self, words: list[str]) -> list[tuple]:
-        """For each word the ids of both sides (packed) and its groups as text, or None if its bytes do not come back."""
-        found_a = self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        found_b = self.b.encode(words, num_threads=1) if words else []
-        out = []
-        for word, a, b in zip(words, found_a, found_b):
-            a, raw = a.ids, b" " + word.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b)):
-                out.append((uint32_bytes(a), uint32_bytes(b), self.grouped(a, b)))
-            else:
-                out.append((b"", b"", None))
+    def encode_a(self, text: str) -> list[int]:
+        return self.fast.encode_ordinary(text) if self.fast else self.a.encode(text, add_special_tokens=False).ids
+
+    def one(self, word: str) -> tuple:
+        """Ids of both sides (packed) and the groups as text, or None if the bytes do not come back."""
+        a, b, raw = self.encode_a(" " + word), self.b.encode(word), b" " + word.encode()
+        if not (b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))):
+            return b"", b"", None
+        return self.several([word], np.array(a, np.int64), np.array(b, np.int64), np.array([len(raw)]))[0]
+
+    def several(self, words: list[str], a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> list[tuple]:
+        """Tokens of words that stand one after another, cut into the fragments of the words."""
+        f = Stretch(self, a, b)
+        word_end = np.cumsum(sizes)
+        at_a, at_b = (np.concatenate([[0], np.cumsum(m)[word_end - 1]]) for m in (f.is_a, f.is_b))
+        said, ends = self.said(f, a, b, word_end)
+        cut = np.concatenate([[0], ends])
+        raw_a, raw_b = uint32_bytes(a.tolist()), uint32_bytes(b.tolist())
+        cut, at_a, at_b = cut.tolist(), (4 * at_a).tolist(), (4 * at_b).tolist()
+        return [(raw_a[at_a[i] : at_a[i + 1]], raw_b[at_b[i] : at_b[i + 1]], said[cut[i] : cut[i + 1]]) for i in range(len(words))]
+
+    def said(self, f: Stretch, a: np.ndarray, b: np.ndarray, word_end: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """``a1,a2|b1;a3|b2,b3`` for every word, one after another, and where each word's text ends."""
+        common_a, common_b = f.is_common[f.end_a], f.is_common[f.end_b]
+        group_a, group_b = (np.cumsum(c) - c for c in (common_a, common_b))
+        before_b = np.concatenate([[0], np.flatnonzero(common_b) + 1])  # B tokens in earlier groups
+        upto_a = np.flatnonzero(common_a) + 1
+        place_a, place_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + upto_a[group_b]
+        ids, mark = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        mark[place_a] = np.where(common_a, ord("|"), ord(","))
+        mark[place_b] = np.where(common_b, ord(";"), ord(","))
+        last = np.zeros(len(f.is_a), bool)
+        last[word_end - 1] = True
+        mark[place_b[last[f.end_b]]] = 0
+        digits, start = self.digits
+        size = np.diff(start)[ids]
+        long = size + (mark > 0)
+        ends = np.cumsum(long)
+        spread = np.repeat(start[ids] - (ends - long), long) + np.arange(ends[-1])
+        out = digits[np.minimum(spread, len(digits) - 1)]
+        out[ends[mark > 0] - 1] = mark[mark > 0]
+        return out.tobytes(), ends[place_b[last[f.end_b]]]
+
+    def group_text(self, a: bytes, b: bytes) -> bytes:
+        """One group as text."""
+        return b"|".join(",".join(map(str, np.frombuffer(x, "<u4").tolist())).encode() for x in (a, b))
+
+    def encode(self, words: list[str], most: int = 4096) -> dict[str, tuple]:
+        """Fragments of different words. Words with no space in them are tokenized many at a time: both sides start anew at each."""
+        simple = [w for w in words if self.cuts and w and " " not in w and "▁" not in w and not w[0].isspace()]
+        out: dict[str, tuple] = {}
+        for i in range(0, len(simple), most):
+            group = simple[i : i + most]
+            text = " ".join(group)
+            a, b = np.array(self.encode_a(" " + text), np.int64), np.array(self.b.encode(text), np.int64)
+            sizes = np.fromiter((len(w.encode()) + 1 for w in group), np.int64, len(group))
+            whole = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == b"".join(map(self.b_bytes.__getitem__, b.tolist())) == b" " + text.encode()
+            if whole and (Stretch(self, a, b).is_common[np.cumsum(sizes) - 1]).all():
+                out.update(zip(group, self.several(group, a, b, sizes)))
+        out.update((w, self.one(w)) for w in words if w not in out)
         return out
 
     def look_up(self, words: set[str], most: int = REMEMBERED) -> dict[str, tuple]:
@@ -152,8 +202,7 @@ class Sides:
             new = words
         again = new.intersection(self.old)
         self.known.update((w, self.old[w]) for w in again)
-        new = list(new.difference(again))
-        self.known.update(zip(new, self.encode(new)))
+        self.known.update(self.encode(list(new.difference(again))))
         return self.known
 
 
@@ -162,33 +211,33 @@ def sides(side_a: str, side_b: str) -> Sides:
     return Sides(side_a, side_b)
 
 
-def ends_of(sizes: np.ndarray) -> np.ndarray:
-    return np.cumsum(sizes)
-
-
 def ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of a binary column of 32-bit ids, and how many each row has."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), "<u4").astype(np.int64), np.array([len(v) // 4 for v in values], np.int64)
+    data, where = text_bytes(column)
+    return np.frombuffer(data.tobytes(), "<u4").astype(np.int64), np.diff(where) // 4
+
 
+class Fragments(Stretch):
+    """Closed fragments one after another: groups and links of each.
 
-class Fragments:
-    """Closed fragments one after another: groups and links of each."""
+    Both sides of a fragment have the same bytes, so the ends of all fragments agree as well.
+    """
 
     def __init__(self, tool: Sides, a: pa.Array, b: pa.Array):
-        (self.a, self.n_a), (self.b, self.n_b) = ids_of(a), ids_of(b)
-        end_a, end_b = ends_of(tool.a_size[self.a]), ends_of(tool.b_size[self.b])
-        # both sides of a fragment have the same bytes, so the ends of all fragments agree as well
-        last = np.concatenate([[0], end_a])[np.cumsum(self.n_a)]
-        stretch = np.union1d(end_a, end_b)
-        common = np.intersect1d(end_a, end_b, assume_unique=True)
-        self.link_a, self.link_b = self.a[np.searchsorted(end_a, stretch)], self.b[np.searchsorted(end_b, stretch)]
-        self.owner = np.searchsorted(last, stretch)
+        (ids_a, self.n_a), (ids_b, self.n_b) = ids_of(a), ids_of(b)
+        super().__init__(tool, ids_a, ids_b)
+        self.a, self.b = ids_a, ids_b
+        stretch = np.flatnonzero(self.is_a | self.is_b)
+        common = np.flatnonzero(self.is_common)
+        # the token over a byte is the one after all that end before it
+        over_a, over_b = (np.cumsum(m) - m for m in (self.is_a, self.is_b))
+        self.link_a, self.link_b = ids_a[over_a[stretch]], ids_b[over_b[stretch]]
+        last = np.concatenate([[0], np.cumsum(tool.a_size[ids_a])])[np.cumsum(self.n_a)]
+        self.owner = np.searchsorted(last, stretch + 1)
         self.n_links = np.bincount(self.owner, minlength=len(last))
-        self.n_groups = np.bincount(np.searchsorted(last, common), minlength=len(last))
+        self.n_groups = np.bincount(np.searchsorted(last, common + 1), minlength=len(last))
         # tokens of each group, for the groups as such
-        self.group_a = np.diff(np.searchsorted(end_a, common, side="right"), prepend=0)
-        self.group_b = np.diff(np.searchsorted(end_b, common, side="right"), prepend=0)
+        self.group_a, self.group_b = (np.diff(np.cumsum(m)[common], prepend=0) for m in (self.is_a, self.is_b))
 
 
 ROWS = [("doc_id", None), ("doc", pa.int64()), ("place", pa.int64()), ("valid", pa.bool_()), ("words", pa.binary()), ("said", pa.binary())]
@@ -209,13 +258,17 @@ def opened(payload: bytes) -> tuple[pa.RecordBatch, pa.RecordBatch]:
 def batch_of(tool: Sides, ids: pa.Array, texts: list[str | None]) -> bytes:
     """Texts of ordinary length: their words' fragments, composed to the whole."""
     cut = [tool.words(t) if t else [] for t in texts]
-    known = tool.look_up(set().union(*cut))
-    number = {w: i for i, w in enumerate(set().union(*cut))}
-    said = {w: known[w][2] for w in number}
-    bad = {w for w, s in said.items() if s is None}
+    different = set().union(*cut)
+    known = tool.look_up(different)
+    number = {w: i for i, w in enumerate(different)}
+    said = [known[w][2] for w in number]
+    bad = {w for w, x in zip(number, said) if x is None}
     valid = [bool(c) and not (bad and not bad.isdisjoint(c)) for c in cut]
-    kept = [np.fromiter(map(number.__getitem__, c), "<i4", len(c)).tobytes() if v else b"" for c, v in zip(cut, valid)]
-    digest = [hashlib.sha256(b";".join(map(said.__getitem__, c))).hexdigest().encode() if v else b"" for c, v in zip(cut, valid)]
+    kept, digest = [], []
+    for words, good in zip(cut, valid):
+        numbers = list(map(number.__getitem__, words)) if good else []
+        kept.append(uint32_bytes(numbers))
+        digest.append(hashlib.sha256(b";".join(map(said.__getitem__, numbers))).hexdigest().encode() if good else b"")
     nothing = pa.nulls(len(texts), pa.int64())
     rows = pa.RecordBatch.from_arrays(
         [ids, nothing, nothing, pa.array(valid), pa.array(kept, pa.binary()), pa.array(digest, pa.binary())], [n for n, _ in ROWS]
@@ -300,7 +353,7 @@ def fragments_of(tool: Sides, a: np.ndarray, b: np.ndarray, most: int) -> Iterat
 
     A token belongs to the fragment in which it ends, so tokens may cross into a fragment.
     """
-    end_a, end_b = ends_of(tool.a_size[a]), ends_of(tool.b_size[b])
+    end_a, end_b = np.cumsum(tool.a_size[a]), np.cumsum(tool.b_size[b])
     common = np.intersect1d(end_a, end_b)
     for low in range(0, int(end_a[-1]), most):
         high = low + most
@@ -449,7 +502,7 @@ def long_batches(groups: DataFrame, side_a: str, side_b: str) -> DataFrame:
                 here, valid = unpack(part.column(4)[i].as_py()), part.column(3)[i].as_py()
                 found = list(zip(here.column(0).to_pylist(), here.column(1).to_pylist())) if valid else []
                 number = {f: n for n, f in enumerate(dict.fromkeys(found))}
-                said = {f: tool.grouped(*(np.frombuffer(x, "<u4").tolist() for x in f)) for f in number}
+                said = {f: tool.group_text(*f) for f in number}
                 words = np.fromiter(map(number.__getitem__, found), "<i4", len(found)).tobytes()
                 rows = pa.RecordBatch.from_arrays(
                     [part.column(1).slice(i, 1), part.column(0).slice(i, 1), part.column(2).slice(i, 1), pa.array([bool(valid)]), pa.array([words], pa.binary()), pa.array([b";".join(map(said.__getitem__, found))], pa.binary())],
