@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from biotables.catalog.registry import Tables, query
 from biotables.operators import reads
+from biotables.operators.intervals import overlaps
 from biotables.session import scratch_path
 from biotables.sources import text
 
@@ -41,6 +42,11 @@ def _mate_sql(number: int) -> str:
  unnest(range(greatest(length(letters) - 1, 0) // {READ} + 1)) AS k FROM (SELECT doc_id, {letters} AS letters FROM documents)))"""
 
 
+_ALIGN = """alignments AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey AS read_id, l_suppkey AS contig,
+ date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS start, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)
+ + l_quantity::BIGINT AS stop FROM lineitem)"""
+_LONG = """features AS (SELECT 'kind' || (p_size % 10) AS kind, p_partkey % 10 AS contig, p_size::BIGINT * 41 % 2300 AS start,
+ p_size::BIGINT * 41 % 2300 + pow(10, p_size % 10)::BIGINT AS stop FROM part)"""
 _MATES = f"m1 AS MATERIALIZED ({_mate_sql(1)}), m2 AS MATERIALIZED ({_mate_sql(2)})"
 
 
@@ -63,6 +69,36 @@ def reads_concat(t: Tables):
     return both.select("lane", "read_id", "mate", "bases", F.when(F.size("quality") > 0, total).alias("quality_sum"))
 
 
+@query(f"""WITH {_MATES} SELECT 'fastq' AS kind, read_id, bases, list_sum(quality)::BIGINT AS quality_sum FROM m1
+ UNION ALL SELECT 'fasta', read_id, bases, NULL FROM m2""")
+def fastq_split_reads(t: Tables):
+    """FASTQ and FASTA files read in ranges of 4 KB, so that nearly every range begins within a record."""
+    folder = scratch_path(t.spark, "split-reads")
+    _write_fastq(mate(t, 1), f"{folder}/fastq")
+    wrapped = F.concat(F.lit(">"), "read_id", F.lit(" mate\n"), F.substring("bases", 1, 70), F.lit("\n"), F.substring("bases", 71, READ))
+    mate(t, 2).select(wrapped.alias("value")).write.text(f"{folder}/fasta")
+    total = F.when(F.size("quality") > 0, F.aggregate("quality", F.lit(0).cast("bigint"), lambda a, q: a + q))
+    fastq = text.read_fastq(t.spark, f"{folder}/fastq", range_bytes=4096)
+    fasta = text.read_fasta(t.spark, f"{folder}/fasta", range_bytes=4096)
+    return fastq.select(F.lit("fastq").alias("kind"), "read_id", "bases", total.alias("quality_sum")).unionByName(
+        fasta.select(F.lit("fasta").alias("kind"), F.col("seq_id").alias("read_id"), F.col("sequence").alias("bases"), F.lit(None).cast("bigint").alias("quality_sum"))
+    )
+
+
+@query(f"""WITH {_ALIGN}, {_LONG} SELECT kind, COUNT(*) AS n_pairs, SUM(least(a.stop, f.stop) - greatest(a.start, f.start))::BIGINT AS shared
+ FROM alignments a JOIN features f ON f.contig = a.contig AND f.start < a.stop AND f.stop > a.start GROUP BY 1""")
+def interval_overlaps(t: Tables):
+    """Pairs of alignments and features that share positions, features from one base to whole chromosomes."""
+    features = t.part.select(
+        F.concat(F.lit("kind"), F.col("p_size") % 10).alias("kind"), (F.col("p_partkey") % 10).alias("contig"),
+        (F.col("p_size").cast("bigint") * 41 % 2300).alias("f_start"),
+        (F.col("p_size").cast("bigint") * 41 % 2300 + F.pow(F.lit(10), F.col("p_size") % 10).cast("bigint")).alias("f_end"),
+    )
+    pairs = overlaps(alignments(t), features, "contig", ("start", "end"), ("f_start", "f_end"))
+    shared = F.least("end", "f_end") - F.greatest("start", "f_start")
+    return pairs.groupBy("kind").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(shared).alias("shared"))
+
+
 @query(f"""WITH {_MATES}, n2 AS (SELECT m2.* FROM m2 JOIN documents ON doc_id = split_part(read_id, ':', 1)::BIGINT WHERE lang <> 'fr')
  SELECT read_id, mate, bases FROM m1 WHERE read_id IN (SELECT read_id FROM n2) UNION ALL SELECT read_id, mate, bases FROM n2""")
 def reads_interleave(t: Tables):
@@ -146,9 +182,6 @@ def annotation(t: Tables):
     )
 
 
-_ALIGN = """alignments AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey AS read_id, l_suppkey AS contig,
- date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS start, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)
- + l_quantity::BIGINT AS stop FROM lineitem)"""
 _FEATURES = """features AS (SELECT 'gene' || p_partkey AS feature, p_partkey % (SELECT COUNT(*) FROM supplier) AS contig,
  p_size * 60 AS start, p_size * 60 + 30 + length(p_name) AS stop FROM part)"""
 

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from biotables.operators.intervals import FINEST, overlaps
+
 
 def concat_lanes(reads: DataFrame, pattern: str = r"_(L[0-9]{3})_R([12])") -> DataFrame:
     """Reads of many files (:func:`read_fastq`) with lane and mate from the name of their file."""
@@ -69,15 +71,18 @@ def _trimmed(rows: pa.RecordBatch, leading: int, trailing: int, window: int, req
     place = np.arange(len(q)) - begin[read]
     none = np.int64(2**60)
 
+    some = size > 0
+
     def least(of: np.ndarray, empty: np.ndarray) -> np.ndarray:
         out = np.full(len(size), none)
-        np.minimum.at(out, read[of], place[of])
+        if some.any():
+            out[some] = np.minimum.reduceat(np.where(of, place, none), begin[some])
         return np.where(out == none, empty, out)
 
     first = least(q >= leading, size)
     last = np.full(len(size), -1)
-    strong = q >= trailing
-    np.maximum.at(last, read[strong], place[strong])
+    if some.any():
+        last[some] = np.maximum.reduceat(np.where(q >= trailing, place, -1), begin[some])
     stop = np.maximum(first, last + 1)
     sums = np.concatenate([[0], np.cumsum(q)])
     ends = np.minimum(np.arange(len(q)) + window, len(q))
@@ -193,29 +198,22 @@ def contig_depth(alignments: DataFrame, contigs: DataFrame, bucket: int = 4096)
     )
 
 
-def read_categories(
-    alignments: DataFrame, features: DataFrame, bucket: int = 1000
-) -> DataFrame:
+def read_categories(alignments: DataFrame, features: DataFrame, bucket: int = FINEST) -> DataFrame:
     """Distinct read positions with the feature they count for and the number of reads.
 
     A read counts for a feature when it overlaps that one only; otherwise it falls under
     ``__no_feature`` or ``__ambiguous``. Identical positions are merged before the overlap
-    join, so a bucket holds at most as many rows as it has distinct positions.
+    join, and a feature is one row of it however long it is (``intervals``); ``bucket`` is the width
+    of the finest bins.
     """
+    longest = alignments.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
     spots = alignments.groupBy("contig", "start", "end").agg(F.count(F.lit(1)).alias("n"))
-
-    def buckets(first: str, last: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(first) / bucket), F.floor((F.col(last) - 1) / bucket)))
-
     # features at the same place: only the id range matters to tell one from several
     places = features.groupBy("contig", F.col("start").alias("f_start"), F.col("end").alias("f_end")).agg(
         F.min("feature").alias("f_min"), F.max("feature").alias("f_max")
     )
-    left = spots.withColumn("b", buckets("start", "end"))
-    right = places.withColumn("b", buckets("f_start", "f_end"))
     hits = (
-        left.join(right, ["contig", "b"])
-        .filter((F.col("f_start") < F.col("end")) & (F.col("f_end") > F.col("start")))
+        overlaps(spots, places, "contig", ("start", "end"), ("f_start", "f_end"), longest, bucket)
         .groupBy("contig", "start", "end")
         .agg(F.min("f_min").alias("lo"), F.max("f_max").alias("hi"))
     )
@@ -227,7 +225,7 @@ def read_categories(
     return spots.join(hits, ["contig", "start", "end"], "left").withColumn("locus_tag", category)
 
 
-def feature_counts(alignments: DataFrame, features: DataFrame, bucket: int = 1000) -> DataFrame:
+def feature_counts(alignments: DataFrame, features: DataFrame, bucket: int = FINEST) -> DataFrame:
     """Reads per feature, zero counts included, plus the two special rows."""
     counted = (
         read_categories(alignments, features, bucket)

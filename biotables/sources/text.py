@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from biotables.sources import records
+
 # Column layouts of the input formats.
 GTF_SCHEMA = ", ".join(f"V{i} string" for i in range(1, 10))
 COUNTS_SCHEMA = "V1 string, V2 bigint"
@@ -160,24 +161,13 @@ def read_quant(spark: SparkSession, root: str, sheet: DataFrame) -> DataFrame:
     return import_quant(raw.withColumn("sample", sample), sheet)
 
 
-def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One row per FASTA record: id, description, sequence, length and GC share.
-
-    The record separator keeps long sequences whole and splits files by record.
-    """
-    lines = spark.read.option("lineSep", "\n>").text(path)
-    record = F.regexp_replace("value", "^>", "")
-    head = F.regexp_extract(record, "^([^\\r\\n]*)", 1)
-    sequence = F.upper(F.regexp_replace(F.regexp_replace(record, "^[^\\n]*", ""), "\\s", ""))
+def read_fasta(spark: SparkSession, path: str | Sequence[str], range_bytes: int = records.RANGE_BYTES) -> DataFrame:
+    """One row per FASTA record: id, description, sequence, length and GC share."""
+    sequence = F.upper(F.regexp_replace("body", "\\s", ""))
     return (
-        lines.filter(F.trim("value") != "")
-        .select(head.alias("head"), sequence.alias("sequence"))
-        .select(
-            F.regexp_extract("head", "^(\\S*)", 1).alias("seq_id"),
-            F.nullif(F.trim(F.regexp_replace("head", "^\\S*", "")), F.lit("")).alias("description"),
-            "sequence",
-            F.length("sequence").cast("bigint").alias("length"),
-        )
+        records.read_records(spark, path, "fasta", range_bytes)
+        .select(_id_and_description()[0].alias("seq_id"), _id_and_description()[1], sequence.alias("sequence"))
+        .withColumn("length", F.length("sequence").cast("bigint"))
         .withColumn(
             "gc",
             F.length(F.regexp_replace("sequence", "[^GC]", "")) / F.nullif("length", F.lit(0)),
@@ -185,49 +175,17 @@ def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def read_fastq(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str | Sequence[str], range_bytes: int = records.RANGE_BYTES) -> DataFrame:
     """``file, read_id, description, bases, quality``; one row per record of all files, in one read.
 
-    Records are cut at line starts with ``@``. A quality line may start so too; such a record comes in two
-    pieces, which follow each other and are put together. In a plain file a split border between the two
-    raises; compressed files are read whole, each by one task.
+    Rows do not depend on ``range_bytes`` (``records``); a broken record raises. Compressed files are one task each.
     """
-    pieces = spark.read.option("lineSep", "\n@").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_file, begun = None, ""
-        for rows in batches:
-            out: list[tuple[str, str, str, str]] = []
-            for file, value in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                if begun and file != open_file:
-                    raise ValueError(f"{open_file} ends within a record")
-                text = f"{begun}\n@{value}" if begun else value.removeprefix("@")
-                lines = text.replace("\r", "").split("\n")
-                if lines[-1] == "" and len(lines) in (1, 2, 5):
-                    lines.pop()  # the end of the file
-                if not any(lines):
-                    continue
-                if len(lines) == 3 and lines[2].startswith("+"):
-                    # the quality line starts with the record mark
-                    open_file, begun = file, text
-                    continue
-                if len(lines) != 4 or not lines[2].startswith("+") or len(lines[1]) != len(lines[3]):
-                    raise ValueError(f"{file} has a broken record at {lines[0]!r}")
-                begun = ""
-                out.append((file, lines[0], lines[1], lines[3]))
-            columns = list(zip(*out)) if out else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file", "head", "bases", "marks"])
-        if begun:
-            raise ValueError(f"{open_file} ends within a record")
-
-    quality = F.transform(F.filter(F.split("marks", ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
-    return pieces.mapInArrow(records, "file string, head string, bases string, marks string").select(
-        "file",
-        F.regexp_extract("head", "^(\\S*)", 1).alias("read_id"),
-        F.nullif(F.trim(F.regexp_replace("head", "^\\S*", "")), F.lit("")).alias("description"),
-        "bases",
-        quality.alias("quality"),
-    )
+    return records.read_records(spark, path, "fastq", range_bytes).select("file", *_id_and_description(), "bases", "quality")
+
+
+def _id_and_description() -> list[Column]:
+    rest = F.nullif(F.trim(F.regexp_replace("head", "^\\S*", "")), F.lit(""))
+    return [F.regexp_extract("head", "^(\\S*)", 1).alias("read_id"), rest.alias("description")]
 
 
 def read_features(spark: SparkSession, path: str | Sequence[str], feature_type: str = "CDS", id_attribute: str = "gene_id") -> DataFrame:
