@@ -18,7 +18,7 @@ from biotables.catalog.bindings import (
     with_tables,
 )
 from biotables.catalog.registry import Tables, query
-from biotables.operators import clustering, community, distance, ordination
+from biotables.operators import clustering, community, distance, near, ordination
 from biotables.plans.expression import SUBSTRATES
 from biotables.session import materialize
 
@@ -144,6 +144,28 @@ def bray_curtis(t: Tables):
     return distance.bray_curtis(sample_counts(t)).withColumn("dist", F.round("dist", 6))
 
 
+_PAIR_DISTANCES = {
+    "sizes": "SELECT sample, SUM(count)::BIGINT AS total FROM sample_counts GROUP BY 1",
+    "overlap": """SELECT a.sample AS sa, b.sample AS sb, SUM(least(a.count, b.count))::BIGINT AS shared
+ FROM sample_counts a JOIN sample_counts b ON a.feature = b.feature AND a.sample <> b.sample GROUP BY 1, 2""",
+    "pairs": """SELECT a.sample AS a, b.sample AS b, 1 - 2 * coalesce(shared, 0)::DOUBLE / (a.total + b.total) AS dist
+ FROM sizes a JOIN sizes b ON a.sample <> b.sample LEFT JOIN overlap o ON o.sa = a.sample AND o.sb = b.sample""",
+}
+
+
+@query(with_tables("sample_counts", "SELECT a AS id_a, b AS id_b, round(dist, 6) AS dist FROM pairs WHERE a < b AND dist <= 0.8", **_PAIR_DISTANCES))
+def bray_curtis_within(t: Tables):
+    """Pairs of samples with a dissimilarity of at most 0.8."""
+    return near.bray_curtis_within(sample_counts(t), 0.8).withColumn("dist", F.round("dist", 6))
+
+
+@query(with_tables("sample_counts", """SELECT a AS sample, rank, b AS neighbour, round(dist, 6) AS dist FROM (SELECT *,
+ row_number() OVER (PARTITION BY a ORDER BY dist, b)::INT AS rank FROM pairs) WHERE rank <= 5""", **_PAIR_DISTANCES))
+def nearest_samples(t: Tables):
+    """The five nearest samples of each sample."""
+    return near.nearest_samples(sample_counts(t), 5, block=8).withColumn("dist", F.round("dist", 6))
+
+
 def taxon_distances(t: Tables):
     return distance.bray_curtis(taxon_counts(t, "gene"))
 
