@@ -14,6 +14,7 @@ from biotables.catalog.bindings import (
 )
 from biotables.catalog.registry import Tables, query
 from biotables.operators import differential as de
+from biotables.operators import outliers
 from biotables.operators.community import add_pseudocount
 from biotables.plans.expression import SUBSTRATES
 from biotables.session import materialize
@@ -96,6 +97,9 @@ _WALD = """WITH RECURSIVE cells AS MATERIALIZED (
  SELECT b.feature, 'Beta_vs_Alpha' AS comparison, (b.beta - a.beta) / ln(2) AS lfc, sqrt(1 / b.info + 1 / a.info) / ln(2) AS se,
  a.zero <> b.zero AS one_sided_zero, a.zero AND b.zero AS no_test FROM fit a JOIN fit b ON a.feature = b.feature AND a.level = 'Alpha' AND b.level = 'Beta'"""
 
+_COOKS_CELLS = _WALD[_WALD.index("SELECT f.feature") : _WALD.index("),\n it AS")]
+_COOKS_LEVELS = _WALD[: _WALD.index("\n SELECT b.feature")] + " SELECT feature, level, beta FROM fit"
+
 _MOMENTS = """SELECT feature, greatest((v - m * inv) / (m * m), 1e-8) AS dispersion FROM (
  SELECT feature, s1 / n AS m, (s2 - s1 * s1 / n) / (n - 1) AS v, inv FROM (
  SELECT feature, SUM(count / size_factor) AS s1, SUM((count / size_factor) * (count / size_factor)) AS s2
@@ -117,6 +121,29 @@ def nb_wald_moments(t: Tables):
     )
 
 
+@query(with_tables(_BOTH, """SELECT feature, round(MAX(r2 / 2 * h / ((1 - h) * (1 - h))), 4) AS max_cooks FROM (SELECT c.feature,
+ (x - mu) * (x - mu) / (mu + a * mu * mu) AS r2, mu / (1 + a * mu) / SUM(mu / (1 + a * mu)) OVER (PARTITION BY c.feature, c.level) AS h
+ FROM (SELECT c.*, exp(beta) * sf AS mu FROM cells c JOIN levels_ l ON l.feature = c.feature AND l.level = c.level) c) GROUP BY 1""",
+    **_GEO, moments=_MOMENTS, cells=_COOKS_CELLS, levels_=_COOKS_LEVELS))
+def cooks_distance(t: Tables):
+    """Largest Cook's distance of each feature at the moment dispersions."""
+    counts, samples, factors = stored_inputs(t)
+    samples = materialize(samples.withColumn("enrichment", enrichment("taxon")), "samples")
+    fit, _ = de.fit_at_dispersion(counts, samples, "enrichment", factors, de.dispersion_moments(counts, factors))
+    found = outliers.cooks_distances(counts, samples, "enrichment", factors, fit, robust=False)
+    return found.select("feature", F.round("max_cooks", 4).alias("max_cooks"))
+
+
+@query()
+def nb_wald_outliers(t: Tables):
+    """Fit with outliers replaced or flagged, one contrast, p-values of flagged features NULL."""
+    counts, samples, factors = stored_inputs(t)
+    samples = materialize(samples.withColumn("enrichment", enrichment("taxon")), "samples")
+    fit, levels = outliers.fit_without_outliers(counts, samples, "enrichment", factors, trend="local")
+    tests = outliers.mask_outliers(de.wald_tests(fit, levels, [("Beta", "Alpha")]), fit)
+    return de.bh_adjust(tests, ["comparison"]).join(fit.select("feature", "n_replaced"), "feature")
+
+
 @query()
 def pairwise_contrasts(t: Tables):
     """One added to every cell, parametric trend, every pair of substrates from one fit."""

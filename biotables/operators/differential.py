@@ -2,8 +2,7 @@
 
 Counts are long ``(sample, feature, count)``; missing cells are zeros. The fit follows the
 published method (Love, Huber, Anders 2014, Genome Biology 15:550) for one-factor
-designs. Left out: outlier replacement and count outlier flags, independent filtering,
-fold-change shrinkage.
+designs. Outlier flags and replacement are in ``outliers``. Left out: fold-change shrinkage.
 """
 
 from __future__ import annotations
@@ -16,9 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from biotables.functions import ifelse_na
+from biotables.functions.normal import two_sided
 from biotables.operators.joins import key_join
 from biotables.operators.reshape import dense_index
 from biotables.operators.totals import exact_quantiles, later_minimum, running_total, value_bucket
@@ -426,36 +425,28 @@ def _shrinkage(genes: DataFrame, trend: _Trend, n_samples: int, n_levels: int) -
     return max(spread**2 - noise, 0.25), spread
 
 
-def fit_features(
-    counts: DataFrame,
-    samples: DataFrame,
-    factor: str,
-    factors: DataFrame,
-    trend: str = "parametric",
-) -> tuple[DataFrame, list[str]]:
-    """Dispersions, level means (natural log) and informations, one row per feature.
+class _Model:
+    """What a fit of other features needs: design, trend, prior width and spread around the trend."""
 
-    Returns the table and the level names in the order of the array columns.
-    """
-    check_design(samples, factor)
-    table, design = _load_design(samples, factor, factors)
+    def __init__(self, table: DataFrame, design: _Design, curve: _Trend, variance: float, spread: float):
+        self.table, self.design, self.curve, self.variance, self.spread = table, design, curve, variance, spread
+
+
+def _stored_rows(counts: DataFrame, table: DataFrame, design: _Design) -> DataFrame:
     n_features = counts.select("feature").distinct().count()
-    tasks = task_count(
-        counts.sparkSession, -(-n_features * len(design.codes) // CELLS_PER_TASK)
-    )
-    rows = _feature_rows(counts, table).repartition(tasks, "feature")
-    rows = materialize(rows, "feature-rows")
-    feature = counts.schema["feature"].dataType.simpleString()
-    genes = materialize(
-        rows.mapInPandas(
-            _gene_dispersion(design),
-            f"feature {feature}, base_mean double, disp_gene double, gene_converged boolean",
-        ),
-        "gene-dispersion",
-    )
-    coefficients = parametric_trend(genes) if trend == "parametric" else None
-    curve = _Trend(parametric=coefficients) if coefficients else _Trend(local=local_trend(genes))
-    variance, spread = _shrinkage(genes, curve, len(design.codes), len(design.levels))
+    tasks = task_count(counts.sparkSession, -(-n_features * len(design.codes) // CELLS_PER_TASK))
+    return materialize(_feature_rows(counts, table).repartition(tasks, "feature"), "feature-rows")
+
+
+def _gene_table(rows: DataFrame, design: _Design) -> DataFrame:
+    feature = rows.schema["feature"].dataType.simpleString()
+    schema = f"feature {feature}, base_mean double, disp_gene double, gene_converged boolean"
+    return materialize(rows.mapInPandas(_gene_dispersion(design), schema), "gene-dispersion")
+
+
+def _final_fit(rows: DataFrame, genes: DataFrame, model: _Model) -> DataFrame:
+    feature = rows.schema["feature"].dataType.simpleString()
+    design, curve, variance, spread = model.design, model.curve, model.variance, model.spread
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, cells in _dense_batches(batches, design):
@@ -491,7 +482,47 @@ def fit_features(
         "dispersion double, outlier boolean, beta array<double>, info array<double>, "
         "all_zero array<boolean>, converged boolean",
     )
-    return materialize(fitted, "fit"), design.levels
+    return materialize(fitted, "fit")
+
+
+def fit_model(
+    counts: DataFrame,
+    samples: DataFrame,
+    factor: str,
+    factors: DataFrame,
+    trend: str = "parametric",
+) -> tuple[DataFrame, list[str], _Model]:
+    """:func:`fit_features` with the model, for :func:`refit`."""
+    check_design(samples, factor)
+    table, design = _load_design(samples, factor, factors)
+    rows = _stored_rows(counts, table, design)
+    genes = _gene_table(rows, design)
+    coefficients = parametric_trend(genes) if trend == "parametric" else None
+    curve = _Trend(parametric=coefficients) if coefficients else _Trend(local=local_trend(genes))
+    variance, spread = _shrinkage(genes, curve, len(design.codes), len(design.levels))
+    model = _Model(table, design, curve, variance, spread)
+    return _final_fit(rows, genes, model), design.levels, model
+
+
+def refit(counts: DataFrame, model: _Model) -> DataFrame:
+    """Fit some features with the trend and prior of an earlier fit."""
+    rows = _stored_rows(counts, model.table, model.design)
+    return _final_fit(rows, _gene_table(rows, model.design), model)
+
+
+def fit_features(
+    counts: DataFrame,
+    samples: DataFrame,
+    factor: str,
+    factors: DataFrame,
+    trend: str = "parametric",
+) -> tuple[DataFrame, list[str]]:
+    """Dispersions, level means (natural log) and informations, one row per feature.
+
+    Returns the table and the level names in the order of the array columns.
+    """
+    fit, levels, _ = fit_model(counts, samples, factor, factors, trend)
+    return fit, levels
 
 
 def fit_at_dispersion(
@@ -530,13 +561,6 @@ def contrast_names(levels: Sequence[str]) -> list[tuple[str, str]]:
     return [(b, a) for a, b in combinations(levels, 2)]
 
 
-def _normal_tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        stat = pdf["stat"].to_numpy(dtype=float, na_value=np.nan)
-        p = np.array([math.erfc(abs(z) / math.sqrt(2)) if z == z else np.nan for z in stat])
-        yield pdf.assign(pvalue=p)
-
-
 def wald_tests(
     fit: DataFrame, levels: Sequence[str], contrasts: Sequence[tuple[str, str]] | None = None
 ) -> DataFrame:
@@ -580,8 +604,7 @@ def wald_tests(
         (lfc / se).alias("stat"),
         ((F.col("c.z1") != F.col("c.z0"))).alias("one_sided_zero"),
     )
-    schema = T.StructType([*tests.schema.fields, T.StructField("pvalue", T.DoubleType())])
-    return tests.mapInPandas(_normal_tail, schema)
+    return tests.withColumn("pvalue", two_sided(F.col("stat")))
 
 
 # ---------------------------------------------------------------- p-values and labels
