@@ -235,6 +235,27 @@ def bh_adjust_filtered(t: Tables):
     return out.select("feature", "comparison", F.round("base_mean_cutoff", 6).alias("base_mean_cutoff"), F.round("padj", 9).alias("padj"))
 
 
+_SMOOTHED = _FILTERED.replace(
+    " best AS (SELECT comparison, cut FROM hits QUALIFY row_number() OVER (PARTITION BY comparison ORDER BY hits DESC, k) = 1),",
+    """ near AS (SELECT a.comparison, a.k, (b.k - a.k)::DOUBLE AS x, abs(b.k - a.k)::DOUBLE AS d, b.hits::DOUBLE AS y,
+ row_number() OVER (PARTITION BY a.comparison, a.k ORDER BY abs(b.k - a.k), b.k) AS place FROM hits a JOIN hits b ON a.comparison = b.comparison),
+ weighed AS (SELECT *, CASE WHEN d < reach THEN pow(1 - pow(d / reach, 3), 3) ELSE 0 END AS w FROM (
+ SELECT *, MAX(d) FILTER (place <= 4) OVER (PARTITION BY comparison, k) AS reach FROM near)),
+ line AS (SELECT comparison, k, SUM(w) AS s, SUM(w * x) AS sx, SUM(w * x * x) AS sxx, SUM(w * y) AS sy, SUM(w * x * y) AS sxy FROM weighed GROUP BY 1, 2),
+ curve AS (SELECT h.*, (sxx * sy - sx * sxy) / (s * sxx - sx * sx) AS smooth FROM hits h JOIN line USING (comparison, k)),
+ level AS (SELECT comparison, MAX(smooth) - sqrt(coalesce(AVG(pow(hits - smooth, 2)) FILTER (hits > 0), 0)) AS level, MAX(hits) AS most FROM curve GROUP BY 1),
+ best AS (SELECT comparison, coalesce(arg_min(cut, k) FILTER (most > 10 AND hits > level), arg_min(cut, k)) AS cut FROM curve JOIN level USING (comparison) GROUP BY 1),""",
+)
+
+
+@query(with_tables("results_table", "SELECT * FROM filtered", filtered=_SMOOTHED))
+def bh_adjust_smoothed(t: Tables):
+    """Independent filtering at the cutoff chosen from the smoothed curve of rejections."""
+    rows = results_table(t).withColumn("base_mean", (F.substring_index("product", " ", -1).cast("bigint") % 500).cast("double"))
+    out = de.bh_adjust_filtered(rows, ["comparison"], smooth=True)
+    return out.select("feature", "comparison", F.round("base_mean_cutoff", 6).alias("base_mean_cutoff"), F.round("padj", 9).alias("padj"))
+
+
 @query(with_tables("results_table", "SELECT feature, comparison FROM a WHERE padj < 0.01", a=_PADJ))
 def significant_only(t: Tables):
     return de.significant_only(adjusted(t)).select("feature", "comparison")

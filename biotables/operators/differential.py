@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biotables.functions import ifelse_na
@@ -632,14 +632,54 @@ def bh_adjust(df: DataFrame, group: Sequence[str], p: str = "pvalue", name: str
     return key_join(df, adjusted, [*group, p], "left")
 
 
+def smoothed(curve: DataFrame, group: Sequence[str], at: str, y: str, neighbours: int) -> DataFrame:
+    """Adds ``__smooth``: a weighted line through the ``neighbours`` nearest points, read at the point, for curves of a few points.
+
+    Weights are tricube; the farthest neighbour has none. Points that stand alone keep their value.
+    """
+    group = list(group)
+    other = curve.select(*group, F.col(at).alias("__j"), F.col(y).cast("double").alias("__y"))
+    pairs = curve.select(*group, F.col(at).alias("__i")).join(other, group)
+    x = (F.col("__j") - F.col("__i")).cast("double")
+    near = Window.partitionBy(*group, "__i")
+    ranked = pairs.withColumn("__d", F.abs(x)).withColumn("__rank", F.row_number().over(near.orderBy("__d", "__j")))
+    reach = F.max(F.when(F.col("__rank") <= neighbours, F.col("__d"))).over(near)
+    r = F.col("__d") / F.nullif("__reach", F.lit(0.0))
+    weight = F.when(F.coalesce(r, F.lit(0.0)) < 1, F.pow(1 - F.pow(F.coalesce(r, F.lit(0.0)), F.lit(3.0)), F.lit(3.0))).otherwise(0.0)
+    sums = ranked.withColumn("__reach", reach).withColumn("__w", weight).groupBy(*group, "__i").agg(
+        *[F.sum(F.col("__w") * term).alias(n) for n, term in (
+            ("__s", F.lit(1.0)), ("__sx", x), ("__sxx", x * x), ("__sy", F.col("__y")), ("__sxy", x * F.col("__y"))
+        )]
+    )
+    det = F.col("__s") * F.col("__sxx") - F.col("__sx") * F.col("__sx")
+    line = (F.col("__sxx") * F.col("__sy") - F.col("__sx") * F.col("__sxy")) / det
+    fitted = F.when(det > 1e-9, line).otherwise(F.col("__sy") / F.col("__s"))
+    return curve.join(sums.select(*group, F.col("__i").alias(at), fitted.alias("__smooth")), [*group, at])
+
+
+def _smooth_cutoff(found: DataFrame, group: list[str], steps: int, span: float, few: int) -> DataFrame:
+    found = materialize(found, "rejections")  # a few rows for each group, read several times
+    curve = smoothed(found, group, "__step_no", "__hits", max(2, int(span * steps + 1e-9)))
+    gap = F.when(F.col("__hits") > 0, F.pow(F.col("__hits") - F.col("__smooth"), F.lit(2.0)))
+    level = curve.groupBy(*group).agg(
+        (F.max("__smooth") - F.sqrt(F.coalesce(F.avg(gap), F.lit(0.0)))).alias("__level"), F.max("__hits").alias("__most"),
+        F.min_by("__cut", "__step_no").alias("__lowest"),
+    )
+    over = curve.join(level, group).filter((F.col("__most") > few) & (F.col("__hits") > F.col("__level")))
+    first = over.groupBy(*group).agg(F.min_by("__cut", "__step_no").alias("__first"))
+    return level.join(first, group, "left").select(*group, F.coalesce("__first", "__lowest").alias("base_mean_cutoff"))
+
+
 def bh_adjust_filtered(
-    df: DataFrame, group: Sequence[str], base_mean: str = "base_mean", p: str = "pvalue", alpha: float = 0.1, steps: int = 20, name: str = "padj"
+    df: DataFrame, group: Sequence[str], base_mean: str = "base_mean", p: str = "pvalue", alpha: float = 0.1, steps: int = 20, name: str = "padj",
+    smooth: bool = False, span: float = 0.2, few: int = 10,
 ) -> DataFrame:
     """Adjusted p-values after independent filtering on the base mean, per group.
 
     The cutoffs tried are the quantiles 0, 1/steps, 2/steps, ... of the base mean; the one with the most adjusted p-values
-    below ``alpha`` is taken, the lowest of several. Rows below it get NULL. The published software smooths
-    the counts of rejections over the cutoffs before it chooses; that is left out. Every row is
+    below ``alpha`` is taken, the lowest of several. With ``smooth`` the curve of rejections is smoothed first (:func:`smoothed`) and
+    the lowest cutoff is taken whose rejections exceed the top of the smooth curve less its residual spread; a curve of
+    at most ``few`` rejections keeps the lowest cutoff. Rows below the cutoff get NULL. Every row is
     counted once per cutoff it passes, so the work is ``steps`` times that of one adjustment.
     """
     group = list(group)
@@ -657,7 +697,10 @@ def bh_adjust_filtered(
     found = ranked.groupBy(*group, "__step_no", "__cut").agg(
         F.max(F.when(F.col(p) * F.col("__m") / F.col("__rank") < alpha, F.col("__rank")).otherwise(0)).alias("__hits")
     )
-    best = found.groupBy(*group).agg(F.max_by("__cut", F.struct("__hits", -F.col("__step_no"))).alias("base_mean_cutoff"))
+    if smooth:
+        best = _smooth_cutoff(found, group, steps, span, few)
+    else:
+        best = found.groupBy(*group).agg(F.max_by("__cut", F.struct("__hits", -F.col("__step_no"))).alias("base_mean_cutoff"))
     kept = df.join(best, group, "left").withColumn("__p", F.when(F.col(base_mean) >= F.col("base_mean_cutoff"), F.col(p)))
     return bh_adjust(kept, group, "__p", name).drop("__p")
 

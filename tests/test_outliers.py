@@ -76,3 +76,18 @@ def test_planted_outliers_are_flagged_or_replaced(spark):
     for f in (3, 7):
         assert found[f].dispersion < before[f].dispersion / 3
     assert all(found[f].beta == pytest.approx(before[f].beta) for f in found if f not in (3, 7))
+
+
+@pytest.mark.parametrize("neighbours", [2, 4, 9])
+def test_smoothed_curve_equals_a_plain_loop(spark, neighbours):
+    y = [5.0, 9, 4, 30, 31, 2, 0, 0, 7, 8]
+    curve = spark.createDataFrame([("g", i, v) for i, v in enumerate(y)] + [("alone", 3, 6.0)], "g string, at int, y double")
+    got = {(r.g, r["at"]): r["__smooth"] for r in de.smoothed(curve, ["g"], "at", "y", neighbours).collect()}
+    assert got["alone", 3] == 6.0
+    for i in range(len(y)):
+        far = sorted(abs(j - i) for j in range(len(y)))[neighbours - 1]
+        w = np.array([max(0.0, 1 - (abs(j - i) / far) ** 3) ** 3 for j in range(len(y))])
+        x = np.arange(len(y)) - i
+        det = w.sum() * (w * x * x).sum() - (w * x).sum() ** 2
+        want = ((w * x * x).sum() * (w * y).sum() - (w * x).sum() * (w * x * y).sum()) / det if det > 1e-9 else (w * y).sum() / w.sum()
+        assert got["g", i] == pytest.approx(want)
