@@ -81,7 +81,7 @@ def test_planted_outliers_are_flagged_or_replaced(spark):
 @pytest.mark.parametrize("neighbours", [2, 4, 9])
 def test_smoothed_curve_equals_a_plain_loop(spark, neighbours):
     y = [5.0, 9, 4, 30, 31, 2, 0, 0, 7, 8]
-    curve = spark.createDataFrame([("g", i, v) for i, v in enumerate(y)] + [("alone", 3, 6.0)], "g string, at int, y double")
+    curve = spark.createDataFrame([("g", i, float(v)) for i, v in enumerate(y)] + [("alone", 3, 6.0)], "g string, at int, y double")
     got = {(r.g, r["at"]): r["__smooth"] for r in de.smoothed(curve, ["g"], "at", "y", neighbours).collect()}
     assert got["alone", 3] == 6.0
     for i in range(len(y)):
