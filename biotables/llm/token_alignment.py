@@ -95,13 +95,14 @@ class Sides:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(side_a), sentencepiece.SentencePieceProcessor(model_file=side_b)
-        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=side_b)
+        with open(side_a) as file:
+            made = json.load(file)
+        vocabulary = made["model"]["vocab"] | {t["content"]: t["id"] for t in made.get("added_tokens") or []}
         byte_of = {c: b for b, c in enumerate(byte_table())}
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
@@ -109,20 +110,24 @@ class Sides:
         ]
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         # words may be cut only if no piece reaches over a word's start, and if A cuts there as well
-        with open(side_a) as file:
-            made = json.load(file)
         before = made.get("pre_tokenizer") or {}
         self.cuts = (
             not any(re.search("[^▁]▁", p) for p in pieces)
             and made.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         )
         # where ids rise in the order of the merges, they are the ranks that the faster library reads
-        merged = [self.a.token_to_id("".join(m)) for m in (x.split(" ") if isinstance(x, str) else x for x in made["model"]["merges"])]
-        ranked = len(merged) + 256 == len(made["model"]["vocab"]) and merged == sorted(merged) and min(merged, default=256) >= 256
-        self.fast = None
+        ids = made["model"]["vocab"]
+        merged = [ids.get("".join(m), -1) for m in (x.split(" ") if isinstance(x, str) else x for x in made["model"]["merges"])]
+        ranked = len(merged) + 256 == len(ids) and merged == sorted(merged) and min(merged, default=256) >= 256
+        self.fast = self.a = None
         if self.cuts and ranked:
-            ranks = {self.a_bytes[i]: i for i in made["model"]["vocab"].values()}
+            ranks = {self.a_bytes[i]: i for i in ids.values()}
             self.fast = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        else:
+            from tokenizers import Tokenizer
+
+            self.a = Tokenizer.from_file(side_a)
+            self.a.encode_special_tokens = True
         names = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.digits = np.frombuffer(b"".join(names), np.uint8), np.concatenate([[0], np.cumsum([len(n) for n in names])])
         self.known: dict[str, tuple] = {}
