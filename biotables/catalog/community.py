@@ -153,10 +153,10 @@ _PAIR_DISTANCES = {
 }
 
 
-@query(with_tables("sample_counts", "SELECT a AS id_a, b AS id_b, round(dist, 6) AS dist FROM pairs WHERE a < b AND dist <= 0.8", **_PAIR_DISTANCES))
+@query(with_tables("sample_counts", "SELECT a AS id_a, b AS id_b, round(dist, 6) AS dist FROM pairs WHERE a < b AND dist <= 0.98", **_PAIR_DISTANCES))
 def bray_curtis_within(t: Tables):
-    """Pairs of samples with a dissimilarity of at most 0.8."""
-    return near.bray_curtis_within(sample_counts(t), 0.8).withColumn("dist", F.round("dist", 6))
+    """Pairs of samples with a dissimilarity of at most 0.98."""
+    return near.bray_curtis_within(sample_counts(t), 0.98).withColumn("dist", F.round("dist", 6))
 
 
 @query(with_tables("sample_counts", """SELECT a AS sample, rank, b AS neighbour, round(dist, 6) AS dist FROM (SELECT *,
