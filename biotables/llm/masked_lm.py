@@ -7,11 +7,15 @@ the word among the words of its entry, so the sum is a log-probability of words.
 
 What it learns comes from all documents: the most frequent words have an entry of their own (share 1), the rest share
 hashed entries. A word that all texts hold n times has the share n / (N + 1) of an entry whose words they hold N times;
-what is left, 1 / (N + 1), is for words that no text holds. N is a fixed array; the counts of all words stay a Spark table,
-and every distinct word of a text meets its count in a join. Every task runs one pass of gradient steps over its
-texts, starting from the same warm model; the task models are averaged by their words. The warm model is
-fitted on at most ``warm_docs`` documents in hash order of the id, at most ``WARM_WORDS`` words of each,
-and only serves as the common start.
+what is left, 1 / (N + 1), is for words that no text holds. N is a fixed array. The counts of all words stay a Spark table:
+the ``frequent`` most frequent words (a bound, counted in whole classes of counts) travel with the scoring pass, and every
+other distinct word of a text meets its count in a join.
+
+Training runs in ``ROUNDS`` of growing shares of the texts, each text in one of them. Texts are cut into pieces of ``PIECE``
+words that carry ``SIDE`` words beyond their borders; equal pieces are one row with a weight. A hash of the piece decides its
+round and its unit (about ``UNIT_WORDS`` words, so units grow in number with the input); a unit goes through its pieces in
+hash order from the model of the round before, and the models and step sizes of all units are averaged by their
+words in two levels. Nothing of it depends on how the rows are partitioned, but for rounding.
 
 Defined cases: null text is empty; an empty text has 0 words and log-probability 0; places outside the
 text are a symbol of their own, so a single word is predicted from four of them; repeated rows are scored
@@ -24,13 +28,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biotables.llm.columns import cut_points, table, text_bytes
 from biotables.llm.ngram_jaccard import U, mix, word_hashes
-from biotables.session import materialize
+from biotables.session import materialize, task_count
 
 SIDE = 2
 CLASSES, PER_CLASS = 64, 64
@@ -40,24 +45,39 @@ SHARED = ENTRIES - OWN  # a power of two
 OUTSIDE = ENTRIES  # context symbol beyond the text
 WIDTH, HIDDEN = 8, 16
 RATE, GROUP = 0.05, 8192
-WARM_DOCS, WARM_WORDS = 400, 2000
+LEAST_GROUP = 512  # a step takes an eighth of the words seen so far, within these two bounds
+ROUNDS = (1, 4, 16)  # sixteenths of the texts that have been used after each round
+PIECE, UNIT_WORDS, SLAB = 1 << 14, 1 << 21, 1 << 17
+FREQUENT = 1 << 18
+BLOCK = 1 << 12  # weights in one message
 WORK_BYTES = 1 << 20
 
 
 @dataclass
 class Vocabulary:
-    """Hashes of the ``OWN`` most frequent words, most frequent first; words of each shared entry in all texts; and
-    the table of all words with their counts (word, n)."""
+    """Hashes of the ``OWN`` most frequent words, most frequent first; words of each shared entry in all texts; hashes of
+    frequent words in order and their counts; the table of the other words with theirs (word, n); words of all texts."""
 
     own: np.ndarray
     totals: np.ndarray
+    frequent: np.ndarray
+    times: np.ndarray
     counts: DataFrame
+    words: int
+
+    def logs(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithm of the count of each word, 0 if it is not a frequent one; and whether it is."""
+        if not len(self.frequent):
+            return np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
+        found = self.frequent[at] == hashes
+        return np.where(found, np.log(self.times[at]), 0.0), found
 
     def __len__(self) -> int:
         return len(self.own)
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+def vocabulary(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> Vocabulary:
     """Word counts of all texts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +98,20 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     for entry, n in counts.groupBy(F.col("word").bitwiseAND(F.lit(SHARED - 1)).alias("entry")).agg(F.sum("n")).collect():
         totals[entry] = n
     np.subtract.at(totals, (own % U(SHARED)).astype(np.int64), np.array([r["n"] for r in top], np.int64))
-    return Vocabulary(own, totals, counts)
+    # whole classes of counts, from the highest, as long as they hold no more than the bound
+    level = F.floor(8 * F.log2("n"))
+    sizes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")).collect()
+    held, lowest = 0, None
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        held += r["size"]
+        if held > frequent:
+            break
+        lowest = r["level"]
+    chosen = counts.where(level >= lowest if lowest is not None else F.lit(False)).toArrow()
+    word, times = chosen.column("word").to_numpy().view(U), chosen.column("n").to_numpy()
+    order = np.argsort(word)
+    rest = counts.where(level < lowest) if lowest is not None else counts
+    return Vocabulary(own, totals, word[order], times[order], rest, int(sum(r["n"] for r in sizes)))
 
 
 class Network:
@@ -131,8 +164,8 @@ class Network:
             out[s] += self.exponentials(h[s] @ ww[c] + bw[c], inner[s])[2]
         return out
 
-    def step(self, context: np.ndarray, word: np.ndarray, square: list[np.ndarray]) -> None:
-        """One adaptive gradient step; words must be sorted by class."""
+    def step(self, context: np.ndarray, word: np.ndarray, weight: np.ndarray, square: list[np.ndarray]) -> None:
+        """One adaptive gradient step; words must be sorted by class, and count ``weight`` times."""
         embed, w, b, wc, bc, ww, bw = self.parts
         x, h = self.hidden(context)
         group, inner = word // PER_CLASS, word % PER_CLASS
@@ -140,6 +173,7 @@ class Network:
         e, total, _ = self.exponentials(h @ wc + bc, group)
         e /= total[:, None]
         e[at, group] -= 1
+        e *= weight[:, None]
         dh = e @ wc.T
         grads = [None, None, None, h.T @ e, e.sum(axis=0), np.zeros_like(ww), np.zeros_like(bw)]
         edges = np.searchsorted(group, np.arange(CLASSES + 1))
@@ -148,6 +182,7 @@ class Network:
             f, total, _ = self.exponentials(h[s] @ ww[c] + bw[c], inner[s])
             f /= total[:, None]
             f[np.arange(edges[c + 1] - edges[c]), inner[s]] -= 1
+            f *= weight[s, None]
             grads[5][c], grads[6][c] = h[s].T @ f, f.sum(axis=0)
             dh[s] += f @ ww[c].T
         dz = dh * (1 - h * h)
@@ -179,12 +214,6 @@ def entries(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return place % CLASSES * PER_CLASS + place // CLASSES
 
 
-def text_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A number for each row that depends on its words alone."""
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(hashes), dtype=U)])
-    return (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
-
-
 def of_words(hashes: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context entries and entry of every word, and its row; ``first`` is the first word of each row."""
     word = entries(hashes, known)
@@ -198,16 +227,15 @@ def of_words(hashes: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[
     return context, word, row
 
 
-def examples(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return of_words(*word_hashes(data, offsets), known)
-
-
-def learn(net: Network, context: np.ndarray, word: np.ndarray, square: list[np.ndarray], seed: int) -> None:
-    order = np.random.default_rng(seed).permutation(len(word))
-    for a in range(0, len(order), GROUP):
-        some = order[a : a + GROUP]
+def learn(net: Network, context: np.ndarray, word: np.ndarray, weight: np.ndarray, square: list[np.ndarray], seen: int) -> None:
+    """Steps over the words in a fixed random order; ``seen`` words went into the model before."""
+    order = np.random.default_rng(seen).permutation(len(word))
+    a = 0
+    while a < len(order):
+        some = order[a : a + min(GROUP, max(LEAST_GROUP, (seen + a) // 8))]
+        a += len(some)
         some = some[np.argsort(word[some], kind="stable")]
-        net.step(context[some], word[some], square)
+        net.step(context[some], word[some], weight[some], square)
 
 
 def grouped(rows: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -217,68 +245,138 @@ def grouped(rows: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
         yield (part, *text_bytes(part.column(column)))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", warm_docs: int = WARM_DOCS) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network from all documents."""
-    words_of_all = vocabulary(docs, text_col)
-    known = words_of_all.own
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    picked = rows.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(warm_docs)
+def pieces(docs: DataFrame, known: np.ndarray, text_col: str = "text") -> DataFrame:
+    """words, n: every different piece of the texts as entries of two bytes, and how often it occurs."""
 
-    def head(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for _, data, offsets in grouped(batch, 1):
+            for _, data, offsets in grouped(batch, 0):
                 hashes, first = word_hashes(data, offsets)
-                out = [hashes[a : min(b, a + WARM_WORDS)].tobytes() for a, b in zip(first, first[1:])]
+                word = entries(hashes, known).astype("<u2")
+                edge = np.full(SIDE, OUTSIDE, "<u2")
+                out = []
+                for a, b in zip(first, first[1:]):
+                    if a < b:
+                        row = np.concatenate([edge, word[a:b], edge])
+                        out += [row[k : k + PIECE + 2 * SIDE].tobytes() for k in range(0, b - a, PIECE)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
 
-    # at most warm_docs ids
-    sample = sorted(bytes(r[0]) for r in rows.join(F.broadcast(picked), "id").select("id", "text").mapInArrow(head, "words binary").collect())
-    start = Network()
-    square = [np.full_like(p, 1e-3) for p in start.parts]
-    for epoch in range(2):
-        for i in range(0, len(sample), 100):
-            words = [np.frombuffer(s, U) for s in sample[i : i + 100]]
-            first = np.concatenate([[0], np.cumsum([len(x) for x in words])])
-            context, word, _ = of_words(np.concatenate(words) if words else np.zeros(0, U), first, known)
-            learn(start, context, word, square, epoch * 1000 + i)
-    flat = start.flat()
+    cut = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "words binary")
+    return cut.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
+
+
+def of_pieces(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context entries, entry and weight of every word of the pieces."""
+    many = np.array([len(w) // 2 for w in words])
+    flat = np.frombuffer(b"".join(words), "<u2").astype(np.int64)
+    ends = np.cumsum(many)
+    at = np.concatenate([np.arange(e - m + SIDE, e - SIDE) for e, m in zip(ends, many)])
+    context = np.stack([flat[at + shift] for shift in [*range(-SIDE, 0), *range(1, SIDE + 1)]], axis=1)
+    return context, flat[at], np.repeat(counts.astype(np.float32), many - 2 * SIDE)
+
+
+def sums(blocks: DataFrame, *keys: str) -> DataFrame:
+    """Messages (block, payload) added up for each group of keys."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(p, np.float64) for p in group["payload"]], axis=0)
+        return pd.DataFrame({"block": group["block"].iloc[:1], "payload": [total.tobytes()]})
+
+    return blocks.groupBy(*keys).applyInPandas(add, "block int, payload binary")
+
+
+def one_round(rows: DataFrame, units: int, state: np.ndarray, seen: int) -> np.ndarray:
+    """Weights and squares after the units of a round (unit, at, words, n), and the words of them all."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = Network.of(flat), 0
-        own = [q.copy() for q in square]
+        size = len(state) // 2
+        total, unit, held, counts, filled = None, None, [], [], 0
+        net, square, used, weighed = None, None, 0, 0.0
+
+        def work() -> None:
+            nonlocal held, counts, filled, used, weighed
+            if held:
+                context, word, weight = of_pieces(held, np.array(counts))
+                learn(net, context, word, weight, square, seen + used)
+                used, weighed = used + len(word), weighed + float(weight.sum(dtype=np.float64))
+            held, counts, filled = [], [], 0
+
+        def close() -> None:
+            nonlocal total
+            work()
+            if unit is not None:
+                now = np.concatenate([net.flat(), *(q.ravel() for q in square), np.ones(1)]).astype(np.float64) * weighed
+                total = now if total is None else total + now
+
         for batch in parts:
-            for _, data, offsets in grouped(batch, 0):
-                context, word, _ = examples(data, offsets, known)
-                learn(net, context, word, own, seen)
-                seen += len(word)
-        if seen:
-            moved = net.flat().astype(np.float64) * seen
-            at = np.arange(len(moved) + 1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(moved, float(seen)))], ["cell", "total"])
-
-    totals = rows.select("text").mapInArrow(run, "cell int, total double").groupBy("cell").agg(F.sum("total").alias("total")).collect()
-    if totals:
-        mean = np.zeros(len(flat) + 1)
-        for cell, total in totals:
-            mean[cell] = total
-        flat = (mean[:-1] / mean[-1]).astype(np.float32)
-    return words_of_all, Network.of(flat)
+            for u, words, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if u != unit:
+                    close()
+                    unit, net, used, weighed = u, Network.of(state[:size]), 0, 0.0
+                    square = Network.of(state[size:]).parts
+                held.append(words.as_py())
+                counts.append(n)
+                filled += len(held[-1]) // 2
+                if filled >= SLAB:
+                    work()
+        close()
+        if total is not None:
+            cut = range(0, len(total), BLOCK)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(len(cut)), pa.int32()), pa.array(np.full(len(cut), unit % 64), pa.int32()),
+                    pa.array([total[k : k + BLOCK].tobytes() for k in cut], pa.binary()),
+                ],
+                ["block", "part", "payload"],
+            )
+
+    # steps cost much for few bytes, so partitions of the same number are not merged by size
+    placed = rows.repartition(task_count(rows.sparkSession, units), "unit").sortWithinPartitions("unit", "at", "words").select("unit", "words", "n")
+    sent = placed.mapInArrow(run, "block int, part int, payload binary")
+    # a fixed number of blocks, whatever the input
+    found = sorted(sums(sums(sent, "block", "part"), "block").collect())
+    return np.concatenate([np.frombuffer(r["payload"], np.float64) for r in found]) if found else np.zeros(0)
+
+
+def train(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]:
+    """Vocabulary and network from all documents."""
+    known = vocabulary(docs, text_col)
+    at = F.xxhash64("words")
+    turn = F.pmod(at, F.lit(ROUNDS[-1]))
+    number = F.lit(0)
+    for r, end in enumerate(ROUNDS[:-1], 1):
+        number = F.when(turn >= end, r).otherwise(number)
+    rows = materialize(pieces(docs, known.own, text_col).select("words", "n", at.alias("at"), number.alias("round")), "pieces")
+    size = F.sum(F.expr(f"length(words) div 2 - {2 * SIDE}")).alias("words")
+    sizes = {r["round"]: r["words"] for r in rows.groupBy("round").agg(size).collect()}
+    start = Network()
+    state = np.concatenate([start.flat(), *(np.full(p.size, 1e-3, np.float32) for p in start.parts)])
+    seen = 0
+    for r in range(len(ROUNDS)):
+        if sizes.get(r):
+            units = -(-sizes[r] // UNIT_WORDS)
+            some = rows.where(F.col("round") == r).withColumn("unit", F.pmod(F.shiftright("at", 8), F.lit(units)).cast("int"))
+            found = one_round(some, units, state, seen)
+            state = (found[:-1] / found[-1]).astype(np.float32)
+            seen += sizes[r] // units
+    return known, Network.of(state[: len(state) // 2])
 
 
 def shares(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> DataFrame:
-    """key, log_counts: sum of the logarithms of the counts of all words in shared entries, once for equal texts."""
-    own = known.own
+    """key, log_counts: sum of the logarithms of the counts of all words that are not frequent, once for equal texts."""
+    light = Vocabulary(known.own, known.totals, known.frequent, known.times, None, known.words)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for _, data, offsets in grouped(batch, 0):
                 hashes, first = word_hashes(data, offsets)
-                key = text_keys(hashes, first)
+                row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                some = ~light.logs(hashes)[1] & (places(hashes, light.own) >= OWN)
+                word, row = hashes[some], row[some]
+                key = rare_keys(word, row, len(first) - 1)
                 lead = np.zeros(len(key), bool)
                 lead[np.unique(key, return_index=True)[1]] = True
-                row = np.repeat(np.arange(len(key)), np.diff(first))
-                some = lead[row] & (places(hashes, own) >= OWN)
-                word, row = hashes[some], row[some]
+                word, row = word[lead[row]], row[lead[row]]
                 order = np.lexsort((word, row))
                 word, row = word[order], row[order]
                 new = np.ones(len(word), bool)
@@ -293,19 +391,27 @@ def shares(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> DataFr
 
     met = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, key long, times int, copy int")
     # a count of one adds nothing
-    counts = known.counts.where("n > 1").hint("shuffle_hash")
-    return met.join(counts, "word", "left").groupBy("key").agg((F.sum(F.expr("times * ln(coalesce(n, 1))")) / F.sum("copy")).alias("log_counts"))
+    met = met.join(known.counts.where("n > 1"), "word", "left")
+    return met.groupBy("key").agg((F.sum(F.expr("times * ln(coalesce(n, 1))")) / F.sum("copy")).alias("log_counts"))
+
+
+def rare_keys(word: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """A number for each row that depends on its words alone; 0 without words."""
+    sums_of = np.zeros(rows, U)
+    np.add.at(sums_of, row, mix(word))
+    return sums_of.view(np.int64)
 
 
 def score(docs: DataFrame, known: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_prob (sum over all words) of every row."""
-    own, rest = known.own, np.log1p(known.totals)
+    rest = np.log1p(known.totals)
+    light = Vocabulary(known.own, known.totals, known.frequent, known.times, None, known.words)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for part, data, offsets in grouped(batch, 1):
                 hashes, first = word_hashes(data, offsets)
-                context, word, row = of_words(hashes, first, own)
+                context, word, row = of_words(hashes, first, light.own)
                 value = np.zeros(len(word))
                 for a in range(0, len(word), GROUP):
                     s = np.arange(a, min(len(word), a + GROUP))
@@ -313,12 +419,14 @@ def score(docs: DataFrame, known: Vocabulary, net: Network, id_col: str = "doc_i
                     value[s] = net.log_prob(context[s], word[s])
                 place = word % PER_CLASS * CLASSES + word // PER_CLASS
                 shared = place >= OWN
-                value[shared] -= rest[place[shared] - OWN]
+                logs, found = light.logs(hashes[shared])
+                value[shared] += logs - rest[place[shared] - OWN]
+                rare = np.flatnonzero(shared)[~found]
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array(np.bincount(row, minlength=n).astype(np.int64)),
-                        pa.array(np.bincount(row, weights=value, minlength=n).astype(np.float64)), pa.array(text_keys(hashes, first)),
+                        pa.array(np.bincount(row, weights=value, minlength=n).astype(np.float64)), pa.array(rare_keys(hashes[rare], row[rare], n)),
                     ],
                     ["doc_id", "n_words", "log_prob", "key"],
                 )

@@ -1,5 +1,6 @@
 """Text operators against plain loops, SQL on the given tables, and odd inputs."""
 
+from collections import Counter
 import hashlib
 import os
 import random
@@ -439,6 +440,41 @@ def test_order_of_words_counts(spark):
     assert len(known) == 0 and masked_lm.score(docs.limit(0), known, net).count() == 0
 
 
+def test_scores_do_not_depend_on_partitions_and_equal_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "UNIT_WORDS", 4000)
+    monkeypatch.setattr(masked_lm, "PIECE", 700)
+    rnd, count_all = random.Random(12), masked_lm.vocabulary
+    base = [" ".join(f"w{int(rnd.paretovariate(0.5)) % 9000}" for _ in range(rnd.randrange(1, 300))) for _ in range(120)]
+    texts = [*base, *base[:30], *[base[3]] * 40, None, "", " ".join(f"v{k % 211}" for k in range(5000))]
+    docs = docs_of(spark, texts)
+    both = []
+    for parts, frequent in ((1, 1 << 18), (7, 300)):
+        known = count_all(docs.repartition(parts), frequent=frequent)
+        assert len(known.frequent) <= frequent and (known.counts.count() > 0) == (frequent == 300)
+        monkeypatch.setattr(masked_lm, "vocabulary", lambda *_, k=known: k)
+        known, net = masked_lm.train(docs.repartition(parts))
+        both.append({r.doc_id: r for r in masked_lm.score(docs.repartition(parts), known, net).collect()})
+    for i, a in both[0].items():
+        assert a.n_words == both[1][i].n_words == len((texts[i] or "").split())
+        assert abs(a.log_prob - both[1][i].log_prob) <= 1e-3 * a.n_words
+    # the whole sum from counts and one word at a time
+    n = Counter(w for t in texts for w in (t or "").split())
+    hashed = {w: masked_lm.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0] for w in n}
+    entry_of = {w: int(masked_lm.entries(h, known.own)[0]) for w, h in hashed.items()}
+    held, single = Counter(), {w for w in n if int(masked_lm.places(hashed[w], known.own)[0]) < masked_lm.OWN}
+    for w in n:
+        held[entry_of[w]] += n[w]
+    for i in (0, 5, 60, 149, 150, len(texts) - 1):
+        words = (texts[i] or "").split()
+        line = [masked_lm.OUTSIDE] * 2 + [entry_of[w] for w in words] + [masked_lm.OUTSIDE] * 2
+        want = 0.0
+        for k, w in enumerate(words):
+            context = np.array([[line[k], line[k + 1], line[k + 3], line[k + 4]]])
+            want += float(net.log_prob(context, np.array([entry_of[w]]))[0])
+            want += 0.0 if w in single else np.log(n[w] / (held[entry_of[w]] + 1))
+        assert abs(want - both[1][i].log_prob) < 1e-3 * max(1, len(words))
+
+
 def test_words_of_an_entry_share_its_probability(spark):
     rnd = random.Random(7)
     often = {f"w{k}": 5 if k < masked_lm.OWN else 1 + k % 3 for k in range(7000)}
