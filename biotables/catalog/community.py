@@ -279,6 +279,22 @@ def hclust_leaf_check(t: Tables):
     )
 
 
+@query(with_tables("taxon_gene_counts", """SELECT (SELECT count(*) - 1 FROM sizes)::BIGINT AS merges, 0::BIGINT AS wrong_heights, count(*) AS joined_pairs,
+ round(min(d), 6) AS lowest, round(sum(d), 4) AS height_sum FROM dist""", **{k: _TAXON_DIST[k] for k in ("sizes", "overlap", "dist")}))
+def hclust_check(t: Tables):
+    """Each height is the mean distance of the leaves that the merge brings together; all pairs are joined once."""
+    dist = materialize(taxon_distances(t), "taxon-distances")
+    merges = materialize(clustering.average_linkage(dist), "taxon-merges")
+    joined = clustering.cophenetic(merges, dist).groupBy("merge_left", "size").agg(
+        F.count(F.lit(1)).alias("pairs"), F.avg("dist").alias("mean"), F.first("height").alias("height")
+    )
+    wrong = F.round(F.abs(F.col("mean") - F.col("height")), 9) != 0
+    return joined.agg(
+        F.count(F.lit(1)).alias("merges"), F.count_if(wrong).alias("wrong_heights"), F.sum("pairs").alias("joined_pairs"),
+        F.round(F.min("height"), 6).alias("lowest"), F.round(F.sum(F.col("height") * F.col("pairs")), 4).alias("height_sum"),
+    )
+
+
 @query()
 def hclust_leaf_order(t: Tables):
     """Left-to-right order of the dendrogram leaves."""

@@ -169,6 +169,35 @@ def test_clustering_equals_naive(spark):
     assert [r[0] for r in order] == list(range(1, 17)) and len({r[1] for r in order}) == 16
 
 
+def test_clustering_with_ties_writes_in_proportion_to_pairs(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    spots = rnd.integers(0, 5, (40, 2))  # many equal places and equal distances
+    data = [(a, b, float(abs(spots[a] - spots[b]).sum())) for a in range(40) for b in range(a + 1, 40)]
+    dist = spark.createDataFrame(data, "id_a long, id_b long, dist double")
+    written, plain = [], clustering.materialize
+
+    def counted(df, label):
+        out = plain(df, label)
+        written.append(out.count() if label == "links" else 0)
+        return out
+
+    monkeypatch.setattr(clustering, "materialize", counted)
+    merges = plain(clustering.average_linkage(dist), "t")
+    assert merges.count() == 39 and sum(written) <= 4 * len(data)
+    found = rows(clustering.cophenetic(merges, dist), "id_a", "id_b", "dist", "merge_left", "size", "height")
+    assert sorted((a, b, d) for a, b, d, *_ in found) == sorted(data)
+    groups = {}
+    for _, _, d, name, size, height in found:
+        groups.setdefault((name, size, height), []).append(d)
+    assert len(groups) == 39 and all(abs(np.mean(ds) - key[2]) < 1e-9 for key, ds in groups.items())
+
+
+def test_clustering_of_nothing_and_of_one_pair(spark):
+    schema = "id_a long, id_b long, dist double"
+    assert clustering.average_linkage(spark.createDataFrame([], schema)).count() == 0
+    assert rows(clustering.average_linkage(spark.createDataFrame([(2, 1, 0.5)], schema))) == [(1, 2, 0.5, 2, 1, 1)]
+
+
 def test_tied_clusters_pair_off_together(spark):
     data = [(a, b, 1.0) for a in range(14) for b in range(a + 1, 14)]
     dist = spark.createDataFrame(data, "id_a long, id_b long, dist double")
