@@ -15,7 +15,7 @@ from biotables.catalog.bindings import (
 )
 from biotables.catalog.registry import Tables, query
 from biotables.functions import strict_sum
-from biotables.operators import totals
+from biotables.operators import observed, totals
 from biotables.plans.bins import taxa_tally as tally
 from biotables.plans.expression import SUBSTRATES
 
@@ -90,6 +90,38 @@ def row_reconcile(t: Tables):
     ).withColumn("reconciled", F.col("n_left") + F.col("n_right") == F.col("n_merged"))
 
 
+def _one_row(t: Tables, values: dict):
+    """Observed metrics as a table of one row."""
+    return t.spark.range(1).select(*[F.lit(v).cast("boolean" if isinstance(v, bool) else "bigint").alias(n) for n, v in values.items()])
+
+
+@query("""SELECT (SELECT COUNT(*) FROM customer) AS n_left, (SELECT COUNT(*) FROM supplier) AS n_right,
+ (SELECT COUNT(*) FROM customer) + (SELECT COUNT(*) FROM supplier) AS n_merged, true AS reconciled""")
+def row_reconcile_observed(t: Tables):
+    """Reconciliation of a stacked table that is stored: the counts come with the write."""
+    left = t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    right = t.supplier.select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    _, seen = observed.store_stacked({"left": left, "right": right}, "stacked")
+    return _one_row(t, seen)
+
+
+@query(with_tables("locus_wide", f"""SELECT COUNT(*) AS n_rows, {", ".join(
+    f'COUNT(*) FILTER ("{s}" IS NULL) AS "null_{s}"' for s in SUBSTRATES)}, {", ".join(
+    f'COUNT(*) FILTER ("{s}" = 0) AS "zero_{s}"' for s in SUBSTRATES)} FROM locus_wide"""))
+def quality_flags_observed(t: Tables):
+    """Missing and zero cells of every count column, observed while the table of loci is stored."""
+    _, seen = observed.store_observed(locus_wide(t), "loci", observed.quality_metrics(SUBSTRATES, SUBSTRATES))
+    return _one_row(t, seen)
+
+
+@query("""SELECT COUNT(*) AS n_rows, COUNT(*) - (SELECT COUNT(*) FROM
+ (SELECT DISTINCT l_suppkey, l_partkey, l_quantity FROM lineitem)) AS n_duplicated, true AS any_duplicated FROM lineitem""")
+def dup_count_observed(t: Tables):
+    """Repeats of each key, observed while the distinct keys are stored."""
+    _, seen = observed.store_unique(t.lineitem, ["l_suppkey", "l_partkey", "l_quantity"], "keys")
+    return _one_row(t, seen)
+
+
 @query("SELECT COUNT(*) FILTER (l_quantity > 45 AND l_discount > 0.05) AS n_enriched FROM lineitem")
 def count_where(t: Tables):
     hit = (F.col("l_quantity") > 45) & (F.col("l_discount") > 0.05)

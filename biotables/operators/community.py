@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from biotables.functions import any_not_null, unite
+from biotables.operators.borders import with_buckets
 from biotables.operators.joins import key_join
 from biotables.operators.reshape import full_grid, pivot_longer
 from biotables.operators.totals import running_total, share_of_group
@@ -164,8 +165,9 @@ def rarefy(counts: DataFrame, seed: int = 81, slot_draws: int = 20_000) -> DataF
         .groupBy("sample", "feature")
         .agg(F.sum("count").alias("count"))
         .withColumn("__h", F.md5(F.col("feature").cast("string")))
-        .withColumn("__bucket", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
     )
+    # 52 bits of the hash are exact in the double that orders the buckets
+    cells = with_buckets(cells, ["sample"], F.conv(F.substring("__h", 1, 13), 16, 10).cast("bigint"))
     placed = running_total(cells, ["sample"], "__bucket", ["__h", "feature"], "count", "__end")
     sizes = cells.groupBy("sample").agg(
         F.sum("count").alias("total"), F.count(F.lit(1)).alias("n_features")

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from biotables.functions import ifelse_na
 from biotables.functions.normal import two_sided
+from biotables.operators.borders import with_buckets
 from biotables.operators.joins import key_join
 from biotables.operators.reshape import dense_index
-from biotables.operators.totals import exact_quantiles, later_minimum, running_total, value_bucket
+from biotables.operators.totals import exact_quantiles, later_minimum, running_total
 from biotables.session import materialize, task_count
 
 MIN_DISPERSION = 1e-8
@@ -617,12 +618,8 @@ def bh_adjust(df: DataFrame, group: Sequence[str], p: str = "pvalue", name: str
     per bucket of p, so one huge comparison is spread over many tasks.
     """
     group = list(group)
-    spread = (
-        df.filter(F.col(p).isNotNull())
-        .groupBy(*group, p)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__bucket", value_bucket(p))
-    )
+    spread = df.filter(F.col(p).isNotNull()).groupBy(*group, p).agg(F.count(F.lit(1)).alias("__n"))
+    spread = with_buckets(spread, group, p)
     ranked = running_total(spread, group, "__bucket", [p], "__n", "__rank", total="__m")
     ranked = ranked.withColumn(
         "__q", F.least(F.lit(1.0), F.col(p) * F.col("__m") / F.col("__rank"))
@@ -691,8 +688,8 @@ def bh_adjust_filtered(
         .groupBy(*group, p, base_mean).agg(F.count(F.lit(1)).alias("__n"))
         .join(cuts, group).filter(F.col(base_mean) >= F.col("__cut"))
         .groupBy(*group, "__step_no", "__cut", p).agg(F.sum("__n").alias("__n"))
-        .withColumn("__bucket", value_bucket(p))
     )
+    tried = with_buckets(tried, [*group, "__step_no", "__cut"], p)
     ranked = running_total(tried, [*group, "__step_no", "__cut"], "__bucket", [p], "__n", "__rank", total="__m")
     found = ranked.groupBy(*group, "__step_no", "__cut").agg(
         F.max(F.when(F.col(p) * F.col("__m") / F.col("__rank") < alpha, F.col("__rank")).otherwise(0)).alias("__hits")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from biotables.operators.borders import with_buckets
 from biotables.operators.joins import key_join
 
 
@@ -127,15 +128,16 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles by linear interpolation, one row per group, plus the row count ``n``.
 
-    Works on counts of distinct values and their running totals; no group is collected.
+    Works on counts of distinct values and their running totals; no group is collected. Buckets of
+    values have borders from the data, whatever range the values lie in.
     """
     group = list(group)
     spread = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__bucket", value_bucket("__v"))
     )
+    spread = with_buckets(spread, group, "__v")
     ranked = running_total(spread, group, "__bucket", ["__v"], "__n", "__upto", total="n")
     aggs = []
     for i, prob in enumerate(probs.values()):
@@ -154,12 +156,8 @@ def exact_quantiles(
 
 def descending_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Competition rank of a non-negative count, largest first, without a global window over rows."""
-    spread = (
-        df.groupBy(value)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__down", -F.col(value))
-        .withColumn("__bucket", value_bucket("__down"))
-    )
+    spread = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__down", -F.col(value))
+    spread = with_buckets(spread, [], "__down")
     ranked = running_total(spread, [], "__bucket", ["__down"], "__n", "__upto")
     ranks = ranked.select(value, (F.col("__upto") - F.col("__n") + 1).alias(name))
     return key_join(df, ranks, [value])
