@@ -213,12 +213,15 @@ FACT_TABLES = "counts_long genes enzyme_pathway locus_contig contig_bin bins"
 MERGED_SQL = f"SELECT locus_tag, {wide_sql()} FROM counts_long WHERE NOT starts_with(locus_tag, '__') GROUP BY 1"
 
 
-@query(with_tables(FACT_TABLES, f"""SELECT DISTINCT locus_tag, {wide_sql('"{s}"')}, Enrichment, gene, EC_number, product,
+FACT_SQL = with_tables(FACT_TABLES, f"""SELECT DISTINCT locus_tag, {wide_sql('"{s}"')}, Enrichment, gene, EC_number, product,
  coalesce(General_Pathway, 'Unknown_Pathway') AS "General_Pathway", contigName, BinID, Best_Classification,
  round(Completeness, 6) AS "Completeness", round(Contamination, 6) AS "Contamination", Quality
  FROM merged LEFT JOIN genes USING (locus_tag) LEFT JOIN enzyme_pathway USING (EC_number)
  LEFT JOIN locus_contig USING (locus_tag) LEFT JOIN contig_bin USING (contigName, Enrichment)
- LEFT JOIN bins USING (BinID, Enrichment) WHERE BinID IS NOT NULL""", merged=MERGED_SQL))
+ LEFT JOIN bins USING (BinID, Enrichment) WHERE BinID IS NOT NULL""", merged=MERGED_SQL)
+
+
+@query(FACT_SQL)
 def fact_assembly(t: Tables):
     """The main table: counts, gene, pathway, contig, bin, taxonomy and quality per locus."""
     fact = expression.assemble_fact(pathways=enzyme_pathway(t), **fact_inputs(t))
@@ -227,6 +230,22 @@ def fact_assembly(t: Tables):
     )
 
 
+@query(FACT_SQL)
+def fact_from_buckets(t: Tables):
+    """The main table from loci stored in buckets: counts merge and meet their genes inside a bucket."""
+    store = expression.LocusStore.write(counts_long(t), genes(t, "contigName"))
+    fact = store.fact(enzyme_pathway(t), contig_bin(t), materialize(bins(t), "taxa"))
+    return fact.withColumn("Completeness", F.round("Completeness", 6)).withColumn("Contamination", F.round("Contamination", 6))
+
+
+@query(with_tables("counts_long genes", """SELECT gene, SUM(count)::BIGINT AS count, COUNT(*) FILTER (count > 0) AS n_loci FROM
+ (SELECT locus_tag, SUM(count) AS count FROM counts_long WHERE NOT starts_with(locus_tag, '__') GROUP BY 1)
+ JOIN genes USING (locus_tag) GROUP BY 1"""))
+def gene_totals_bucketed(t: Tables):
+    """Counts per gene from stored loci."""
+    return expression.LocusStore.write(counts_long(t), genes(t)).gene_totals("gene")
+
+
 # ---------------------------------------------------------------- sort, limit, sets
 
 

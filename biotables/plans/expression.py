@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from biotables.functions import (
 from biotables.operators.joins import key_join, natural_join
 from biotables.operators.reshape import pivot_longer, pivot_wider_sum
 from biotables.operators.totals import attach_totals
+from biotables.sources.buckets import store_bucketed
 
 # Substrates of the experiment, in the order of the count columns.
 SUBSTRATES = ["TPA", "DCPET", "HDPE", "TA", "EG"]
@@ -88,6 +90,35 @@ def assemble_fact(
     )
 
 
+@dataclass(frozen=True)
+class LocusStore:
+    """Counts and genes in the same hash buckets of the locus tag, written once and read by many tables.
+
+    Merging the counts of a locus and joining its gene are then work inside a bucket: no shuffle, whatever the size.
+    """
+
+    counts: DataFrame  # locus_tag, substrate, count
+    genes: DataFrame  # locus_tag, Enrichment, contigName, ... one row per locus
+
+    @staticmethod
+    def write(counts: DataFrame, genes: DataFrame, buckets: int | None = None) -> LocusStore:
+        """Stores both tables without the counter's summary rows; genes with repeated rows are stored once."""
+        return LocusStore(
+            store_bucketed(drop_special_rows(counts), "counts", ["locus_tag"], buckets),
+            store_bucketed(genes.distinct(), "genes", ["locus_tag"], buckets),
+        )
+
+    def fact(self, pathways: DataFrame | None, contigs: DataFrame, taxa: DataFrame) -> DataFrame:
+        """:func:`assemble_fact` over the stored loci."""
+        return assemble_fact(merge_counts(self.counts), self.genes, pathways, None, contigs, taxa, distinct_inputs=True)
+
+    def gene_totals(self, *by: str) -> DataFrame:
+        """Total count and number of expressed loci per gene columns ``by``; loci without a gene row have none."""
+        loci = self.counts.groupBy("locus_tag").agg(F.sum("count").alias("count"))
+        named = key_join(loci, self.genes.select("locus_tag", *by), ["locus_tag"], nulls_match=False)
+        return named.groupBy(*by).agg(F.sum("count").alias("count"), F.count_if(F.col("count") > 0).alias("n_loci"))
+
+
 def strict_group_totals(
     fact: DataFrame, keys: Sequence[str], substrates: Sequence[str] = SUBSTRATES
 ) -> DataFrame:
