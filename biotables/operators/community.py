@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from biotables.functions import any_not_null, unite
 from biotables.operators.borders import with_buckets
 from biotables.operators.joins import key_join
-from biotables.operators.reshape import full_grid, pivot_longer
+from biotables.operators.reshape import MAX_CELLS, full_grid, pivot_longer
 from biotables.operators.totals import running_total, share_of_group
 from biotables.session import task_count
 from biotables.sources.sinks import Bundle
@@ -91,10 +91,10 @@ def subset_samples(counts: DataFrame, samples: DataFrame, keep: Column) -> DataF
     return counts.join(samples.filter(keep).select("sample"), "sample", "left_semi")
 
 
-def add_pseudocount(counts: DataFrame, samples: DataFrame, features: DataFrame) -> DataFrame:
-    """Add one to every cell, empty ones included; the result is dense."""
+def add_pseudocount(counts: DataFrame, samples: DataFrame, features: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+    """Add one to every cell, empty ones included; the result is dense, and more than ``max_cells`` cells raise."""
     cells = key_join(
-        full_grid(samples, "sample", features, "feature"), counts, ["sample", "feature"], "left"
+        full_grid(samples, "sample", features, "feature", max_cells), counts, ["sample", "feature"], "left"
     )
     return cells.select(
         "sample", "feature", (F.coalesce(F.col("count"), F.lit(0)) + 1).alias("count")

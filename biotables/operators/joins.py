@@ -21,9 +21,17 @@ def key_join(
     on: Sequence[str],
     how: str = "inner",
     nulls_match: bool = True,
+    spread_nulls: int = 1,
 ) -> DataFrame:
-    """Join on named keys; each key comes out once, filled from whichever side has it."""
+    """Join on named keys; each key comes out once, filled from whichever side has it.
+
+    With matching NULLs all left rows that miss a key are one key. ``spread_nulls`` deals them to that many by a hash of
+    their other columns and repeats the right rows that miss a key for each, so a hot NULL is no single task. Only for
+    joins that keep no unmatched right rows; the left columns may hold no maps.
+    """
     on = list(on)
+    if spread_nulls > 1 and nulls_match:
+        return _spread_join(left, right, on, how, spread_nulls)
     clash = [c for c in right.columns if c in left.columns and c not in on]
     if clash and how not in ("left_semi", "left_anti"):
         raise ValueError(f"columns {clash} exist on both sides and are not keys")
@@ -47,6 +55,17 @@ def key_join(
     return joined.select(*[out(c) for c in left.columns], *[F.col(f"`{c}`") for c in rest])
 
 
+def _spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, parts: int) -> DataFrame:
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"a {how} join would repeat unmatched right rows")
+    missing = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in on])
+    rest = [F.col(f"`{c}`") for c in left.columns if c not in on] or [F.lit(0)]
+    dealt = F.when(missing, F.pmod(F.xxhash64(*rest), F.lit(parts)).cast("int")).otherwise(0)
+    copies = F.when(missing, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    out = key_join(left.withColumn("__deal", dealt), right.withColumn("__deal", F.explode(copies)), [*on, "__deal"], how)
+    return out.drop("__deal")
+
+
 def natural_join(
     left: DataFrame, right: DataFrame, how: str = "full", nulls_match: bool = True
 ) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from biotables.operators.joins import key_join
+from biotables.operators.observed import store_observed
+
+#: most cells of a dense sample x feature table, unless the caller names another bound
+MAX_CELLS = 10**12
 
 
 def pivot_longer(
@@ -94,16 +98,19 @@ def dense_index(df: DataFrame, keys: Sequence[str], name: str, buckets: int | No
     )
 
 
-def full_grid(samples: DataFrame, sample: str, features: DataFrame, feature: str) -> DataFrame:
-    """Every sample x feature cell. The result is dense by definition.
+def full_grid(samples: DataFrame, sample: str, features: DataFrame, feature: str, max_cells: int = MAX_CELLS) -> DataFrame:
+    """Every sample x feature cell. The result is dense by definition; one of more than ``max_cells`` raises.
 
     Each feature is expanded over the sample numbers and joined on the number, so no
     cross product is planned and the expansion runs where the features already are.
     """
-    indexed = dense_index(samples.select(sample).distinct(), [sample], "__i")
-    n = indexed.count()
+    indexed, seen = store_observed(dense_index(samples.select(sample).distinct(), [sample], "__i"), "grid", {"n": F.count(F.lit(1))})
+    names, found = store_observed(features.select(feature).distinct(), "grid", {"n": F.count(F.lit(1))})
+    n = seen.get("n", 0)
+    if n * found.get("n", 0) > max_cells:
+        raise ValueError(f"{n} samples x {found['n']} features are more than max_cells = {max_cells}")
     numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(n - 1, 0)).cast("bigint")))
-    cells = features.select(feature).distinct().select(feature, numbers.alias("__i"))
+    cells = names.select(feature, numbers.alias("__i"))
     return cells.join(indexed, "__i").select(sample, feature)
 
 
@@ -114,8 +121,9 @@ def melt_bundle(
     sample: str = "sample",
     feature: str = "feature",
     count: str = "count",
+    max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """One long table with Abundance, sample columns and feature columns, zero cells included."""
-    cells = key_join(full_grid(samples, sample, features, feature), counts, [sample, feature], "left")
+    cells = key_join(full_grid(samples, sample, features, feature, max_cells), counts, [sample, feature], "left")
     cells = cells.withColumn("Abundance", F.coalesce(F.col(count), F.lit(0))).drop(count)
     return key_join(key_join(cells, samples, [sample]), features, [feature])

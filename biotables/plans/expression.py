@@ -24,6 +24,8 @@ from biotables.sources.buckets import store_bucketed
 # Substrates of the experiment, in the order of the count columns.
 SUBSTRATES = ["TPA", "DCPET", "HDPE", "TA", "EG"]
 UNKNOWN_PATHWAY = "Unknown_Pathway"
+#: keys that rows without a contig are dealt to
+NULL_PARTS = 64
 
 
 def drop_special_rows(counts: DataFrame, tag: str = "locus_tag") -> DataFrame:
@@ -79,7 +81,8 @@ def assemble_fact(
     fact = key_join(counts, clean(genes), ["locus_tag"], "left", nulls_match=False)
     if loci is not None:
         fact = key_join(fact, clean(loci), ["locus_tag"], "left", nulls_match=False)
-    fact = key_join(fact, clean(contigs), list(contig_keys), "left")
+    # loci without a gene row have no contig: a NULL key that may be hot
+    fact = key_join(fact, clean(contigs), list(contig_keys), "left", spread_nulls=NULL_PARTS)
     fact = key_join(
         fact.filter(F.col("BinID").isNotNull()), clean(taxa), ["BinID", "Enrichment"], "left"
     )

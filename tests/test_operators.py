@@ -73,6 +73,9 @@ def test_full_grid_has_every_cell(spark):
     grid = reshape.full_grid(s, "sample", f, "feature")
     assert len(set(rows(grid))) == 6
     assert rows(reshape.full_grid(s.limit(0), "sample", f, "feature")) == []
+    with pytest.raises(ValueError, match="max_cells"):
+        reshape.full_grid(s, "sample", f, "feature", max_cells=5)
+    assert reshape.full_grid(s, "sample", f, "feature", max_cells=6).count() == 6
 
 
 def test_running_total_and_quantiles_against_plain_python(spark):
