@@ -425,6 +425,42 @@ def test_log_probabilities_equal_a_plain_loop():
         assert abs(value - np.log(group[t // 64] / group.sum()) - np.log(inner[t % 64] / inner.sum())) < 1e-4
 
 
+def test_gradients_equal_differences_in_blocks_of_any_size(monkeypatch):
+    rnd = np.random.default_rng(8)
+    word = np.sort(rnd.integers(0, masked_lm.ENTRIES, 300) // 97 * 97).astype("<u2")
+    context = rnd.integers(0, masked_lm.ENTRIES + 1, (300, 4)).astype("<u2")
+    weight = rnd.integers(1, 5, 300).astype(np.float32)
+    whole = masked_lm.Network(2).gradients(context, word, weight)
+    monkeypatch.setattr(masked_lm, "ROWS", 7)
+    net = masked_lm.Network(2)
+    for g, h, p in zip(net.gradients(context, word, weight), whole, net.parts):
+        assert g.shape == p.shape and np.allclose(g, h, atol=1e-3)
+        # towards the gradient, the loss falls by the gradient's square
+        loss, by = [], 0.02 / np.sqrt(np.sum(h * h))
+        for k in (-by, by):
+            p += k * h
+            loss.append(-(net.log_prob(context, word) * weight).sum(dtype=np.float64))
+            p -= k * h
+        assert abs((loss[1] - loss[0]) / (2 * by) / np.sum(h * h) - 1) < 0.02
+
+
+def test_scoring_reads_each_text_once(spark):
+    docs = docs_of(spark, ["red apple", "red house", None, "red apple", "old house red apple"] * 20)
+    known, net = masked_lm.train(docs)
+    counts = masked_lm.vocabulary(docs, frequent=1)  # most words meet their counts in the join
+    read = spark.sparkContext.accumulator(0)
+
+    def watch(parts):
+        for rows in parts:
+            read.add(rows.num_rows)
+            yield rows
+
+    watched = docs.select("doc_id", "text").mapInArrow(watch, "doc_id long, text string")
+    value = {r.doc_id: r.log_prob for r in masked_lm.score(watched, counts, net).collect()}
+    assert read.value == len(value) == 100
+    assert all(abs(r.log_prob - value[r.doc_id]) < 1e-6 for r in masked_lm.score(docs, known, net).collect())
+
+
 def test_order_of_words_counts(spark):
     rnd = random.Random(3)
     pairs = [("red", "apple"), ("old", "house"), ("wild", "river"), ("cold", "night")]
