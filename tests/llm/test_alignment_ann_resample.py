@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -190,6 +191,31 @@ def test_neighbours_of_odd_rows(spark):
     assert adaptive_ann.neighbours(frame.where("vec_id = 40")).count() == 0
 
 
+def test_the_driver_never_holds_the_scores_of_all_sample_rows(spark):
+    x = np.random.default_rng(3).standard_normal((6000, 4))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    frame = frame.repartition(4)
+    tracemalloc.start()
+    try:
+        index = adaptive_ann.Index(frame, lists=2000)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(index.centres) == 2000 and index.sizes.sum() == 6000
+    assert most < 40 << 20  # 6000 x 2000 scores are 96 MB
+
+
+def test_the_sample_is_the_same_with_and_without_the_bound_on_hashes(spark, monkeypatch):
+    monkeypatch.setattr(adaptive_ann, "SAMPLE_VALUES", 200)  # 50 rows of width 4
+    x = np.random.default_rng(4).standard_normal((1000, 4))
+    once = [(i, v) for i, v in enumerate(x.tolist())]
+    for rows_ in (once, [(7 if i < 990 else i, v) for i, v in once]):  # an id in nearly all rows: the bound leaves too few or all of them
+        frame = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+        index = adaptive_ann.Index(frame, lists=5)
+        want = frame.orderBy(F.xxhash64("vec_id", F.lit(adaptive_ann.SEED)), "vec_id").limit(50).collect()
+        assert index.sample_ids.tolist() == [r.vec_id for r in want]
+
+
 # 13 resampling ----------------------------------------------------------------------------------
 
 
