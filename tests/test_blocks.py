@@ -63,3 +63,16 @@ def test_bray_curtis_shuffles_no_copies_of_cells(spark):
     for (a, b), d in got.items():
         both = sum(min(x, table[b].get(f, 0)) for f, x in table[a].items())
         assert d == 1 - 2 * both / (totals[a] + totals[b])
+
+
+def test_euclidean_shuffles_no_copies_of_cells(spark):
+    rng = np.random.default_rng(6)
+    data = [(s, f"g{f}", int(rng.integers(0, 5))) for s in range(9) for f in range(4) if (s + f) % 3]
+    out = distance.euclidean(spark.createDataFrame(data, "sample bigint, feature string, count bigint"), block=2)
+    assert "CartesianProduct" in plan_of(out) and "FlatMapGroups" not in plan_of(out)
+    m = np.zeros((9, 4))
+    for s, f, x in data:
+        m[s, int(f[1:])] += x
+    got = {(a, b): d for a, b, d in rows(out)}
+    assert set(got) == {(a, b) for a in range(9) for b in range(a + 1, 9)}
+    assert all(d == pytest.approx(np.linalg.norm(m[a] - m[b])) for (a, b), d in got.items())
