@@ -76,3 +76,15 @@ def test_euclidean_shuffles_no_copies_of_cells(spark):
     got = {(a, b): d for a, b, d in rows(out)}
     assert set(got) == {(a, b) for a in range(9) for b in range(a + 1, 9)}
     assert all(d == pytest.approx(np.linalg.norm(m[a] - m[b])) for (a, b), d in got.items())
+
+
+def test_vectors_are_packed_without_a_shuffle_and_met_without_copies(spark):
+    v = np.random.default_rng(7).normal(size=(30, 3))
+    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(4, v[4].tolist()), (None, v[0].tolist())]  # an id that comes twice, one that is missing
+    out = distance.vector_distances(spark.createDataFrame(data, "id bigint, v array<double>").repartition(3), "id", "v", block=4)
+    assert "CartesianProduct" in plan_of(out) and "FlatMapGroups" not in plan_of(out)
+    got = rows(out)
+    assert len(got) == 31 * 30 // 2 - 1 and all(a < b for a, b, _ in got)
+    assert all(d == pytest.approx(np.linalg.norm(v[a] - v[b])) for a, b, d in got)
+    floats = spark.createDataFrame([("a", [0.5, 1.0]), ("c", [0.5, 4.0]), ("b", [0.5, 0.0])], "id string, v array<float>")
+    assert rows(distance.vector_distances(floats, "id", "v")) == [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 4.0)]
