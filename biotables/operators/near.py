@@ -1,29 +1,38 @@
-"""Bray-Curtis neighbours without all pairs: a bounded join and the k nearest samples.
+"""Bray-Curtis neighbours: all pairs below a limit, and the k nearest samples.
 
-``within`` finds every pair below a limit. Two bounds decide who meets at all. Totals: below a dissimilarity ``d`` the smaller total is at
-least ``(1 - d) / (1 + d)`` of the larger one. Rare first: in one global order of features, rare ones in front, each sample
-keeps the shortest head behind which less than that share of its total is left; a pair below the limit shares a feature of
-both heads. Only heads are joined, so a feature found everywhere is met by the samples that hardly hold anything rarer.
+``within`` has two ways. Rare first: in one global order of features, rare ones in front, each sample
+keeps the shortest head behind which less than ``(1 - d) / (1 + d)`` of its total is left; a pair below the limit ``d`` shares a feature of
+both heads. Only heads are joined, so a feature found everywhere is met by the samples that hardly hold anything rarer. Totals: the
+smaller one is at least that share of the larger one. This writes a row for every cell of every pair that meets, so it is taken only
+while few pairs meet. Otherwise the packed blocks of ``distance`` are held against each other, which writes nothing per pair.
 
-``nearest`` cuts the samples into blocks of alike ones and bounds a sample's distance to all members of a block by the block's largest
-count of each feature and its totals. The own block gives each sample a first k-th distance, and only blocks
-whose bound does not exceed it are compared.
+``nearest`` goes through the same blocks. A task keeps the k nearest of each sample it has seen, and those alone are written.
 
-Results are exact. Sums of counts stay on Spark; no sample has to fit in one task.
+Results are exact. No sample has to fit in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from biotables.operators.order import with_position
+from biotables.operators.distance import LAST, block_pairs, matched, packed_blocks, pair_rows
 from biotables.operators.totals import running_total, value_bucket
 from biotables.session import materialize
 
 #: features of one frequency are put in order by so many hash slots
 SLOTS = 1024
+#: share of a total from which heads are worth their cost: below it they hold nearly everything
+HEADS_SHARE = 0.25
+#: pairs a sample may meet through heads, on average, before blocks are taken
+MEETINGS = 8
+#: samples of a block; sums of few pairs are kept sparse, so blocks may be large
+ROWS = 2048
 
 
 def _cells(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,12 +67,40 @@ def heads(cells: DataFrame, totals: DataFrame, limit: float) -> DataFrame:
     return passed.filter(left >= F.col("total") * share * (1 - 1e-12)).select("sample", "feature", "total")
 
 
+def _packed(counts: DataFrame, block: int = 0) -> DataFrame:
+    cells = counts.repartition("sample").groupBy("sample", "feature").agg(F.sum("count").alias("x")).filter("x > 0")
+    return packed_blocks(cells.withColumn("x", F.col("x").cast("double")), False, max(block, ROWS))
+
+
+def _few_meet(met: DataFrame, totals: DataFrame) -> bool:
+    per_feature = met.groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    meetings = per_feature.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+    return meetings <= MEETINGS * totals.count()
+
+
 def bray_curtis_within(counts: DataFrame, limit: float) -> DataFrame:
     """``id_a, id_b, dist`` of all pairs with ``dist <= limit``; ``limit`` is below 1, ``id_a < id_b``."""
     if not 0 <= limit < 1:
         raise ValueError("the limit has to be in [0, 1): at 1 every pair is within it")
-    cells, totals = _cells(counts)
-    met = materialize(heads(cells, totals, limit), "near-heads")
+    if (1 - limit) / (1 + limit) >= HEADS_SHARE:
+        cells, totals = _cells(counts)
+        met = materialize(heads(cells, totals, limit), "near-heads")
+        if _few_meet(met, totals):
+            return _within_heads(met, cells, totals, limit)
+        counts = cells.withColumnRenamed("x", "count")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, (i, j, shared) in matched(batches, np.minimum, sparse=True):
+            dist = 1 - 2 * shared / (a.totals[i] + b.totals[j])
+            keep = (dist <= limit) & ((i < j) | (a.block != b.block))
+            if keep.any():
+                yield pair_rows(a.ids, b.ids, i[keep], j[keep], dist[keep])
+
+    kind = counts.schema["sample"].dataType.simpleString()
+    return block_pairs(_packed(counts)).mapInArrow(run, f"id_a {kind}, id_b {kind}, dist double")
+
+
+def _within_heads(met: DataFrame, cells: DataFrame, totals: DataFrame, limit: float) -> DataFrame:
     left = met.select(F.col("sample").alias("a"), "feature", F.col("total").alias("total_a"))
     right = met.select(F.col("sample").alias("b"), "feature", F.col("total").alias("total_b"))
     near = F.least("total_a", "total_b") >= F.greatest("total_a", "total_b") * ((1 - limit) / (1 + limit)) * (1 - 1e-12)
@@ -71,41 +108,81 @@ def bray_curtis_within(counts: DataFrame, limit: float) -> DataFrame:
     return _distances(pairs, cells, totals).filter(F.col("dist") <= limit).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "dist")
 
 
+class _Nearest:
+    """The ``k`` nearest found so far for each of ``n`` samples, ties to the smaller id."""
+
+    def __init__(self, k: int, n: int):
+        self.k, self.bound = k, np.full(n, np.inf)
+        self.kept: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.fresh = 0
+
+    def add(self, rows: np.ndarray, dist: np.ndarray, ids: pa.Array, at: np.ndarray) -> None:
+        near = np.flatnonzero(dist <= self.bound[rows])
+        if len(near):
+            self.kept.append((rows[near], dist[near], ids.take(pa.array(at[near]))))
+            self.fresh += len(near)
+        if self.fresh > 10_000 + len(self.bound) * self.k:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+        if not self.kept:
+            return None
+        rows, dist = (np.concatenate([x[c] for x in self.kept]) for c in (0, 1))
+        ids = pa.concat_arrays([x[2] for x in self.kept])
+        order = np.lexsort((dist, rows))
+        place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+        last = order[place == self.k - 1]
+        self.bound[rows[last]] = dist[last]
+        order = order[dist[order] <= self.bound[rows[order]]]  # with all that tie with the last
+        if (np.bincount(rows[order]) > self.k).any():
+            rank = np.unique(np.array(ids.take(pa.array(order)).to_pylist()), return_inverse=True)[1]
+            order = order[np.lexsort((rank, dist[order], rows[order]))]
+            order = order[np.arange(len(order)) - np.searchsorted(rows[order], rows[order]) < self.k]
+        self.kept, self.fresh = [(rows[order], dist[order], ids.take(pa.array(order)))], 0
+        return self.kept[0]
+
+
 def nearest_samples(counts: DataFrame, k: int, block: int = 64) -> DataFrame:
-    """``sample, rank, neighbour, dist``: the ``k`` nearest other samples, ties to the smaller id."""
-    cells, totals = _cells(counts)
-    # alike samples stand together: by their largest feature, then by total
-    top = cells.groupBy("sample").agg(F.max(F.struct("x", "feature")).alias("top"))
-    ordered = with_position(totals.join(top, "sample").select("sample", "total", "top"), "top.feature", "total", "sample")
-    blocks = materialize(ordered.select("sample", "total", F.floor((F.col("position") - 1) / block).alias("block")), "near-blocks")
-
-    as_b = blocks.select(F.col("sample").alias("b"), "block")
-    own = blocks.select(F.col("sample").alias("a"), "block").join(as_b, "block").filter("a <> b").select("a", "b")
-    first = materialize(_distances(own, cells, totals), "near-own")
+    """``sample, rank, neighbour, dist``: the ``k`` nearest other samples, ties to the smaller id.
+
+    ``block`` samples at least are held against others at a time.
+    """
+    packed = _packed(counts, block)
+    kind = counts.schema["sample"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[pa.Array, _Nearest]] = {}
+
+        def of(side) -> _Nearest:
+            return best.setdefault(side.block, (side.ids, _Nearest(k, len(side.ids))))[1]
+
+        def given(number: int) -> Iterator[pa.RecordBatch]:
+            ids, found = best.pop(number)
+            if rest := found.settle():
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rest[0])), rest[2], pa.array(rest[1])], ["a", "b", "dist"])
+
+        left = None
+        for a, b, (i, j, shared) in matched(batches, np.minimum, sparse=True):
+            if left is not None and left != a.block and left in best:
+                yield from given(left)
+            left = a.block
+            dist = 1 - 2 * shared / (a.totals[i] + b.totals[j])
+            if a.block == b.block:  # both directions are there
+                i, j, dist = (x[i != j] for x in (i, j, dist))
+            else:
+                of(b).add(j, dist, a.ids, i)
+            of(a).add(i, dist, b.ids, j)
+        for number in list(best):
+            yield from given(number)
+
     place = W.partitionBy("a").orderBy("dist", "b")
-    ranked = first.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") == k)
-    bound = blocks.select(F.col("sample").alias("a"), "total", F.col("block").alias("own")).join(
-        ranked.select("a", F.col("dist").alias("kth")), "a", "left"
-    )  # without k relatives in the own block everything that shares a feature is asked
-    bound = bound.withColumn("kth", F.coalesce("kth", F.lit(1.0)))
-
-    most = cells.join(blocks, "sample").groupBy("block", "feature").agg(F.max("x").alias("x_most"))
-    sizes = blocks.groupBy("block").agg(F.min("total").alias("least"), F.max("total").alias("most"))
-    reach = (
-        cells.withColumnRenamed("sample", "a").join(most, "feature")
-        .groupBy("a", "block").agg(F.sum(F.least("x", "x_most")).alias("reach"))
-        .join(sizes, "block").join(bound, "a").filter("block <> own")
-    )
-    # the best total a member can have is the reach itself, if the block has such totals
-    best = F.greatest(F.col("least"), F.least("reach", "most"))
-    lower = 1 - 2 * F.least("reach", best).cast("double") / (F.col("total") + best)
-    asked = reach.filter(lower <= F.col("kth") + 1e-12).select("a", "block")
-    found = first.unionByName(_distances(asked.join(as_b, "block").select("a", "b"), cells, totals))
-    found = materialize(found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).drop("rank"), "near-found")
+    met = block_pairs(packed).mapInArrow(run, f"a {kind}, b {kind}, dist double")
+    found = materialize(met.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).drop("rank"), "near-found")
 
     # samples with fewer than k relatives go on with those they share nothing with, smallest ids first
-    few = blocks.select(F.col("sample").alias("a")).join(found.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", "left").filter(F.coalesce("n", F.lit(0)) < k).select("a")
-    ids = totals.select(F.col("sample").alias("b")).orderBy("b").limit(2 * k + 1)
+    samples = packed.filter(F.col("hi") == LAST).select(F.explode("ids").alias("a"))
+    few = samples.join(found.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", "left").filter(F.coalesce("n", F.lit(0)) < k).select("a")
+    ids = samples.select(F.col("a").alias("b")).orderBy("b").limit(2 * k + 1)
     spare = few.join(F.broadcast(ids), F.col("a") != F.col("b")).join(found.select("a", "b"), ["a", "b"], "left_anti")
     every = found.unionByName(spare.withColumn("dist", F.lit(1.0)))
     return (
