@@ -27,6 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RANGE_BYTES = 32 << 20
+#: bytes of short ranges that are parsed at a time, and of a task of them at least
+PARSED_BYTES = 1 << 20
+#: short ranges are put together into about so many tasks, if these are not too small
+TASKS = 256
 #: bytes looked at for a record start, at first and at most
 LOOK_FIRST = 1 << 14
 LOOK_MOST = 1 << 22
@@ -64,14 +68,16 @@ class Ranges(InputPartition):
 
 
 def planned(files: Sequence[tuple[str, int]], most: int) -> list[Ranges]:
-    """Ranges of at most ``most`` bytes; small files share a task."""
+    """Ranges of at most ``most`` bytes; small files and small ranges share a task."""
     out: list[Ranges] = []
-    filled = most
+    # a task costs about what some MB do: short ranges stand one after the other in a task, when there are many of them
+    total = sum(size for _, size in files)
+    task = filled = max(most, min(RANGE_BYTES, max(PARSED_BYTES, total // TASKS)))
     for file, size in files:
         step = size if file.endswith(COMPRESSED) else most
         for start in range(0, size, step):
             part = (file, start, min(start + step, size))
-            if filled + part[2] - start > most:
+            if filled + part[2] - start > task:
                 out.append(Ranges([]))
                 filled = 0
             out[-1].parts.append(part)
@@ -215,16 +221,46 @@ FIRST = {"fastq": first_fastq, "fasta": first_fasta}
 ROWS_OF = {"fastq": fastq_rows, "fasta": fasta_rows}
 
 
-def range_blocks(system: fs.FileSystem, inner: str, kind: str, start: int, end: int) -> Iterator[bytes]:
-    """Bytes from the first record that starts in the range to the first one behind it."""
-    with system.open_input_file(inner) as file:
-        size = file.size()
-        place, stop = FIRST[kind](file, start, size), FIRST[kind](file, end, size)
-        file.seek(place)
-        while place < stop:
-            block = file.read(min(STREAM_BYTES, stop - place))
-            place += len(block)
-            yield block
+def range_blocks(file: pa.NativeFile, place: int, stop: int) -> Iterator[bytes]:
+    """Bytes from a record start to another one."""
+    file.seek(place)
+    while place < stop:
+        block = file.read(min(STREAM_BYTES, stop - place))
+        place += len(block)
+        yield block
+
+
+def file_blocks(file: pa.NativeFile, kind: str, ranges: Sequence[tuple[int, int]]) -> Iterator[bytes]:
+    """Bytes of ranges that follow each other, from the first record that starts in a range to the first one behind it.
+
+    Where a range follows another, its first record is the one that the other ended at. Short ones are put together.
+    """
+    size = file.size()
+    stop = FIRST[kind](file, ranges[0][0], size)
+    held, length = [], 0
+    for _, border in ranges:
+        place, stop = stop, FIRST[kind](file, border, size)
+        for block in range_blocks(file, place, stop):
+            held.append(block)
+            length += len(block)
+            if length >= PARSED_BYTES:
+                yield b"".join(held)
+                held, length = [], 0
+    if held:
+        yield b"".join(held)
+
+
+def runs(parts: Sequence[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Files with their ranges, ranges that do not follow each other apart."""
+    name, ranges = "", []
+    for file, start, end in parts:
+        if ranges and (file != name or start != ranges[-1][1]):
+            yield name, ranges
+            ranges = []
+        name = file
+        ranges.append((start, end))
+    if ranges:
+        yield name, ranges
 
 
 def stream_blocks(system: fs.FileSystem, inner: str) -> Iterator[bytes]:
@@ -243,10 +279,13 @@ class RecordReader(DataSourceReader):
         return planned([f for path in self.paths for f in listed(path)], self.range_bytes) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        for name, start, end in partition.parts:
+        for name, ranges in runs(partition.parts):
             system, inner = file_of(name)
-            blocks = stream_blocks(system, inner) if name.endswith(COMPRESSED) else range_blocks(system, inner, self.kind, start, end)
-            yield from ROWS_OF[self.kind](name, blocks)
+            if name.endswith(COMPRESSED):
+                yield from ROWS_OF[self.kind](name, stream_blocks(system, inner))
+                continue
+            with system.open_input_file(inner) as file:
+                yield from ROWS_OF[self.kind](name, file_blocks(file, self.kind, ranges))
 
 
 class SequenceRecords(DataSource):

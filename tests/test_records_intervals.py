@@ -56,6 +56,20 @@ def test_ranges_of_a_fasta_file(tmp_path, size):
     assert [(r["head"], r["body"].split()) for r in got] == [(f"{n} d", lines) for n, lines in rows]
 
 
+@pytest.mark.parametrize("kind", ["fastq", "fasta"])
+def test_many_short_ranges_are_few_tasks(tmp_path, kind):
+    rows = [(n, b, m) for n, b, m in odd_fastq(3000, 9) if b]
+    for part in range(3):
+        here = rows[part::3]
+        (tmp_path / f"{part}.txt").write_text(as_file(here) if kind == "fastq" else "".join(f">{n} text\n{b}\n" for n, b, _ in here))
+    reader = records.RecordReader({"kind": kind, "path": str(tmp_path), "rangeBytes": "16"})
+    tasks = reader.partitions()
+    ranges = [part for task in tasks for part in task.parts]
+    assert len(ranges) > 2000 and all(end - start <= 16 for _, start, end in ranges) and len(tasks) <= 1.2 * records.TASKS
+    got = sorted(r["head"].split()[0] for p in tasks for batch in reader.read(p) for r in batch.to_pylist())
+    assert got == sorted(n for n, _, _ in rows)
+
+
 def test_fastq_in_spark_plain_compressed_and_broken(spark, tmp_path):
     rows = odd_fastq(200, 3)
     plain, packed = tmp_path / "S1_L001_R1.fastq", tmp_path / "S1_L002_R1.fastq.gz"
