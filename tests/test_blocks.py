@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from biotables.operators import distance
+from biotables.operators import community, distance
 
 
 def plan_of(df):
@@ -88,3 +88,14 @@ def test_vectors_are_packed_without_a_shuffle_and_met_without_copies(spark):
     assert all(d == pytest.approx(np.linalg.norm(v[a] - v[b])) for a, b, d in got)
     floats = spark.createDataFrame([("a", [0.5, 1.0]), ("c", [0.5, 4.0]), ("b", [0.5, 0.0])], "id string, v array<float>")
     assert rows(distance.vector_distances(floats, "id", "v")) == [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 4.0)]
+
+
+def test_draws_of_a_sample_in_one_slot_are_made_behind_the_shuffle(spark):
+    df = spark.createDataFrame([(f"s{i}", f"f{k}", 3 + i) for i in range(4) for k in range(9)], "sample string, feature string, count bigint")
+    for draws in (20_000, 5):  # one slot a sample, and many, whose draws are dealt to them
+        out = community.rarefy(df, 81, draws)
+        lines = plan_of(out).splitlines()
+        made = next(i for i, line in enumerate(lines) if "Generate explode(CASE WHEN isnull(depth" in line)
+        dealt = next(i for i, line in enumerate(lines) if "hashpartitioning(sample" in line and "slot" in line and "Exchange" in line)
+        assert made < dealt  # a plan is printed from its end
+        assert {r.sample: r.n for r in out.groupBy("sample").agg(F.sum("count").alias("n")).collect()} == {f"s{i}": 27 for i in range(4)}
