@@ -387,3 +387,21 @@ def test_distances_with_one_huge_sample(spark, monkeypatch):
     for (a, b), d in got.items():
         both = sum(min(c, table[b].get(f, 0)) for f, c in table[a].items())
         assert abs(d - (1 - 2 * both / (sum(table[a].values()) + sum(table[b].values())))) < 1e-12
+
+
+def test_log_gamma_of_the_dispersion_once_a_feature(monkeypatch):
+    design = de._Design(np.ones(6), np.array([0, 0, 0, 1, 1, 1]), ["a", "b"])
+    counts = np.array([[3.0, 4, 5, 6, 7, 8], [1, 2, 1, 5, 4, 3]])
+    plain, seen = de._lgamma, []
+    monkeypatch.setattr(de, "_lgamma", lambda x: seen.append(x.size) or plain(x))
+    for zero in (False, True):
+        counts[0, 0] = 0 if zero else 3
+        mu = design.fitted(design.group_means(counts))
+        seen.clear()
+        got = de._profile(counts, mu, np.array([-1.0, 0.5]), design)
+        assert sum(seen) == (counts > 0).sum() + len(counts)
+        for row, x, m, log_alpha in zip(got, counts, mu, (-1.0, 0.5)):
+            r = math.exp(-log_alpha)
+            ll = sum(math.lgamma(k + r) - math.lgamma(r) + k * math.log(u / (u + r)) - r * math.log1p(u / r) if k else -r * math.log1p(u / r) for k, u in zip(x, m))
+            info = [sum(u / (1 + u / r) for u in part) for part in (m[:3], m[3:])]
+            assert row == pytest.approx(ll - 0.5 * sum(map(math.log, info)))
