@@ -17,6 +17,11 @@ _BASES = "ACGTACGTACGTACGTACGTACGTAC"
 
 
 def mate(t: Tables, number: int):
+    """Reads of :func:`marked`, without the letters of their qualities."""
+    return marked(t, number).drop("marks")
+
+
+def marked(t: Tables, number: int):
     """The letters a to z of every whole text as reads of at most 150 bases; the second mate is read backwards."""
     letters = F.regexp_replace("text", "[^a-z]", "")
     letters = F.reverse(letters) if number == 2 else letters
@@ -30,6 +35,8 @@ def mate(t: Tables, number: int):
         F.lit(number).alias("mate"),
         F.translate("part", _LETTERS, _BASES).alias("bases"),
         quality.alias("quality"),
+        # the same qualities as the letters of a FASTQ file
+        F.translate("part", _LETTERS, "".join(chr(33 + ord(c) * (5 + 2 * number) % 41) for c in _LETTERS)).alias("marks"),
     )
 
 
@@ -51,8 +58,7 @@ _MATES = f"m1 AS MATERIALIZED ({_mate_sql(1)}), m2 AS MATERIALIZED ({_mate_sql(2
 
 
 def _write_fastq(rows, folder: str) -> None:
-    marks = F.array_join(F.transform("quality", lambda q: F.chr(q + 33)), "")
-    record = F.concat(F.lit("@"), "read_id", F.lit(" of a text\n"), "bases", F.lit("\n+\n"), marks)
+    record = F.concat(F.lit("@"), "read_id", F.lit(" of a text\n"), "bases", F.lit("\n+\n"), "marks")
     rows.select(record.alias("value")).write.text(folder)
 
 
@@ -62,7 +68,7 @@ def reads_concat(t: Tables):
     """FASTQ files of two lanes, written, then read in one pass with lane and mate from the file name."""
     folder = scratch_path(t.spark, "lanes")
     for number in (1, 2):
-        rows = mate(t, number)
+        rows = marked(t, number)
         _write_fastq(rows, f"{folder}/S1_L00{number}_R{number}")
     both = reads.concat_lanes(text.read_fastq(t.spark, [f"{folder}/S1_L00{n}_R{n}" for n in (1, 2)]))
     total = F.aggregate("quality", F.lit(0).cast("bigint"), lambda a, q: a + q)
@@ -74,7 +80,7 @@ def reads_concat(t: Tables):
 def fastq_split_reads(t: Tables):
     """FASTQ and FASTA files read in ranges of 4 KB, so that nearly every range begins within a record."""
     folder = scratch_path(t.spark, "split-reads")
-    _write_fastq(mate(t, 1), f"{folder}/fastq")
+    _write_fastq(marked(t, 1), f"{folder}/fastq")
     wrapped = F.concat(F.lit(">"), "read_id", F.lit(" mate\n"), F.substring("bases", 1, 70), F.lit("\n"), F.substring("bases", 71, READ))
     mate(t, 2).select(wrapped.alias("value")).write.text(f"{folder}/fasta")
     total = F.when(F.size("quality") > 0, F.aggregate("quality", F.lit(0).cast("bigint"), lambda a, q: a + q))
